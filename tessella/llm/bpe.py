@@ -13,7 +13,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm.common import documents, ids_and_texts
+from tessella.llm.common import documents, runs
 
 #: Pre-tokens or chunks that a worker keeps; a bound on memory only, results are the same without.
 CACHED = 400_000
@@ -133,8 +133,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _COUNTERS:
             _COUNTERS[path] = TokenCounter(path, whole.value)
-        for b in batches:
-            ids, texts = ids_and_texts(b)
+        for ids, texts in runs(batches):
             n = _COUNTERS[path].counts(texts)
             size = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > OVER for x in n])], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
@@ -255,19 +254,16 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
         if path not in _ENCODERS:
             _ENCODERS[path] = Encoder(path)
         enc = _ENCODERS[path]
-        for b in batches:
-            ids, texts = ids_and_texts(b)
-            for at in range(0, len(ids), 200):
-                some = texts[at : at + 200]
-                enc.trim()
-                codes = [enc.encode(t) for t in some]
-                cols = [
-                    pa.array(ids[at : at + 200], pa.int64()), pa.array([len(c) // 4 for c in codes], pa.int64()),
-                    pa.array([hashlib.sha256(c).hexdigest() for c in codes]), pa.array([hashlib.sha256(enc.decode(c).encode("utf-8", "surrogatepass")).hexdigest() for c in codes]),
-                ]
-                if with_ids:
-                    cols.append(pa.array([np.frombuffer(c, "<u4").astype(np.int32) for c in codes], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
+        for ids, texts in runs(batches, 200):
+            enc.trim()
+            codes = [enc.encode(t) for t in texts]
+            cols = [
+                pa.array(ids, pa.int64()), pa.array([len(c) // 4 for c in codes], pa.int64()),
+                pa.array([hashlib.sha256(c).hexdigest() for c in codes]), pa.array([hashlib.sha256(enc.decode(c).encode("utf-8", "surrogatepass")).hexdigest() for c in codes]),
+            ]
+            if with_ids:
+                cols.append(pa.array([np.frombuffer(c, "<u4").astype(np.int32) for c in codes], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
 
     return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 

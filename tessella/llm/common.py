@@ -6,7 +6,6 @@ import atexit
 import tempfile
 import uuid
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,11 +80,11 @@ def ids_and_texts(batch: pa.RecordBatch) -> tuple[list, list]:
     return batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
 
 
-def flat_lists(lists: list) -> tuple[np.ndarray, np.ndarray]:
-    """Concatenated values and offsets of a list of integer sequences."""
-    lens = np.fromiter(map(len, lists), np.int64, len(lists))
-    off = np.concatenate([[0], np.cumsum(lens)])
-    return off, lens
+def runs(batches, size: int = 400):
+    """doc_id and text of a few documents at a time, so that what a task makes of them stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, size):
+            yield ids_and_texts(b.slice(at, size))
 
 
 def documents(df: DataFrame) -> DataFrame:

@@ -95,11 +95,12 @@ class EliasFano:
         out[k] = j * 64 + _select(~self.high[j], z - self.zeros[j]) - z
         return out
 
-    def successor(self, v: np.ndarray) -> np.ndarray:
-        """Place of the first value not below v."""
+    def _search(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of the first value not below v, the end of the values that share v's high bits, v's low bits."""
         v = v.astype(_U)
         high = (v >> _U(self.width)).astype(np.int64)
-        lo, hi, low = self._before(high), self._before(high + 1), v & _U((1 << self.width) - 1)
+        lo, end, low = self._before(high), self._before(high + 1), v & _U((1 << self.width) - 1)
+        hi = end.copy()
         open_ = np.flatnonzero(lo < hi)
         while len(open_):
             mid = (lo[open_] + hi[open_]) >> 1
@@ -107,12 +108,15 @@ class EliasFano:
             lo[open_] = np.where(less, mid + 1, lo[open_])
             hi[open_] = np.where(less, hi[open_], mid)
             open_ = open_[lo[open_] < hi[open_]]
-        return lo
+        return lo, end, low
+
+    def successor(self, v: np.ndarray) -> np.ndarray:
+        return self._search(v)[0]
 
     def find(self, v: np.ndarray) -> np.ndarray:
-        """Place of each value, -1 where there is none."""
-        at = self.successor(v)
-        out, inside = np.full(len(at), -1, np.int64), np.flatnonzero(at < self.n)
-        hit = inside[self.get(at[inside]) == v[inside].astype(_U)]
+        """Place of each value, -1 where there is none: a successor with the same high and low bits."""
+        at, end, low = self._search(v)
+        out, inside = np.full(len(at), -1, np.int64), np.flatnonzero(at < end)
+        hit = inside[self._low(at[inside]) == low[inside]]
         out[hit] = at[hit]
         return out

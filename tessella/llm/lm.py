@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections import OrderedDict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,11 @@ from tessella.llm.elias_fano import EliasFano, load, save
 #: Discount of absolute discounting, at both levels.
 DISCOUNT = 0.75
 #: Tokens that a task gathers before it sorts and packs their n-grams.
-GATHER = 1_500_000
+GATHER = 1_000_000
 #: Tokens (about) for each shard of the trie, and nodes of a shard's second level in one part of the third.
 SHARD_TOKENS, PART_NODES = 8_000_000, 1 << 21
 #: Words whose number a worker remembers; a bound on memory only.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 END = b"\n"  # no word holds it
 HELD_OUT, FOLDS = 2, 7
 _U = np.uint64
@@ -130,12 +131,12 @@ class Trie:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        fresh = {w for ws in lists for w in ws if w not in known}
+        fresh = set(chain.from_iterable(lists)).difference(known)
         if fresh:
             fresh = list(fresh)
             h = np.fromiter(map(xxhash.xxh64_intdigest, fresh), _U, len(fresh))
             known.update(zip(fresh, self.lookup(h).tolist()))
-        return np.fromiter((known[w] for ws in lists for w in ws), np.int64, sum(map(len, lists)))
+        return np.fromiter(map(known.__getitem__, chain.from_iterable(lists)), np.int64, sum(map(len, lists)))
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
         out = np.full(len(h), -1, np.int64)

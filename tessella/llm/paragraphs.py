@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, documents, ids_and_texts, table
+from tessella.llm.common import Scratch, documents, runs, table
 from tessella.llm.components import components, linked_in, spread
 from tessella.llm.words import WordHashes, mix
 
@@ -89,9 +89,9 @@ _UNITS = "doc_id long, kind boolean, at int, upto int, n int, pid binary"
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Paragraphs (kind true; places in characters) and pieces (kind false; places in words)."""
-    for b in batches:
+    for ids, texts in runs(batches):
         cols: tuple[list, ...] = ([], [], [], [], [], [])
-        for i, t in zip(*ids_and_texts(b)):
+        for i, t in zip(ids, texts):
             if i is None:
                 continue
             for s, e in paragraphs(t):
@@ -110,10 +110,10 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, pid) for every band of every paragraph; within a batch each paragraph once."""
-    for b in batches:
+    """(key, pid) for every band of every paragraph; of those read together each paragraph once."""
+    for _, texts in runs(batches):
         lists: dict[bytes, list[bytes]] = {}
-        for _, t in zip(*ids_and_texts(b)):
+        for t in texts:
             for s, e in paragraphs(t):
                 ws = words(t[s:e])
                 if len(ws) >= LEAST_WORDS:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import Scratch, documents, table
+from tessella.llm.common import Scratch, documents, runs, table
 from tessella.llm.words import M1, WordHashes, mix
 
 BUCKETS = 1 << 18
@@ -65,9 +65,9 @@ def log_ratios(docs: DataFrame, folds: tuple[np.ndarray, np.ndarray]) -> np.ndar
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((3, BUCKETS), np.int64)
-        for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False) if b.num_rows else np.empty(0)
-            x, off = features([t or "" for t in b.column(1).to_pylist()])
+        for ids, texts in runs(batches):
+            ids = np.array([-1 if i is None else i for i in ids], np.int64)
+            x, off = features(texts)
             n[0] += np.bincount(x, minlength=BUCKETS)
             for j in (0, 1):
                 n[j + 1] += np.bincount(x[np.repeat(np.isin(ids, shared.value[j]), np.diff(off))], minlength=BUCKETS)
@@ -89,9 +89,9 @@ def weights(docs: DataFrame, ratios: np.ndarray, noise: float = NOISE) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            w = text_weights([t or "" for t in b.column(1).to_pylist()], shared.value)
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, w)], ["doc_id", "log_weight", "by_a", "by_b"])
+        for ids, texts in runs(batches):
+            w = text_weights(texts, shared.value)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, w)], ["doc_id", "log_weight", "by_a", "by_b"])
 
     rows = documents(docs).mapInArrow(score, "doc_id long, log_weight double, by_a double, by_b double")
     return rows.withColumn("draw", F.col("log_weight") + noise * gumbel("doc_id"))
@@ -201,7 +201,9 @@ def resampled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def weight(text):
         import pandas as pd
 
-        return pd.Series(text_weights([t or "" for t in text.tolist()], shared.value[:1])[0])
+        texts = [t or "" for t in text.tolist()]
+        some = [text_weights(texts[at : at + 400], shared.value[:1])[0] for at in range(0, len(texts), 400)]
+        return pd.Series(np.concatenate(some) if some else np.empty(0))
 
     own = docs.withColumn("_weight", weight(F.col("text").cast("string")))
     draw = F.col("_weight") + NOISE * gumbel("doc_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import xxhash
 
@@ -29,7 +31,7 @@ class WordHashes(dict):
     def of(self, lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words one after another, and where each list starts (with the end)."""
         lens = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((self[w] for ws in lists for w in ws), np.uint64, int(lens.sum()))
+        flat = np.fromiter(map(self.__getitem__, chain.from_iterable(lists)), np.uint64, int(lens.sum()))
         return flat, np.concatenate([[0], np.cumsum(lens)])
 
 
