@@ -23,7 +23,6 @@ def _sheet(css: str) -> Sheet:
     return _SHEETS[css]
 
 
-@F.pandas_udf("struct<text:string,nodes:long,removed:long,edits:long,error:string>")
 def _optimized(text: pd.Series, css: pd.Series) -> pd.DataFrame:
     rows = []
     for t, c in zip(text, css):
@@ -37,15 +36,20 @@ def _optimized(text: pd.Series, css: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "nodes", "removed", "edits", "error"])
 
 
-@F.pandas_udf("string")
-def fragment(text: pd.Series) -> pd.Series:
+def _fragments(text: pd.Series) -> pd.Series:
     return text.map(optimize_fragment, na_action="ignore")
 
 
+def fragment(text: Column) -> Column:
+    """The fragment without its inert wrappers."""
+    return F.pandas_udf(_fragments, "string")(text)
+
+
 def optimize_documents(docs: DataFrame, key: str, text: str, css: str | Column | None = None) -> DataFrame:
     """(key, text_before, text_after, nodes_before, nodes_removed, error); a map without a shuffle."""
     sheet = F.lit("") if css is None else F.col(css) if isinstance(css, str) else css
-    got = docs.select(key, F.col(text).alias("text_before"), _optimized(F.col(text), sheet).alias("r"))
+    run = F.pandas_udf(_optimized, "struct<text:string,nodes:long,removed:long,edits:long,error:string>")
+    got = docs.select(key, F.col(text).alias("text_before"), run(F.col(text), sheet).alias("r"))
     return got.select(key, "text_before", F.col("r.text").alias("text_after"), F.col("r.nodes").alias("nodes_before"), F.col("r.removed").alias("nodes_removed"), F.col("r.error").alias("error"))
 
 

@@ -218,7 +218,6 @@ _FACTS = (
 )
 
 
-@F.udf(_FACTS, useArrow=True)
 def _facts(css):
     s = parse(css)
     return s.rules, [(t, u.subject, u.ancestor, u.sibling, u.compound, u.structural, u.argument, s.droppable(t)) for t, u in s.usage.items()], sorted(s.complex)
@@ -226,7 +225,7 @@ def _facts(css):
 
 def parsed_sheets(sheets: DataFrame) -> DataFrame:
     """(set_id, facts): every distinct sheet set is parsed once."""
-    return sheets.select("set_id", _facts("css").alias("facts"))
+    return sheets.select("set_id", F.udf(_facts, _FACTS, useArrow=True)("css").alias("facts"))
 
 
 def rules(parsed: DataFrame) -> DataFrame:
