@@ -9,14 +9,14 @@ import xxhash
 
 #: Words whose hash a worker remembers; a bound on memory only.
 REMEMBERED = 500_000
-# A-Z to a-z, ASCII punctuation to a space.
-_FOLD = bytes(c + 32 if 65 <= c <= 90 else (c if c >= 128 or chr(c).isalnum() or c in b"\t\n\x0b\x0c\r" else 32) for c in range(256))
+# ASCII punctuation to a space.
+_FOLD = bytes((c if c >= 128 or chr(c).isalnum() or c in b"\t\n\x0b\x0c\r" else 32) for c in range(256))
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
 def folded(text: str) -> list[bytes]:
     """Lower-cased words without ASCII punctuation."""
-    return text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
+    return text.lower().encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
 class WordHashes(dict):
