@@ -40,9 +40,9 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         atexit.register(self._clean)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, **options: object) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:6]}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tessella_path = path
         return out

@@ -18,8 +18,8 @@ from tessella.llm.elias_fano import EliasFano, load, save
 
 #: Discount of absolute discounting, at both levels.
 DISCOUNT = 0.75
-#: Tokens that a task gathers before it sorts and packs their n-grams.
-GATHER = 1_000_000
+#: Tokens that a task gathers before it sorts and packs their n-grams, and in one row of the table of word numbers.
+GATHER, BLOCK = 1_000_000, 65_536
 #: Tokens (about) for each shard of the trie, and nodes of a shard's second level in one part of the third.
 SHARD_TOKENS, PART_NODES = 8_000_000, 1 << 21
 #: Words whose number a worker remembers; a bound on memory only.
@@ -213,12 +213,11 @@ class Trie:
 
 
 class Tokens:
-    """Word numbers of texts with, for each token, the two before it."""
+    """Word numbers of texts (of ``lens`` tokens each) with, for each token, the two before it."""
 
-    def __init__(self, trie: Trie, lists: list[list[bytes]]):
-        lens = np.fromiter(map(len, lists), np.int64, len(lists))
+    def __init__(self, trie: Trie, word: np.ndarray, lens: np.ndarray):
         self.off = np.concatenate([[0], np.cumsum(lens)])
-        self.word = trie.numbers(lists)
+        self.word = word
         self.place = np.arange(len(self.word)) - np.repeat(self.off[:-1], lens)
         end = int(trie.lookup(np.array([xxhash.xxh64_intdigest(END)], _U))[0])
         self.prev = np.where(self.place > 0, np.roll(self.word, 1), end)  # a text follows the last one's end
@@ -238,9 +237,9 @@ class Tokens:
         return np.roll(shard, 1), np.where(self.place > 0, np.roll(node, 1), -1)
 
 
-def scores(trie: Trie, lists: list[list[bytes]]) -> tuple[np.ndarray, ...]:
-    """Tokens, known tokens, base score and model score of each list."""
-    t = Tokens(trie, lists)
+def scores(trie: Trie, word: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Tokens, known tokens, base score and model score of each text."""
+    t = Tokens(trie, word, lens)
     uni = trie.log_unigram(t.word)
     shard, node, code, place = t.nodes(trie)
     log_p = trie.value(code)
@@ -252,7 +251,7 @@ def scores(trie: Trie, lists: list[list[bytes]]) -> tuple[np.ndarray, ...]:
     have = np.flatnonzero(up >= 0)
     got, back = trie.triples(up_shard[have], up[have], place[have], node[have] >= 0)
     log_p[have] = np.where(np.isnan(got), log_p[have] + back, got)
-    sums = lambda x: np.add.reduceat(x, t.off[:-1]) if len(lists) else np.empty(0)
+    sums = lambda x: np.add.reduceat(x, t.off[:-1]) if len(lens) else np.empty(0)
     return np.diff(t.off), sums((t.word >= 0).astype(np.int64)), sums(uni), sums(log_p)
 
 
@@ -271,6 +270,70 @@ def _gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[l
         yield ids, lists
 
 
+# ---- word numbers, looked up once for all later passes --------------------------------------
+
+_NUMBERED = "train boolean, ids array<long>, lens array<long>, numbers binary"
+#: Small row groups: a reader's batch holds a whole one.
+_SMALL_GROUPS = {"parquet.block.size": 16 << 20}
+
+
+def numbered(docs: DataFrame, trie: Trie, train=None) -> DataFrame:
+    """Blocks of documents as word numbers, those to learn from (where ``train`` holds, or all) apart from the rest."""
+    shared = docs.sparkSession.sparkContext.broadcast(trie)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tr = shared.value
+        held = {True: ([], []), False: ([], [])}
+        size = {True: 0, False: 0}
+
+        def block(flag: bool) -> pa.RecordBatch:
+            ids, lists = held[flag]
+            width, word = _width(tr), tr.numbers(lists)
+            planes = np.ascontiguousarray(word.astype(f"i{width}").view(np.uint8).reshape(-1, width).T)
+            z = pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+            out = pa.RecordBatch.from_arrays([pa.array([flag]), pa.array([ids], pa.list_(pa.int64())), pa.array([list(map(len, lists))], pa.list_(pa.int64())), pa.array([z], pa.binary())], ["train", "ids", "lens", "numbers"])
+            held[flag], size[flag] = ([], []), 0
+            return out
+
+        for b in batches:
+            for i, t, flag in zip(*ids_and_texts(b), b.column(2).to_pylist()):
+                held[flag][0].append(i)
+                held[flag][1].append(words_of(t))
+                size[flag] += len(held[flag][1][-1])
+                if size[flag] >= BLOCK:
+                    yield block(flag)
+        for flag in held:
+            if held[flag][0]:
+                yield block(flag)
+
+    flagged = documents(docs).select("doc_id", "text", (F.lit(True) if train is None else F.coalesce(train, F.lit(False))).alias("train"))
+    return flagged.mapInArrow(run, _NUMBERED)
+
+
+def _width(trie: Trie) -> int:
+    """Bytes of a word number."""
+    return 4 if trie.v < 1 << 31 else 8
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], trie: Trie, limit: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Ids, word numbers and lengths of runs of documents of about ``limit`` tokens, from ``numbered`` rows."""
+    width, ids, words, lens, n = _width(trie), [], [], [], 0
+    for b in batches:
+        for at in range(b.num_rows):
+            own = np.array(b.column(2)[at].as_py(), np.int64)
+            m = int(own.sum())
+            raw = np.frombuffer(pa.decompress(b.column(3)[at].as_py(), m * width, codec="zstd", asbytes=True), np.uint8)
+            words.append(np.ascontiguousarray(raw.reshape(width, m).T).view(f"i{width}").ravel().astype(np.int64))
+            ids += b.column(1)[at].as_py()
+            lens.append(own)
+            n += m
+            if n >= limit:
+                yield ids, np.concatenate(words), np.concatenate(lens)
+                ids, words, lens, n = [], [], [], 0
+    if ids:
+        yield ids, np.concatenate(words), np.concatenate(lens)
+
+
 def _vocabulary(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, int]:
     """(h, c) of all words; their number and sum."""
 
@@ -305,6 +368,12 @@ def _vocabulary(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, int]
 
 def train(docs: DataFrame, scratch: Scratch) -> Trie:
     """The trie of ``docs`` (doc_id, text), built in shards by the executors."""
+    words = first_level(docs, scratch)
+    return upper_levels(scratch.keep(numbered(docs, words), "numbers", **_SMALL_GROUPS), words)
+
+
+def first_level(docs: DataFrame, scratch: Scratch) -> Trie:
+    """A trie of words alone."""
     vocab, v, n = _vocabulary(docs, scratch)
     bits = max(1, int(np.ceil(np.log2(max(n / SHARD_TOKENS, 2)))))
     shards, folder = 1 << bits, scratch.folder("trie")
@@ -328,16 +397,22 @@ def train(docs: DataFrame, scratch: Scratch) -> Trie:
         if s not in per:
             save(folder, f"words-{s}", np.empty(0, _U))
             save(folder, f"counts-{s}", np.empty(0, np.int64))
-    trie = Trie(folder, bits, offsets, n, v)
-    sc = docs.sparkSession.sparkContext
+    return Trie(folder, bits, offsets, n, v)
+
+
+def upper_levels(blocks: DataFrame, trie: Trie) -> Trie:
+    """``trie`` with levels two and three, of what ``numbered`` made of its texts."""
+    folder, bits, offsets, n, v = trie.folder, trie.bits, trie.offsets, trie.n, trie.v
+    shards, sc = 1 << bits, blocks.sparkSession.sparkContext
+    per = {s: int(b - a) for s, (a, b) in enumerate(zip(offsets, [*offsets[1:], v]))}
 
     # level two
     shared = sc.broadcast(trie)
 
     def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tr = shared.value
-        for _, lists in _gathered(batches, GATHER):
-            t = Tokens(tr, lists)
+        for _, word, lens in _blocks(batches, tr, GATHER):
+            t = Tokens(tr, word, lens)
             keys, c = np.unique(t.prev.astype(_U) * _U(tr.v) + t.word.astype(_U), return_counts=True)
             shard = tr.shard_of((keys // _U(tr.v)).astype(np.int64))
             cuts = np.searchsorted(shard, np.arange(shards + 1))
@@ -360,7 +435,7 @@ def train(docs: DataFrame, scratch: Scratch) -> Trie:
             done.append((s, len(keys), int(many.max(initial=0))))
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*done) if done else [()] * 3)], ["s", "n", "most"])
 
-    got = docs.mapInArrow(pair_counts, _PACKED).repartitionById(shards, F.col("shard")).mapInArrow(build_two, "s long, n long, most long").collect()
+    got = blocks.mapInArrow(pair_counts, _PACKED).repartitionById(shards, F.col("shard")).mapInArrow(build_two, "s long, n long, most long").collect()
     size = {r[0]: r[1] for r in got}
     for s in set(range(shards)) - set(size):
         own = per.get(s, 0)
@@ -375,8 +450,8 @@ def train(docs: DataFrame, scratch: Scratch) -> Trie:
 
     def triple_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tr = shared3.value
-        for _, lists in _gathered(batches, GATHER):
-            t = Tokens(tr, lists)
+        for _, word, lens in _blocks(batches, tr, GATHER):
+            t = Tokens(tr, word, lens)
             shard, node, code, place = t.nodes(tr)
             up_shard, up = t.contexts(shard, node)
             have = np.flatnonzero(up >= 0)
@@ -404,7 +479,7 @@ def train(docs: DataFrame, scratch: Scratch) -> Trie:
         yield pa.RecordBatch.from_arrays([pa.array([done], pa.int32())], ["n"])
 
     if trie.parts():
-        docs.mapInArrow(triple_counts, _PACKED).repartitionById(trie.parts(), F.col("shard")).mapInArrow(build_three, "n int").collect()
+        blocks.mapInArrow(triple_counts, _PACKED).repartitionById(trie.parts(), F.col("shard")).mapInArrow(build_three, "n int").collect()
     return trie
 
 
@@ -414,18 +489,25 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
     A null text counts as empty (its end alone); repeated rows are scored each; a null doc_id
     belongs to neither part (held_out null).
     """
-    shared = docs.sparkSession.sparkContext.broadcast(trie)
+    return score_numbered(numbered(docs, trie), trie)
+
+
+def score_numbered(blocks: DataFrame, trie: Trie) -> DataFrame:
+    """``score`` of what ``numbered`` made of the texts."""
+    shared = blocks.sparkSession.sparkContext.broadcast(trie)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tr = shared.value
-        for ids, lists in _gathered(batches, GATHER // 3):
-            n, known, base, own = scores(tr, lists)
+        for ids, word, lens in _blocks(batches, tr, GATHER // 3):
+            n, known, base, own = scores(tr, word, lens)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n), pa.array(known), pa.array(base), pa.array(own)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    got = documents(docs).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    got = blocks.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return got.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(trie.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(table(spark, sf_dir, "documents"))
-    return score(docs, train(docs.where(~held_out()), Scratch(spark, "lm")))
+    docs, scratch = documents(table(spark, sf_dir, "documents")), Scratch(spark, "lm")
+    words = first_level(docs.where(~held_out()), scratch)
+    blocks = scratch.keep(numbered(docs, words, ~held_out()), "numbers", **_SMALL_GROUPS)
+    return score_numbered(blocks, upper_levels(blocks.where("train"), words))
