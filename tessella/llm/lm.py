@@ -21,7 +21,7 @@ DISCOUNT = 0.75
 #: Tokens that a task gathers before it sorts and packs their n-grams, and in one row of the table of word numbers.
 GATHER, BLOCK = 1_000_000, 65_536
 #: Tokens (about) for each shard of the trie, and nodes of a shard's second level in one part of the third.
-SHARD_TOKENS, PART_NODES = 8_000_000, 1 << 21
+SHARD_TOKENS, PART_NODES = 8_000_000, 1 << 19
 #: Words whose number a worker remembers; a bound on memory only.
 REMEMBERED = 250_000
 END = b"\n"  # no word holds it
@@ -69,23 +69,33 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
     held: dict[int, list] = {}
 
     def add(parts):
-        k = np.concatenate([p[0] for p in parts])
+        k, c, codes = (None if xs[0] is None else np.concatenate(xs) for xs in zip(*parts))
+        parts.clear()  # so that they don't stand beside the sorted arrays
         order = np.argsort(k, kind="stable")
-        k, c = k[order], np.concatenate([p[1] for p in parts]).astype(np.int64)[order]
+        k = k[order]
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        codes = None if parts[0][2] is None else np.concatenate([p[2] for p in parts])[order][first]
-        return k[first], np.add.reduceat(c, first), codes
+        return k[first], np.add.reduceat(c[order], first, dtype=np.int64), None if codes is None else codes[order[first]]
 
     for b in batches:
         for shard, n, keys, counts, codes in zip(*(b.column(i).to_pylist() for i in range(5))):
             own = held.setdefault(shard, [])
             own.append(_unpack(n, keys, counts, codes))
-            if len(own) > 1 and sum(len(p[0]) for p in own[1:]) > max(4_000_000, len(own[0][0])):
+            if len(own) > 1 and sum(len(p[0]) for p in own[1:]) > max(1_000_000, len(own[0][0])):
                 held[shard] = [add(own)]
-    for shard, own in held.items():
+    while held:
+        shard, own = held.popitem()
         yield shard, *add(own)
 
 
+def _grouped(by: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value with its places, in one sort however many values there are."""
+    if len(by):
+        order = np.argsort(by, kind="stable")
+        first = np.flatnonzero(np.diff(by[order], prepend=by[order[0]] - 1))
+        for mine in np.split(order, first[1:]):
+            yield int(by[mine[0]]), mine
+
+
 # ---- the model ------------------------------------------------------------------------------
 
 
@@ -140,9 +150,8 @@ class Trie:
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
         out = np.full(len(h), -1, np.int64)
-        shard = (h >> _U(64 - self.bits)).astype(np.int64)
-        for s in np.unique(shard):
-            mine, own = np.flatnonzero(shard == s), self.file(f"words-{s}")
+        for s, mine in _grouped((h >> _U(64 - self.bits)).astype(np.int64)):
+            own = self.file(f"words-{s}")
             if len(own):
                 at = np.minimum(np.searchsorted(own, h[mine]), len(own) - 1)
                 out[mine] = np.where(own[at] == h[mine], at + self.offsets[s], -1)
@@ -152,9 +161,7 @@ class Trie:
         return np.searchsorted(self.offsets, word, side="right") - 1
 
     def _by_shard(self, word: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        shard = self.shard_of(word)
-        for s in np.unique(shard):
-            yield int(s), np.flatnonzero(shard == s)
+        return _grouped(self.shard_of(word))
 
     def counts(self, word: np.ndarray) -> np.ndarray:
         out = np.zeros(len(word), np.int64)
@@ -198,9 +205,7 @@ class Trie:
     def triples(self, shard: np.ndarray, node: np.ndarray, place: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 P of (node, place) where level three holds it, else nan; and the node's back-off."""
         log_p, back = np.full(len(node), np.nan), np.zeros(len(node))
-        part = self.part_of(shard, node)
-        for k in np.unique(part):
-            mine = np.flatnonzero(part == k)
+        for k, mine in _grouped(self.part_of(shard, node)):
             local = node[mine] % PART_NODES
             if not os.path.exists(f"{self.folder}/three-b-{k}.npy"):
                 continue
