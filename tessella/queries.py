@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
+from tessella.operators import edits as E
 from tessella.operators import resolve as R
 from tessella.plans import audit as A
+from tessella.sources import files as L
 from tessella.sources import markup as M
 from tessella.sources import stylesheet as C
 
@@ -213,10 +215,55 @@ def pages_rewritten(spark, d):
     return A.file_stats(A.optimize_documents(pages.join(css, "page_id", "left"), "page_id", "html", "css"), "page_id")
 
 
+_LIST = "concat('<p>a</p><ul><li>', o_orderpriority, '</li></ul>')"
+_EDITS = (  # edit, target, other, index, markup, and the outline of the body after it ({} the list's text)
+    ("remove", 4, None, None, None, "ul li {}"), ("unwrap", 6, None, None, None, "p a li {}"), ("replace", 4, None, None, "<i>x</i>", "i x ul li {}"), ("wrap", 4, None, None, "<div></div>", "div p a ul li {}"),
+    ("insert_before", 4, None, None, "<i>x</i>", "i x p a ul li {}"), ("insert_after", 4, None, None, "<i>x</i>", "p a i x ul li {}"), ("move", 4, 6, 5, None, "ul li {} p a"), ("merge", 4, 6, None, None, "p a li {}"),
+)
+
+
+def tree_edits(spark, d):
+    kinds = F.array(*(F.array(F.struct(*map(F.lit, e[:5]), F.lit(None), F.lit(1)).cast(E.EDIT)) for e in _EDITS))
+    docs = _table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_LIST).alias("text"), F.get(kinds, (F.col("o_custkey") % len(_EDITS)).cast("int")).alias("edits"))
+    names = F.transform(F.filter("nodes", lambda n: n["kind"] != "fragment"), lambda n: F.coalesce(n["text_value"], n["tag"]))
+    return E.edit_documents(docs, "doc_id", "text", "edits").select("doc_id", F.array_join(names, " ").alias("outline"), F.col("applied").cast("long").alias("applied"), F.size("refused").cast("long").alias("refused"))
+
+
+def readable_sizes(spark, d):
+    n = F.col("o_orderkey") * F.col("o_orderkey") * 37
+    return _table(spark, d, "orders").select("o_orderkey", S.readable_bytes(n).alias("bytes"), S.readable_count(n).alias("count"))
+
+
+_VARIANTS = (("hover:p-4", "hover:", "p-4"), ("data-[state=open]:p-4", "data-[state=open]:", "p-4"), ("[color:red]", None, None), ("md:hover:bg-[url(http://x)]", "md:hover:", "bg-[url(http://x)]"))
+
+
+def utility_tokens(spark, d):
+    token = F.get(F.array(*(F.lit(v[0]) for v in _VARIANTS)), (F.col("p_size") % len(_VARIANTS)).cast("int"))
+    got = _table(spark, d, "part").select("p_partkey", S.variant_split(token).alias("v"), S.arbitrary_value(F.col("p_name")).alias("arbitrary"))
+    return got.select("p_partkey", "v.chain", "v.root", "arbitrary")
+
+
+_PATH = "case event_id % 5 when 0 then '/r/a.TSX?x=1' when 1 then '/r/s/b.html' when 2 then '/s/c.htm' when 3 then '/r/dist/d.jsx' else '/r/e.css' end"
+
+
+def file_routes(spark, d):
+    e = _table(spark, d, "events").select("event_id", F.expr(_PATH).alias("path"))
+    return e.select("event_id", L.kind(F.col("path")).alias("kind"), L.destination(F.col("path"), "/r", "/o").alias("mirrored"), L.destination(F.col("path"), "/r", "/r").alias("in_place"))
+
+
+_AFTER = "case o_custkey % 3 when 0 then concat('a', chr(10), o_orderpriority, chr(10), 'z') when 1 then concat('a', chr(10), 'Y', chr(10), 'z') else concat('a', chr(10), o_orderpriority, chr(10), 'z', chr(10), 'w') end"
+
+
+def line_diffs(spark, d):
+    before = F.expr("concat('a', chr(10), o_orderpriority, chr(10), 'z')")
+    return _table(spark, d, "orders").select("o_orderkey", L.line_diff(before, F.expr(_AFTER), F.lit("f")).alias("diff"))
+
+
 QUERIES = {f.__name__: f for f in (
     class_token_count, byte_totals, tag_histogram, inline_stylesheets, sheet_sets, canon_values, shorthand_expand, condition_keys,
     forward_resolve, unknown_tokens, cascade_last_wins, selector_usage, droppable_tokens, cover_candidates, single_child_wrappers, nth_child, depths,
     flatten_fixpoint, flatten_barriers, centring, compress_classes, fragment_optimize, file_stats, audit_totals, audit_worst5, run_totals, build_totals, pages_rewritten,
+    tree_edits, readable_sizes, utility_tokens, file_routes, line_diffs,
 )}
 
 _STATS = f"""SELECT o_orderkey AS doc_id, o_orderkey % 4 > 0 AS changed, 7 + o_orderkey % 4 - 1 AS nodes_before, o_orderkey % 4 AS nodes_removed, CAST(0 AS BIGINT) AS classes_before,
@@ -256,4 +303,9 @@ SQL = {
     "audit_worst5": f"SELECT CAST(doc_id AS VARCHAR) AS id, bytes_saved AS bytes_savable, nodes_removed, classes_saved FROM ({_STATS}) WHERE nodes_removed > 0 ORDER BY bytes_savable DESC, id LIMIT 5",
     "run_totals": f"SELECT count(*) AS files, count(*) FILTER (changed) AS changed, CAST(sum(nodes_removed) AS BIGINT) AS nodes_removed, CAST(sum(classes_saved) AS BIGINT) AS classes_saved, CAST(sum(bytes_saved) AS BIGINT) AS bytes_saved FROM ({_STATS})",
     "build_totals": f"SELECT count(*) AS files, count(*) FILTER (changed) AS changed, CAST(sum(nodes_removed) AS BIGINT) AS nodes_removed, CAST(sum(classes_saved) AS BIGINT) AS classes_saved, CAST(sum(bytes_saved) AS BIGINT) AS bytes_saved FROM ({_STATS}) WHERE changed",
+    "tree_edits": "SELECT o_orderkey AS doc_id, 'html head body ' || CASE o_custkey % 8 " + " ".join(f"WHEN {k} THEN '{e[5]}'".replace("{}", "' || o_orderpriority || '") for k, e in enumerate(_EDITS)) + " END AS outline, CAST(1 AS BIGINT) AS applied, CAST(0 AS BIGINT) AS refused FROM orders",
+    "readable_sizes": "SELECT o_orderkey, CASE " + " ".join(f"WHEN n < {1024 ** (k + 1)} THEN printf('%.1f {u}', round(n / {1024 ** k}, 1))" if k else "WHEN n < 1024 THEN n || ' B'" for k, u in enumerate(("B", "KB", "MB", "GB"))) + " ELSE printf('%.1f TB', round(n / 1099511627776, 1)) END AS bytes, format('{:,}', n) AS count FROM (SELECT o_orderkey, CAST(o_orderkey * o_orderkey * 37 AS BIGINT) AS n FROM orders)",
+    "utility_tokens": "SELECT p_partkey, " + ", ".join("CASE p_size % 4 " + " ".join(f"WHEN {k} THEN '{v[c]}'" for k, v in enumerate(_VARIANTS) if v[c]) + f" END AS {name}" for c, name in ((1, "chain"), (2, "root"))) + ", CASE WHEN p_name <> '' AND NOT regexp_matches(p_name, '[\\[\\]{}''\"`;_]') THEN regexp_replace(p_name, '\\s+', '_', 'g') END AS arbitrary FROM part",
+    "file_routes": "SELECT event_id, ['tsx','html','html','jsx',NULL][event_id % 5 + 1] AS kind, ['/o/a.TSX?x=1','/o/s/b.html','/o/c.htm','/o/dist/d.jsx','/o/e.css'][event_id % 5 + 1] AS mirrored, [NULL,NULL,'/r/c.htm','/r/dist/d.jsx',NULL][event_id % 5 + 1] AS in_place FROM events",
+    "line_diffs": "SELECT o_orderkey, CASE o_custkey % 3 WHEN 0 THEN '  (unchanged) f' WHEN 1 THEN concat_ws(chr(10), '--- a/f', '+++ b/f', '@@ -2 +2 @@', '-' || o_orderpriority, '+Y') ELSE concat_ws(chr(10), '--- a/f', '+++ b/f', '@@ -4 +4 @@', '+w') END AS diff FROM orders",
 }
