@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
+from tessella.functions import styles as Y
 from tessella.operators import edits as E
+from tessella.operators import merge as G
 from tessella.operators import resolve as R
 from tessella.plans import audit as A
 from tessella.sources import files as L
@@ -259,11 +261,58 @@ def line_diffs(spark, d):
     return _table(spark, d, "orders").select("o_orderkey", L.line_diff(before, F.expr(_AFTER), F.lit("f")).alias("diff"))
 
 
+def _style(spark, d, *pairs):
+    """A style for each part; a value may be SQL over its columns, null for no declaration."""
+    rows = F.explode(F.array(*(F.struct(F.lit(p).alias("property"), F.expr(v).alias("value")) for p, v in pairs)))
+    got = _table(spark, d, "part").select(F.col("p_partkey").alias("key"), rows.alias("x")).where("x.value is not null")
+    return got.select("key", F.lit("||").alias("cond"), "x.property", "x.value", F.lit(False).alias("important"))
+
+
+_COLOUR = "case p_size % 2 when 0 then 'red' else 'blue' end"
+
+
+def _merged_pair(spark, d):
+    return _style(spark, d, ("color", "'red'"), ("margin-top", "'0'")), _style(spark, d, ("color", _COLOUR), ("top", "'1px'"))
+
+
+def style_merge(spark, d):
+    target, source = _merged_pair(spark, d)
+    one = lambda p: G.merge_styles(target, source, p).select(F.lit(p).alias("policy"), "key", "property", "value")
+    return one("target-wins").unionByName(one("source-wins")).unionByName(one("abort"))
+
+
+def inherited_fold(spark, d):
+    wrapper = _style(spark, d, ("color", "'blue'"), ("font-size", "'2em'"), ("margin-top", "'1px'"), ("cursor", "'help'"))
+    child = _style(spark, d, ("color", "case p_size % 2 when 0 then 'red' end"), ("top", "'0'"))
+    return G.fold_inherited(wrapper, child).select("key", "property", "value")
+
+
+def style_residual(spark, d):
+    target, source = _merged_pair(spark, d)
+    return G.residual(source, target).select("key", "property", "value")
+
+
+def style_difference(spark, d):
+    target, _ = _merged_pair(spark, d)
+    return G.differing(target, _style(spark, d, ("color", _COLOUR), ("margin-top", "'0'")))
+
+
+_INLINE = (("color: RED; padding: 1px 2px", "color:RED padding-top:1px padding-right:2px padding-bottom:1px padding-left:2px"), ("color:red; bad", None), ("overflow:hidden !important", "overflow-x:hidden! overflow-y:hidden!"), ("top:1px;inset:0", None), ("background:url(a;b)", "background:url(a;b)"))
+
+
+def inline_declarations(spark, d):
+    text = F.get(F.array(*(F.lit(x[0]) for x in _INLINE)), (F.col("s_suppkey") % len(_INLINE)).cast("int"))
+    read = F.udf(Y.inline_style, "array<struct<property:string,value:string,important:boolean>>", useArrow=True)
+    parts = F.transform(read(text), lambda x: F.concat(x["property"], F.lit(":"), x["value"], F.when(x["important"], "!").otherwise("")))
+    return _table(spark, d, "supplier").select("s_suppkey", F.array_join(parts, " ").alias("style"))
+
+
 QUERIES = {f.__name__: f for f in (
     class_token_count, byte_totals, tag_histogram, inline_stylesheets, sheet_sets, canon_values, shorthand_expand, condition_keys,
     forward_resolve, unknown_tokens, cascade_last_wins, selector_usage, droppable_tokens, cover_candidates, single_child_wrappers, nth_child, depths,
     flatten_fixpoint, flatten_barriers, centring, compress_classes, fragment_optimize, file_stats, audit_totals, audit_worst5, run_totals, build_totals, pages_rewritten,
     tree_edits, readable_sizes, utility_tokens, file_routes, line_diffs,
+    style_merge, inherited_fold, style_residual, style_difference, inline_declarations,
 )}
 
 _STATS = f"""SELECT o_orderkey AS doc_id, o_orderkey % 4 > 0 AS changed, 7 + o_orderkey % 4 - 1 AS nodes_before, o_orderkey % 4 AS nodes_removed, CAST(0 AS BIGINT) AS classes_before,
@@ -308,4 +357,11 @@ SQL = {
     "utility_tokens": "SELECT p_partkey, " + ", ".join("CASE p_size % 4 " + " ".join(f"WHEN {k} THEN '{v[c]}'" for k, v in enumerate(_VARIANTS) if v[c]) + f" END AS {name}" for c, name in ((1, "chain"), (2, "root"))) + ", CASE WHEN p_name <> '' AND NOT regexp_matches(p_name, '[\\[\\]{}''\"`;_]') THEN regexp_replace(p_name, '\\s+', '_', 'g') END AS arbitrary FROM part",
     "file_routes": "SELECT event_id, ['tsx','html','html','jsx',NULL][event_id % 5 + 1] AS kind, ['/o/a.TSX?x=1','/o/s/b.html','/o/c.htm','/o/dist/d.jsx','/o/e.css'][event_id % 5 + 1] AS mirrored, [NULL,NULL,'/r/c.htm','/r/dist/d.jsx',NULL][event_id % 5 + 1] AS in_place FROM events",
     "line_diffs": "SELECT o_orderkey, CASE o_custkey % 3 WHEN 0 THEN '  (unchanged) f' WHEN 1 THEN concat_ws(chr(10), '--- a/f', '+++ b/f', '@@ -2 +2 @@', '-' || o_orderpriority, '+Y') ELSE concat_ws(chr(10), '--- a/f', '+++ b/f', '@@ -4 +4 @@', '+w') END AS diff FROM orders",
+    "style_merge": f"""WITH p AS (SELECT p_partkey AS key, {_COLOUR} AS c, p_size % 2 = 0 AS same FROM part)
+      SELECT policy, key, property, CASE property WHEN 'color' THEN CASE policy WHEN 'source-wins' THEN c ELSE 'red' END WHEN 'top' THEN '1px' ELSE '0' END AS value
+      FROM p, (VALUES ('target-wins'), ('source-wins'), ('abort')) a(policy), (VALUES ('color'), ('margin-top'), ('top')) b(property) WHERE same OR policy <> 'abort' OR property <> 'top'""",
+    "inherited_fold": "SELECT p_partkey AS key, property, CASE property WHEN 'color' THEN CASE p_size % 2 WHEN 0 THEN 'red' ELSE 'blue' END WHEN 'cursor' THEN 'help' ELSE '0' END AS value FROM part, (VALUES ('color'), ('cursor'), ('top')) b(property)",
+    "style_residual": "SELECT p_partkey AS key, property, CASE property WHEN 'top' THEN '1px' ELSE 'blue' END AS value FROM part, (VALUES ('color'), ('top')) b(property) WHERE property = 'top' OR p_size % 2 = 1",
+    "style_difference": "SELECT p_partkey AS key FROM part WHERE p_size % 2 = 1",
+    "inline_declarations": "SELECT s_suppkey, [" + ", ".join("NULL" if x[1] is None else f"'{x[1]}'" for x in _INLINE) + f"][s_suppkey % {len(_INLINE)} + 1] AS style FROM supplier",
 }
