@@ -1,4 +1,4 @@
-"""Substring dedup: paragraphs by MinHash banding, and the passages inside them by content-defined cuts."""
+"""Substring dedup: paragraphs by MinHash banding, and the passages inside them by windows of words."""
 
 from __future__ import annotations
 
@@ -18,14 +18,19 @@ from tessella.llm.words import WordHashes, mix
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands and rows: at a similarity of 0.8 a pair shares a band with probability 0.993.
 BANDS, ROWS = 7, 3
-#: Shorter paragraphs, and runs of repeated pieces, are no passages.
+#: Shorter paragraphs, and shorter repeated runs, are no passages.
 LEAST_WORDS = 20
-#: A piece ends where a window's hash is least among this many before and after it.
+#: cuts() ends a piece where a window's hash is least among this many before and after it.
 REACH = 5
 PER_BLOCK = 20_000
 
 _HASHES = WordHashes()
 _U = np.uint64
+#: The base of the window hashes, and its inverse modulo 2**64.
+_BASE = _U(0x9E3779B97F4A7C15)
+_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
+#: Bits of a shingle's hash that give way to its place among the words read together.
+_PLACE = _U(2**28 - 1)
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
 
@@ -82,31 +87,158 @@ def cuts(h: np.ndarray) -> np.ndarray:
     return np.flatnonzero((around[:, REACH] == low) & ((around == low[:, None]).sum(1) == 1)) + REACH + 2
 
 
+def windows(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the runs of LEAST_WORDS words in word lists (hashes h, cut at off), the place of the
+    anchor (the shingle of least hash, the first if tied) of each, and the hashes of the shingles.
+
+    An anchor depends on its window's words only, so equal windows have equal anchors.
+    """
+    lens = np.diff(off)
+    within = np.arange(len(h)) - np.repeat(off[:-1], lens)
+    starts = np.flatnonzero(within + LEAST_WORDS <= np.repeat(lens, lens))
+    if not len(starts):
+        return starts, starts, h[:0]
+    x = np.zeros(len(h) - SHINGLE + 1, np.uint64)
+    for j in range(SHINGLE):
+        x = mix(x * _U(31) + h[j : len(h) - SHINGLE + 1 + j])
+    low = x & ~_PLACE | np.arange(len(x), dtype=np.uint64)
+    span, reach = 1, LEAST_WORDS - SHINGLE + 1
+    while span < reach:
+        step = min(span, reach - span)
+        low = np.minimum(low[:-step], low[step:])
+        span += step
+    return starts, (low[starts] & _PLACE).astype(np.int64), x
+
+
+def window_hashes(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hash of the LEAST_WORDS words from each start: differences of running sums, brought to one power."""
+    n = len(h) + 1
+    up, down = (np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(n - 1, b, np.uint64))]) for b in (_BASE, _INVERSE))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[:-1], dtype=np.uint64)])
+    return (sums[starts + LEAST_WORDS] - sums[starts]) * down[starts]
+
+
 # ---- what a text holds ----------------------------------------------------------------------
 
-_UNITS = "doc_id long, kind boolean, at int, upto int, n int, pid binary"
+_UNITS = "doc_id long, kind boolean, at int, upto int, n int, pid binary, key long"
+_FOUND = "doc_id long, first int, last int, removed boolean, keep_id long"
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Paragraphs (kind true; places in characters) and pieces (kind false; places in words)."""
+    """Paragraphs (kind true; places in characters) and anchors (kind false; places in words, with a key)."""
+    types = (pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
+    names = ["doc_id", "kind", "at", "upto", "n", "pid", "key"]
     for ids, texts in runs(batches):
         cols: tuple[list, ...] = ([], [], [], [], [], [])
+        lists = []
         for i, t in zip(ids, texts):
-            if i is None:
-                continue
+            lists.append(words(t))
             for s, e in paragraphs(t):
                 ws = words(t[s:e])
                 if len(ws) >= LEAST_WORDS:
                     for c, v in zip(cols, (i, True, s, e, len(ws), xxhash.xxh3_128_digest(b" ".join(ws)))):
                         c.append(v)
-            ws = words(t)
-            h, _ = _HASHES.of([ws])
-            ends = cuts(h).tolist()
-            for s, e in zip(ends, ends[1:]):
-                for c, v in zip(cols, (i, False, s, e, e - s, xxhash.xxh3_128_digest(b" ".join(ws[s:e])))):
-                    c.append(v)
-        types = (pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types)], ["doc_id", "kind", "at", "upto", "n", "pid"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, types)), pa.nulls(len(cols[0]), pa.int64())], names)
+        h, off = _HASHES.of(lists)
+        _, place, x = windows(h, off)
+        place = place[np.diff(place, prepend=-1) != 0]
+        text = np.searchsorted(off, place, "right") - 1
+        none = [pa.nulls(len(place), k) for k in types[3:6]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[text]), pa.array(np.zeros(len(place), bool)), pa.array((place - off[text]).astype(np.int32)), *none, pa.array(x[place].view(np.int64))], names)
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, ats: anchors wanted) -> (key, doc_id, at, hashes of the windows from there on that share the anchor)."""
+    for b in batches:
+        for part in (b.slice(k, 400) for k in range(0, b.num_rows, 400)):
+            ids, texts = part.column(0).to_numpy(), part.column(1).to_pylist()
+            h, off = _HASHES.of([words(t) for t in texts])
+            starts, place, x = windows(h, off)
+            ats = part.column(2)
+            at = ats.flatten().to_numpy() + np.repeat(off[:-1], ats.value_lengths().to_numpy())
+            mark = np.zeros(len(h) + 1, bool)
+            mark[at[at < len(h)]] = True
+            starts, place = starts[mark[place]], place[mark[place]]
+            new = np.flatnonzero(np.diff(place, prepend=-1))
+            text = np.searchsorted(off, starts[new], "right") - 1
+            ends = pa.array(np.append(new, len(starts)).astype(np.int32) * 8)
+            blobs = pa.Array.from_buffers(pa.binary(), len(new), [None, ends.buffers()[1], pa.py_buffer(window_hashes(h, starts))])
+            yield pa.RecordBatch.from_arrays([pa.array(x[place[new]].view(np.int64)), pa.array(ids[text]), pa.array((starts[new] - off[text]).astype(np.int32)), blobs], ["key", "doc_id", "at", "hashes"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _windows sorted by key -> the runs of windows that stand at two places (_FOUND)."""
+
+    def found(rows: pa.Table) -> pa.RecordBatch:
+        blobs = rows.column("hashes").to_pylist()
+        n = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 8
+        h = np.frombuffer(b"".join(blobs), np.uint64)
+        doc = np.repeat(rows.column("doc_id").to_numpy(), n)
+        at = np.repeat(rows.column("at").to_numpy().astype(np.int64), n) + np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+        by = np.lexsort((at, doc, h))
+        h, doc, at = h[by], doc[by], at[by]
+        again = np.zeros(len(h), bool)  # rows that repeat a doc_id
+        again[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])
+        h, doc, at = h[~again], doc[~again], at[~again]
+        new = np.flatnonzero(np.concatenate([np.ones(1, bool), h[1:] != h[:-1]]))
+        size = np.diff(np.append(new, len(h)))
+        keep, gone = np.repeat(doc[new], size), np.ones(len(h), bool)
+        gone[new] = False
+        many = np.repeat(size > 1, size)
+        doc, at, keep, gone = doc[many], at[many], keep[many], gone[many]
+        by = np.lexsort((at, doc))
+        doc, at, keep, gone = doc[by], at[by], keep[by], gone[by]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1) | (keep[1:] != keep[:-1]) | (gone[1:] != gone[:-1])
+        first = np.flatnonzero(new)
+        last = at[np.append(first[1:], len(at)) - 1] + LEAST_WORDS if len(first) else at
+        return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(at[first].astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(gone[first]), pa.array(keep[first])], ["doc_id", "first", "last", "removed", "keep_id"])
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b.column(0).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
+        if held and (cut or held[0].column(0)[0].as_py() != keys[-1]):
+            yield found(pa.Table.from_batches([*held, b.slice(0, cut)]))
+            held = []
+        elif cut:
+            yield found(pa.Table.from_batches([b.slice(0, cut)]))
+        held.append(b.slice(cut))
+    if held:
+        yield found(pa.Table.from_batches(held))
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs (_FOUND) sorted by document -> its longest stretches of words that share their fate (_FOUND)."""
+
+    def stretches(doc: int, got: list[tuple]) -> list[tuple]:
+        fate = np.zeros(max(e for _, e, _, _ in got) + 1, np.int8)
+        keep = np.zeros(len(fate), np.int64)
+        for wanted in (True, False):  # words of a window that stays stay
+            for s, e, gone, k in reversed(got):
+                if gone == wanted:
+                    fate[s:e], keep[s:e] = 1 if gone else 2, k
+        cut = np.flatnonzero(np.diff(fate, prepend=0)).tolist()
+        return [(doc, s, e, bool(fate[s] == 1), int(keep[s])) for s, e in zip(cut, cut[1:]) if fate[s]]
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 5, types)], ["doc_id", "first", "last", "removed", "keep_id"])
+
+    doc, got, out = None, [], []
+    for b in batches:
+        for i, *run in zip(*(b.column(k).to_pylist() for k in range(5))):
+            if i != doc:
+                if got:
+                    out += stretches(doc, got)
+                doc, got = i, []
+            got.append(tuple(run))
+        yield batch(out)
+        out = []
+    if got:
+        yield batch(stretches(doc, got))
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,23 +309,27 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     doc_id; kind ``paragraph`` (first, last: characters, the last exclusive) or ``passage`` (words,
     likewise); n_words; component (paragraphs only); keep_id, the least document that holds the
-    component or the passage's first piece; removed: false for the one occurrence that stays.
-
-    Paragraphs are lines of at least LEAST_WORDS words.  Passages are runs of pieces that occur
-    elsewhere too, however they stand within paragraphs.  Null and empty texts and rows with a null
-    doc_id have none; rows that repeat a doc_id count as one document; of ties the earliest stays.
+    component or the passage's first words; removed: false for the one occurrence that stays.
+
+    Paragraphs are lines of at least LEAST_WORDS words.  Passages are all runs of LEAST_WORDS words
+    or more that stand at two places, to their exact ends, however they stand within paragraphs.
+    The first place of every such window of LEAST_WORDS words stays whole: a run that goes is cut
+    where it overlaps one that stays, so its row may be shorter.  Windows are compared with those
+    of the same anchor; one task holds the windows of an anchor.  Null and empty texts and rows with
+    a null doc_id have none; rows that repeat a doc_id count as one document; of ties the earliest
+    stays.
     """
     docs = documents(docs).where("doc_id is not null and text is not null")
     units = scratch.keep(docs.mapInArrow(_units, _UNITS), "units")
-    first = F.min(F.struct("doc_id", "at", "upto")).alias("first")
-
-    # pieces: equal ones, wherever they stand, joined where they touch and share their fate
-    hits = _repeated(units.where("not kind"), "pid")
-    by = W.partitionBy("doc_id").orderBy("at")
-    new = (F.lag("upto").over(by) != F.col("at")) | (F.lag("removed").over(by) != F.col("removed"))
-    runs = hits.withColumn("run", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(by)).groupBy("doc_id", "run", "removed")
-    passages = runs.agg(F.min("at").alias("first"), F.max("upto").alias("last"), F.min_by("keep_id", "at").alias("keep_id")).withColumn("n_words", F.col("last") - F.col("first"))
-    passages = passages.where(F.col("n_words") >= LEAST_WORDS).select("doc_id", F.lit("passage").alias("kind"), "first", "last", "n_words", F.lit(None).cast("long").alias("component"), "keep_id", "removed")
+
+    # passages: anchors that repeat, then all windows around them
+    anchors = units.where("not kind").select("key", "doc_id", "at")
+    often = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    ats = anchors.join(often, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("ats"))
+    near = docs.join(ats, "doc_id").select("doc_id", "text", "ats").mapInArrow(_windows, "key long, doc_id long, at int, hashes binary")
+    found = near.repartition("key").sortWithinPartitions("key").mapInArrow(_alike, _FOUND)
+    passages = found.repartition("doc_id").sortWithinPartitions("doc_id", "first", "last").mapInArrow(_passages, _FOUND).withColumn("n_words", F.col("last") - F.col("first"))
+    passages = passages.select("doc_id", F.lit("passage").alias("kind"), "first", "last", "n_words", F.lit(None).cast("long").alias("component"), "keep_id", "removed")
 
     # paragraphs: near-equal ones
     paras = units.where("kind")

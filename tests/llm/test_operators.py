@@ -141,6 +141,33 @@ def test_passages_planted_inside_paragraphs(spark):
     assert {r.doc_id for r in got if r.removed and r.kind == "paragraph"} == set(range(51, 60))
 
 
+def test_passages_are_all_windows_that_repeat(spark):
+    rng = random.Random(12)
+    text = lambda n: [f"w{rng.randint(0, 10**7)}" for _ in range(n)]
+    data = {}
+    for n in (19, 20, 21, 25, 30, 45, 60, 200):
+        passage = text(n)
+        for k in range(3):
+            data[n * 10 + k] = text(rng.randint(0, 60)) + passage + text(rng.randint(0, 60))
+    longer = text(90)
+    data |= {1: longer, 2: text(5) + longer[:50] + text(5), 3: longer[30:] + text(9), 4: ["same"] * 50, 5: text(7) + ["same"] * 30}
+    found = [(i, " ".join(w)) for i, w in data.items()]
+    places = {}
+    for i in sorted(data):
+        for at in range(len(data[i]) - 19):
+            places.setdefault(tuple(data[i][at : at + 20]), []).append((i, at))
+    stays, goes = set(), set()
+    for (i, at), *more in places.values():
+        if more:
+            stays |= {(i, w) for w in range(at, at + 20)}
+            goes |= {(j, w) for j, b in more for w in range(b, b + 20)}
+    got = paragraphs.repeated_passages(spark.createDataFrame(found + found[:3], "doc_id long, text string"), Scratch(spark, "t")).where("kind = 'passage'").collect()
+    cover = lambda gone: sorted((r.doc_id, w) for r in got if r.removed == gone for w in range(r["first"], r["last"]))
+    assert cover(False) == sorted(stays) and cover(True) == sorted(goes - stays)
+    assert all(r.n_words == r["last"] - r["first"] and (r.keep_id < r.doc_id or r.keep_id == r.doc_id) for r in got)
+    assert {r.doc_id: r.keep_id for r in got if r.doc_id >= 200} == {n * 10 + k: n * 10 for n in (20, 21, 25, 30, 45, 60, 200) for k in range(3)}
+
+
 def test_benchmark_copies_and_edits(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
     rng = random.Random(6)
