@@ -18,7 +18,9 @@ from tessella.llm.words import WordHashes, mix
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands and rows: at a similarity of 0.8 a pair shares a band with probability 0.993.
 BANDS, ROWS = 7, 3
-#: Shorter paragraphs, and shorter repeated runs, are no passages.
+#: Shorter lines are no paragraphs: they have no whole shingle.
+LEAST_LINE = SHINGLE
+#: Shorter repeated runs are no passages.
 LEAST_WORDS = 20
 #: cuts() ends a piece where a window's hash is least among this many before and after it.
 REACH = 5
@@ -135,7 +137,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lists.append(words(t))
             for s, e in paragraphs(t):
                 ws = words(t[s:e])
-                if len(ws) >= LEAST_WORDS:
+                if len(ws) >= LEAST_LINE:
                     for c, v in zip(cols, (i, True, s, e, len(ws), xxhash.xxh3_128_digest(b" ".join(ws)))):
                         c.append(v)
         yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, types)), pa.nulls(len(cols[0]), pa.int64())], names)
@@ -248,7 +250,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in texts:
             for s, e in paragraphs(t):
                 ws = words(t[s:e])
-                if len(ws) >= LEAST_WORDS:
+                if len(ws) >= LEAST_LINE:
                     lists[xxhash.xxh3_128_digest(b" ".join(ws))] = ws
         if lists:
             keys = band_keys(*_HASHES.of(list(lists.values())))
@@ -311,7 +313,7 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     likewise); n_words; component (paragraphs only); keep_id, the least document that holds the
     component or the passage's first words; removed: false for the one occurrence that stays.
 
-    Paragraphs are lines of at least LEAST_WORDS words.  Passages are all runs of LEAST_WORDS words
+    Paragraphs are lines of at least LEAST_LINE words.  Passages are all runs of LEAST_WORDS words
     or more that stand at two places, to their exact ends, however they stand within paragraphs.
     The first place of every such window of LEAST_WORDS words stays whole: a run that goes is cut
     where it overlaps one that stays, so its row may be shorter.  Windows are compared with those

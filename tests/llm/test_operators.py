@@ -168,6 +168,19 @@ def test_passages_are_all_windows_that_repeat(spark):
     assert {r.doc_id: r.keep_id for r in got if r.doc_id >= 200} == {n * 10 + k: n * 10 for n in (20, 21, 25, 30, 45, 60, 200) for k in range(3)}
 
 
+def test_short_lines_are_paragraphs(spark):
+    rng = random.Random(13)
+    text = lambda n: " ".join(f"w{rng.randint(0, 10**7)}" for _ in range(n))
+    lines = {n: text(n) for n in (4, 5, 9, 14, 19)}
+    near = text(16)
+    data = {n * 10 + k: f"{text(6)}\n{line}\n{text(7)}" for n, line in lines.items() for k in range(3)} | {300: near, 301: near + " more", 302: near[: near.rindex(" ")]}
+    got = paragraphs.repeated_passages(spark.createDataFrame(list(data.items()), "doc_id long, text string"), Scratch(spark, "t")).collect()
+    assert all(r.kind == "paragraph" for r in got)
+    assert {(r.doc_id, r.removed) for r in got if r.doc_id < 300} == {(n * 10 + k, k > 0) for n in (5, 9, 14, 19) for k in range(3)}
+    assert all(data[r.doc_id][r["first"] : r["last"]] == lines[r.doc_id // 10] and r.keep_id == r.doc_id // 10 * 10 for r in got if r.doc_id < 300)
+    assert {r.doc_id for r in got if r.doc_id >= 300} == {300, 301, 302}
+
+
 def test_benchmark_copies_and_edits(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
     rng = random.Random(6)
