@@ -1,8 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: n-gram seeds that no match can lack, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from tessella.llm.common import Scratch, documents, ids_and_texts, table
 from tessella.llm.words import folded
 
-GRAM = 3
-#: One seed (the rarest n-gram) in each run of this many words of an item.
-STRIDE = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least alignment score as a share of the item's own.
 SHARE = 0.6
@@ -45,13 +42,31 @@ def smith_waterman(item: list[int], passage: list[int]) -> tuple[int, int, int]:
             diag, diag_from = up, from_[j]
             row[j], from_[j] = s, f
             left, left_from = s, f
-            if s > best[0]:
+            if s > best[0] or s == best[0] and f < best[1]:
                 best = (s, f, j)
     return best
 
 
+def best_score(item: list[int], passage: np.ndarray) -> int:
+    """The score of smith_waterman alone, a row at a time."""
+    at = np.arange(len(passage)) * -GAP
+    row, best = np.zeros(len(passage), np.int64), 0
+    for a in item:
+        s = np.where(passage == a, MATCH, MISMATCH)
+        s[1:] += row[:-1]
+        row = np.maximum.accumulate(np.maximum(np.maximum(s, row + GAP), 0) + at) - at
+        best = max(best, int(row.max()))
+    return best
+
+
 class Items:
-    """The test items as word numbers, and the n-grams by which training text is searched."""
+    """The test items as word numbers, and the n-grams by which training text is searched.
+
+    A match of an item of n words has m <= n equal words and at most 2 m - 1.2 n other steps, so it
+    spans 1.8 n words at most, 0.6 n of them the item's at least, and its equal words stand in at
+    most 2 m - 1.2 n + 1 runs, hence hold 0.2 n - 1 of the item's pairs of words.  Items of over 5
+    words are sought by pairs, shorter ones by words.  (Figures for SHARE 0.6 and the scores above.)
+    """
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.vocab: dict[bytes, int] = {}
@@ -61,74 +76,73 @@ class Items:
             if words:
                 self.items.append((item_id, words))
         self.base = len(self.vocab) + 1
-        grams = {g for _, ws in self.items for g in self.grams(ws)}
-        self.all = np.array(sorted(grams), np.int64)
-
-    def grams(self, words: list[int]) -> list[int]:
-        """Numbers of the n-grams; an item shorter than GRAM is one n-gram, padded in front with 0."""
-        if len(words) < GRAM:
-            words = [0] * (GRAM - len(words)) + words
-        return [(words[i] * self.base + words[i + 1]) * self.base + words[i + 2] for i in range(len(words) - GRAM + 1)]
+        n = np.array([len(w) for _, w in self.items], np.int64)
+        least = np.array([math.ceil(round(SHARE * k, 6)) for k in n.tolist()], np.int64)
+        self.least = least
+        self.span = np.array([int(round((3 - 2 * SHARE) * k, 6)) for k in n.tolist()], np.int64)
+        pairs = np.array([math.ceil(round((2 * SHARE - 1) * k - 1, 6)) for k in n.tolist()], np.int64)
+        self.hits = np.where(pairs >= 1, pairs, least)
+        held = sorted({(g, k) for k, (_, ws) in enumerate(self.items) for g in (self.pairs(ws) if pairs[k] >= 1 else ws)})
+        self.all, start = np.unique(np.array([g for g, _ in held], np.int64), return_index=True)
+        self.start = np.append(start, len(held))
+        self.of = np.array([k for _, k in held], np.int64)
+
+    def pairs(self, words: list[int]) -> list[int]:
+        return [a * self.base + b for a, b in zip(words, words[1:])]
 
     def numbers(self, text: str) -> np.ndarray:
         get = self.vocab.get
         return np.array([get(w, 0) for w in folded(text)], np.int64)
 
-    def found(self, nums: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ends of the n-grams of a text that are among ``wanted`` (sorted), and which they are."""
-        n, b = len(nums), self.base
-        if not n or not len(wanted):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        at = np.arange(2, n)
-        at = at[(nums[2:] > 0) & (nums[1:-1] > 0) & (nums[:-2] > 0)] if n > 2 else at[:0]
-        grams = (nums[at - 2] * b + nums[at - 1]) * b + nums[at]
-        for short in sorted({min(GRAM, len(w)) for _, w in self.items} - {GRAM}):
-            ends = np.arange(short - 1, n)
-            g = nums[ends] if short == 1 else nums[ends - 1] * b + nums[ends]
-            ok = nums[ends] > 0 if short == 1 else (nums[ends] > 0) & (nums[ends - 1] > 0)
-            at, grams = np.concatenate([at, ends[ok]]), np.concatenate([grams, g[ok]])
-        k = np.minimum(np.searchsorted(wanted, grams), len(wanted) - 1)
-        hit = wanted[k] == grams
-        return at[hit], k[hit]
-
-    def seeds(self, df: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-        """n-gram -> (item's place, the n-gram's last word's place in it): the rarest of each stride.
-
-        Rarity is relative to the item's own n-grams, so that an item which half of the corpus
-        copies still has seeds.
-        """
-        out = defaultdict(list)
-        for k, (_, words) in enumerate(self.items):
-            grams = self.grams(words)
-            for s in range(0, len(grams), STRIDE):
-                i = min(range(s, min(s + STRIDE, len(grams))), key=lambda i: (df.get(grams[i], 0), i))
-                out[grams[i]].append((k, i + min(GRAM, len(words)) - 1))
-        return out
-
-
-def _matches(items: Items, seeds: dict, wanted: np.ndarray, nums: np.ndarray) -> list[tuple[int, float, int, int]]:
-    at, which = items.found(nums, wanted)
-    starts = defaultdict(set)
-    for end, g in zip(at.tolist(), wanted[which].tolist()):
-        for k, place in seeds[g]:
-            starts[k].add(end - place)
-    out = []
-    for k, begins in starts.items():
-        item_id, words = items.items[k]
-        slack, best, done = len(words) // 3 + 2, (0, 0, 0), -1
-        for b in sorted(begins):
-            lo = max(0, b - slack)
-            if done >= 0 and b - seen <= slack // 2:  # within the stretch just aligned
-                continue
-            seen, hi = b, min(len(nums), b + len(words) + 2 * slack)
-            done = hi
-            s, f, e = smith_waterman(words, nums[lo:hi].tolist())
-            best = max(best, (s, -(lo + f), lo + e))
-            if s == MATCH * len(words):
-                break
-        if best[0] >= SHARE * MATCH * len(words):
-            out.append((item_id, best[0] / (MATCH * len(words)), -best[1], best[2]))
-    return out
+    def found(self, nums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items and places of their words or pairs in a text, sorted, each once."""
+        none = np.empty(0, np.int64)
+        if not len(nums) or not len(self.all):
+            return none, none
+        known = nums > 0
+        two = np.flatnonzero(known[1:] & known[:-1])
+        one = np.flatnonzero(known) if self.all[0] < self.base else none
+        at = np.concatenate([one, two])
+        grams = np.concatenate([nums[one], nums[two] * self.base + nums[two + 1]])
+        k = np.minimum(np.searchsorted(self.all, grams), len(self.all) - 1)
+        hit = self.all[k] == grams
+        at, k = at[hit], k[hit]
+        n = self.start[k + 1] - self.start[k]
+        item = self.of[np.repeat(self.start[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        at = np.repeat(at, n)
+        by = np.lexsort((at, item))
+        return item[by], at[by]
+
+    def regions(self, nums: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item's place, first, last): the stretches of a text outside which no match can lie."""
+        item, at = self.found(nums)
+        if not len(item):
+            return
+        upto = np.arange(len(item)) + self.hits[item] - 1
+        end = np.minimum(upto, len(item) - 1)
+        ok = (upto < len(item)) & (item[end] == item) & (at[end] - at < self.span[item])
+        item, at = item[ok], at[ok]
+        lo, hi = np.maximum(at - self.span[item], 0), np.minimum(at + self.span[item] + 1, len(nums))
+        new = np.flatnonzero(np.concatenate([np.ones(1, bool), (item[1:] != item[:-1]) | (lo[1:] > hi[:-1])])) if len(item) else item
+        for s, e in zip(new.tolist(), np.append(new[1:], len(item)).tolist()):
+            k, a, b = int(item[s]), int(lo[s]), int(hi[e - 1])
+            mine = np.concatenate([[0], np.cumsum(np.isin(nums[a:b], self.items[k][1]))])
+            width = min(int(self.span[k]), b - a)
+            full = np.flatnonzero(mine[width:] - mine[:-width] >= self.least[k])
+            if len(full):
+                yield k, a + int(full[0]), a + int(full[-1]) + width
+
+
+def _matches(items: Items, nums: np.ndarray) -> list[tuple[int, float, int, int]]:
+    best: dict[int, tuple[int, int, int]] = {}
+    for k, lo, hi in items.regions(nums):
+        words = items.items[k][1]
+        top = best_score(words, nums[lo:hi])
+        if top < SHARE * MATCH * len(words) or k in best and top <= best[k][0]:
+            continue
+        s, f, e = smith_waterman(words, nums[lo:hi].tolist())
+        best[k] = (s, lo + f, lo + e)
+    return [(items.items[k][0], s / (MATCH * len(items.items[k][1])), f, e) for k, (s, f, e) in best.items()]
 
 
 def _rounds(bench: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -157,25 +171,11 @@ def contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
         items = Items(rows)
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
-        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def align(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             it = shared.value
-            n = np.zeros(len(it.all), np.int64)
-            for b in batches:
-                for t in b.column(0).to_pylist():
-                    n[np.unique(it.found(it.numbers(t or ""), it.all)[1])] += 1
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(it.all[at]), pa.array(n[at])], ["g", "n"])
-
-        # At most one row for each n-gram of these items, whatever the corpus.
-        df = dict(map(tuple, documents(docs).select("text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n")).collect()))
-        seeds = docs.sparkSession.sparkContext.broadcast(dict(items.seeds(df)))
-
-        def align(batches: Iterator[pa.RecordBatch], shared=shared, seeds=seeds) -> Iterator[pa.RecordBatch]:
-            it, sd = shared.value, seeds.value
-            wanted = np.array(sorted(sd), np.int64)
             for b in batches:
                 ids, texts = ids_and_texts(b)
-                got = [(i, *m) for i, t in zip(ids, texts) for m in _matches(it, sd, wanted, it.numbers(t))]
+                got = [(i, *m) for i, t in zip(ids, texts) for m in _matches(it, it.numbers(t))]
                 cols = list(zip(*got)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "score", "first_word", "last_word"])
 

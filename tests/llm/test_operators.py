@@ -197,6 +197,29 @@ def test_benchmark_copies_and_edits(spark, docs):
     assert want <= {(r.doc_id, r.item_id) for r in got} and all(r.doc_id < 100 for r in got)
 
 
+def test_benchmark_edits_that_leave_no_run_of_three_words(spark):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    rng = random.Random(7)
+    noise = lambda n: [f"n{rng.randint(0, 10**7)}" for _ in range(n)]
+    texts, items = {}, {b.item_id: decontaminate.folded(b.text) for b in bench}
+    for k, words in enumerate(items.values()):
+        w = [x.decode() for x in words]
+        texts[k] = noise(20) + ["z" if j % 4 == 3 else x for j, x in enumerate(w)] + noise(20)
+        texts[100 + k] = noise(20) + [y for j, x in enumerate(w) for y in ([x, "z"] if j % 2 else [x])] + noise(20)
+        texts[200 + k] = [x if rng.random() < 0.62 else "z" for x in w for _ in range(rng.choice((1, 1, 2)))]
+        texts[300 + k] = ["z" if j % 3 == 2 else x for j, x in enumerate(w)]
+    got = decontaminate.contaminated(spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string"), spark.createDataFrame(bench)).collect()
+    want = {}
+    for i, w in texts.items():
+        for k, words in items.items():
+            number = {x.decode(): n for n, x in enumerate(dict.fromkeys(words))}
+            s = decontaminate.smith_waterman([number[x.decode()] for x in words], [number.get(x, -1) for x in w])
+            if s[0] >= decontaminate.SHARE * decontaminate.MATCH * len(words):
+                want[i, k] = (s[0] / (decontaminate.MATCH * len(words)), s[1], s[2])
+    assert {(r.doc_id, r.item_id): (r.score, r.first_word, r.last_word) for r in got} == want
+    assert sum(i < 100 for i, _ in want) >= len(items) and sum(100 <= i < 200 for i, _ in want) >= len(items)
+
+
 def test_quality_parts_labelled_classes(spark):
     got = quality.op4_quality(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
     share = lambda q, t: np.mean([r.kept for r in got if (r.quality, r.toxic) == (q, t)])
