@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import json
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,12 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Nats by which a string must be likelier as random, for each of its character pairs.
 MARGIN = 0.5
+#: A stretch of a candidate ends where its sum of ratios over MARGIN has fallen by so many nats.
+DROP = 8.0
+#: Least characters of a stretch, as found and once widened to the next GLUE (then as of a candidate).
+CORE, STRETCH = 14, 20
+#: What joins the parts of paths and names.
+GLUE = "/=_-"
 KINDS = ("assign", "access", "hex", "random")
 
 
@@ -77,16 +84,41 @@ def ratio(s: str, table_: list[float]) -> float:
     return sum(table_[ord(a) * 128 + ord(b)] for a, b in itertools.pairwise(s)) / max(len(s) - 1, 1)
 
 
+def stretches(s: str, table_: list[float]) -> list[tuple[int, int]]:
+    """Start and end of the parts of a string that are likelier as random, widened to the next GLUE (for tests and tuning)."""
+    out, total, start, peak, at = [], 0.0, 0, 0.0, 0
+
+    def close():
+        if at - start >= CORE:
+            a = start - len(re.search(f"[^{GLUE}]*$", s[:start])[0])
+            b = at + len(re.match(f"[^{GLUE}]*", s[at:])[0])
+            if b - a >= STRETCH and (a, b) not in out:
+                out.append((a, b))
+
+    for i, (a, b) in enumerate(itertools.pairwise(s)):
+        x = table_[ord(a) * 128 + ord(b)] - MARGIN
+        if total + x <= 0 or total + x < peak - DROP:
+            close()
+            total, start, peak, at = 0.0, i + 1, 0.0, i + 1
+            continue
+        total += x
+        if total > peak:
+            peak, at = total, i + 2
+    close()
+    return out
+
+
 # ---- the scan -------------------------------------------------------------------------------
 
 _OPEN, _MID, _SHUT, _ELSE = "\x01", "\x02", "\x03", "\x04"
 
 
-def _spans(text: Column, pattern: str, kind: int, mid: bool = False, ok=None) -> Column:
+def _spans(text: Column, pattern: str, kind: int, mid: bool = False, ok=None, within=None) -> Column:
     """array<struct<s, k, e>> of the pattern's leftmost non-overlapping matches in code points.
 
     The matches are set between marks, the text is split at the opening one, and running lengths
     of the parts give the places.  Marks that the text itself holds become another character first.
+    Of a match that is not ``ok`` its parts ``within`` are taken.
     """
     put = f"{_OPEN}$1{_MID}$2{_SHUT}" if mid else f"{_OPEN}$0{_SHUT}"
     parts = F.split(F.regexp_replace(F.translate(text, _OPEN + _MID + _SHUT, _ELSE * 3), pattern, put), _OPEN)
@@ -98,7 +130,8 @@ def _spans(text: Column, pattern: str, kind: int, mid: bool = False, ok=None) ->
         n = F.length(inner) - (1 if mid else 0)
         span = F.struct(acc["at"].alias("s"), F.lit(kind).alias("k"), (acc["at"] + n).alias("e"))
         good = F.lit(True) if ok is None else ok(inner)
-        return F.struct((acc["at"] + F.length(part) - marks).alias("at"), F.when(good, F.array_append(acc["got"], span)).otherwise(acc["got"]).alias("got"))
+        rest = acc["got"] if within is None else F.concat(acc["got"], F.transform(within(inner), lambda w: F.struct((acc["at"] + w["a"]).alias("s"), F.lit(kind).alias("k"), (acc["at"] + w["b"]).alias("e"))))
+        return F.struct((acc["at"] + F.length(part) - marks).alias("at"), F.when(good, F.array_append(acc["got"], span)).otherwise(rest).alias("got"))
 
     return F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), first, step, lambda acc: acc["got"])
 
@@ -116,11 +149,37 @@ def _random(ratios: Column):
     return ok
 
 
+def _stretches(ratios: Column):
+    """The same as stretches(), of a column."""
+
+    def state(total, start, peak, at, got):
+        return F.struct(total.alias("total"), start.alias("start"), peak.alias("peak"), at.alias("at"), got.alias("got"))
+
+    def close(acc):
+        return F.when(acc["at"] - acc["start"] >= CORE, F.array_append(acc["got"], F.struct(acc["start"].alias("a"), acc["at"].alias("b")))).otherwise(acc["got"])
+
+    def of(s: Column) -> Column:
+        def step(acc, i):  # i: place of the pair's first character, from 1
+            total = acc["total"] + F.element_at(ratios, F.ascii(F.substring(s, i, F.lit(1))) * 128 + F.ascii(F.substring(s, i + 1, F.lit(1))) + 1) - MARGIN
+            more = state(total, acc["start"], F.greatest(total, acc["peak"]), F.when(total > acc["peak"], i + 1).otherwise(acc["at"]), acc["got"])
+            return F.when((total <= 0) | (total < acc["peak"] - DROP), state(F.lit(0.0), i, F.lit(0.0), i, close(acc))).otherwise(more)
+
+        first = state(F.lit(0.0), F.lit(0), F.lit(0.0), F.lit(0), F.expr("cast(array() as array<struct<a:int,b:int>>)"))
+        found = F.aggregate(F.sequence(F.lit(1), F.length(s) - 1), first, step, close)
+        before = lambda w: F.length(F.regexp_extract(F.substring(s, F.lit(1), w["a"]), f"[^{GLUE}]*$", 0))
+        after = lambda w: F.length(F.regexp_extract(F.substring(s, w["b"] + 1, F.length(s)), f"^[^{GLUE}]*", 0))
+        wide = F.transform(found, lambda w: F.struct((w["a"] - before(w)).alias("a"), (w["b"] + after(w)).alias("b")))
+        return F.array_distinct(F.filter(wide, lambda w: w["b"] - w["a"] >= STRETCH))
+
+    return of
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``_spans``: array<struct<s, k, e>> of all kinds, by start, then kind as in KINDS.
 
     A null or empty text has none.  Spans of different kinds may overlap; a run that lies in a
-    span of a base kind is not reported as random again.
+    span of a base kind is not reported as random again.  Of a run that is not random as a whole,
+    its random stretches are reported.
     """
     ratios = F.from_json(F.lit(json.dumps(fit(samples()))), "array<double>")
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -130,7 +189,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.when(t.rlike(pattern), _spans(t, pattern, kind, **more)).otherwise(none)
 
     base = docs.withColumn("_base", F.concat(of(ASSIGN, 0, mid=True, ok=_long_enough), of(ACCESS, 1), of(HEX, 2)))
-    both = base.withColumn("_more", of(CANDIDATE, 3, ok=_random(ratios)))
+    both = base.withColumn("_more", of(CANDIDATE, 3, ok=_random(ratios), within=_stretches(ratios)))
     fresh = F.filter("_more", lambda m: ~F.exists("_base", lambda b: (b["s"] <= m["s"]) & (m["e"] <= b["e"])))
     return both.withColumn("_spans", F.array_sort(F.concat("_base", fresh))).drop("_more")
 

@@ -128,6 +128,28 @@ def test_secrets_against_plain_python(spark, docs):
     assert "hunter2" not in str(clean.values()) and "zQ8vX2" not in str(clean.values())
 
 
+def test_keys_glued_to_words(spark):
+    rng = random.Random(8)
+    key = lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(24))
+    glue = lambda n, by: by.join(rng.choice(["home", "config", "service", "release", "static", "default", "handler"]) for _ in range(n))
+    data, keys = [], {}
+    for i in range(200):
+        by, k = rng.choice("/_=-"), [key() for _ in range(1 + i % 2)]
+        data.append((i, "see " + by.join([glue(6, by), *(f"{x}{by}{glue(6, by)}" for x in k)]) + " end"))
+        keys[i] = k
+    data += [(1000 + i, f"x {glue(9, rng.choice('/_=-'))} y") for i in range(100)] + [(2000, None), (2001, "")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in secrets.redacted(spark, df, SF).collect()}
+    left = [k for i, ks in keys.items() for k in ks if any(k[j : j + 8] in clean[i] for j in range(17))]
+    assert len(left) <= 0.08 * sum(map(len, keys.values()))
+    assert all(clean[i] == t for i, t in data if i >= 1000)
+    model = secrets.fit(secrets.samples())
+    for r in secrets.secret_spans(df.where("doc_id < 200")).collect():
+        run = re.search(secrets.CANDIDATE, dict(data)[r.doc_id])
+        want = [(0, len(run[0]))] if secrets.ratio(run[0], model) > secrets.MARGIN else secrets.stretches(run[0], model)
+        assert r.spans == ",".join(f"random:{run.start() + a}:{run.start() + b}" for a, b in sorted(want))
+
+
 def test_passages_planted_inside_paragraphs(spark):
     rng = random.Random(9)
     text = lambda n: " ".join(f"w{rng.randint(0, 10**7)}" for _ in range(n))
