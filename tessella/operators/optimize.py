@@ -5,7 +5,9 @@ Documents don't depend on each other, so the whole chain is a map without a shuf
 
 from __future__ import annotations
 
+import heapq
 import itertools
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -55,12 +57,16 @@ def covers(target: Style, sheet: Sheet) -> tuple[list[str], bool]:
     if len(bit) <= UNIVERSE:
         # cheapest way to each set of covered declarations, always covering the lowest missing one next
         cost: dict[int, tuple[int, tuple[str, ...]]] = {0: (0, ())}
-        for mask in _ascending(cost, best, full):
+        by_bit = [[(m, c, token) for m, (c, token) in best.items() if m >> n & 1] for n in range(len(bit))]
+        todo = [0]  # a step only adds bits, so what it reaches comes later in ascending order
+        while todo and (mask := heapq.heappop(todo)) != full:
             done, chosen = cost[mask]
-            low = ~mask & (mask + 1)
-            for m, (c, token) in best.items():
-                if m & low and (mask | m not in cost or done + c < cost[mask | m][0]):
-                    cost[mask | m] = (done + c, (*chosen, token))
+            for m, c, token in by_bit[(~mask & (mask + 1)).bit_length() - 1]:
+                if mask | m not in cost:
+                    heapq.heappush(todo, mask | m)
+                elif done + c >= cost[mask | m][0]:
+                    continue
+                cost[mask | m] = (done + c, (*chosen, token))
         if full in cost:
             found = sorted(set(cost[full][1]))
             if resolve(found, sheet)[0] == target:
@@ -73,15 +79,6 @@ def covers(target: Style, sheet: Sheet) -> tuple[list[str], bool]:
     return sorted(found), left == 0 and resolve(found, sheet)[0] == target
 
 
-def _ascending(cost: dict, best: dict, full: int):
-    """Reached sets in ascending order; a step only adds bits, so later ones are always greater."""
-    done: set[int] = set()
-    while todo := [m for m in cost if m not in done and m != full]:
-        m = min(todo)
-        done.add(m)
-        yield m
-
-
 # ---- patterns -------------------------------------------------------------------------------
 
 
@@ -212,7 +209,7 @@ def verdict(doc: Document, w: Node, child: Node, after: Style) -> str:
 def flatten(doc: Document, ceiling: int = 2, patterns=PATTERNS, verdicts: list | None = None) -> None:
     """Sweeps in document order until nothing changes, SWEEPS at most; a refused wrapper is not tried again."""
     for _ in range(SWEEPS):
-        changed = False
+        gone: dict[Node, list[Node]] = {}
         for w in [n for n in doc.root.walk() if n.kind == "element"]:
             if w in doc.barred or (p := first_match(doc, w, ceiling, patterns)) is None:
                 continue
@@ -236,14 +233,30 @@ def flatten(doc: Document, ceiling: int = 2, patterns=PATTERNS, verdicts: list |
             if after != doc.style[child]:
                 doc.style[child] = after
                 doc.dirty.add(child)
-            at = w.parent.children.index(w)
-            w.parent.children[at : at + 1] = w.children
             for c in w.children:
                 c.parent = w.parent
             doc.removed.append(w)
-            changed = True
-        if not changed:
+            gone[w] = w.children
+        if not gone:
             return
+        _put_in_place(doc.root, gone)
+
+
+def _put_in_place(root: Node, gone: dict[Node, list[Node]]) -> None:
+    """Each removed wrapper's children in its place, in one pass over the tree."""
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        if any(c in gone for c in n.children):
+            now, left = [], n.children[::-1]
+            while left:
+                c = left.pop()
+                if c in gone:
+                    left += reversed(gone[c])
+                else:
+                    now.append(c)
+            n.children = now
+        todo += n.children
 
 
 def compress(doc: Document) -> None:
@@ -272,8 +285,15 @@ def compress(doc: Document) -> None:
 
 def edits(doc: Document) -> list[tuple[int, int, str]]:
     """Non-overlapping (start, end, replacement)."""
-    kept = [n for n in doc.root.walk()]
-    inside = lambda w: any(w.start < k.start and k.end <= w.end or w.start <= k.start and k.end < w.end for k in kept if k.kind != "fragment" and k.end > k.start)
+    kept = sorted((n.start, n.end) for n in doc.root.walk() if n.kind != "fragment" and n.end > n.start) if doc.removed else []
+    starts = [s for s, _ in kept]
+    least = [*itertools.accumulate((e for _, e in reversed(kept)), min)][::-1]  # end among those that start here or later
+
+    def inside(w: Node) -> bool:
+        """Whether a node that stays lies within the wrapper and is not all of it."""
+        after, here = bisect_right(starts, w.start), bisect_left(starts, w.start)
+        return after < len(starts) and least[after] <= w.end or here < len(starts) and least[here] < w.end
+
     out = []
     for w in doc.removed:
         if w.close and inside(w):
@@ -330,12 +350,13 @@ def _shielded(n: Node) -> bool:
     return n.tag in _FROZEN or any(a.startswith("on") for a, _, _ in n.attrs)
 
 
-def _inert(n: Node) -> bool:
+def _inert(n: Node, only: Node) -> bool:
+    """Whether an element with one child, ``only`` once its wrappers are gone, does nothing for it."""
     if n.tag not in ("div", "span") or n.open is None or n.close is None:
         return False
     if n.attrs and not (len(n.attrs) == 1 and n.attrs[0][0] == "style" and _contents_only(str(n.attrs[0][1]))):
         return False
-    return len(n.children) == 1 and n.children[0].kind == "element" and not _shielded(n.children[0])
+    return only.kind == "element" and not _shielded(only)
 
 
 def optimize_fragment(text: str | None) -> str | None:
@@ -347,21 +368,19 @@ def optimize_fragment(text: str | None) -> str | None:
     found = [n for n in root.walk() if n.kind == "element" and n.open]
     if any(n.tag in ("html", "head", "body", "style") for n in found) or not _round_trips(text, root):
         return text
-    gone = []
-
-    def visit(n: Node) -> None:
-        if n.kind == "element" and _shielded(n):
-            return
-        for c in list(n.children):
-            visit(c)
-        if n.kind == "element" and _inert(n):
-            at = n.parent.children.index(n)
-            n.parent.children[at] = n.children[0]
-            n.children[0].parent = n.parent
-            gone.append(n)
-
-    visit(root)
-    return splice(text, sorted(itertools.chain.from_iterable(((*n.open, ""), (*n.close, "")) for n in gone)))
+    order, todo = [], [root]
+    while todo:  # parents before children; nothing below a shielded element
+        n = todo.pop()
+        if n.kind != "element" or not _shielded(n):
+            order.append(n)
+            todo += n.children
+    stands_for: dict[Node, Node] = {}
+    for n in reversed(order):
+        if n.kind == "element" and len(n.children) == 1:
+            only = stands_for.get(n.children[0], n.children[0])
+            if _inert(n, only):
+                stands_for[n] = only
+    return splice(text, sorted(itertools.chain.from_iterable(((*n.open, ""), (*n.close, "")) for n in stands_for)))
 
 
 def _round_trips(text: str, root: Node) -> bool:

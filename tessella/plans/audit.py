@@ -36,8 +36,15 @@ def _optimized(text: pd.Series, css: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "nodes", "removed", "edits", "error"])
 
 
+def _fragment(text: str) -> str:
+    try:
+        return optimize_fragment(text)
+    except Exception:  # as above: left as it is
+        return text
+
+
 def _fragments(text: pd.Series) -> pd.Series:
-    return text.map(optimize_fragment, na_action="ignore")
+    return text.map(_fragment, na_action="ignore")
 
 
 def fragment(text: Column) -> Column:
