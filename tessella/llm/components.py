@@ -13,6 +13,8 @@ from tessella.llm.common import Scratch
 
 #: So few edges that one task may finish them; a bound, whatever the input's size.
 LAST_EDGES = 16_384
+#: The most keys that are broadcast because they hold many rows.
+HOT_KEYS = 256
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,7 +37,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b: long); nodes of a component share their root.
+    """(node, root) for every node of ``edges`` (a, b: long); the root is a component's least node.
 
     Each round every node points to the neighbour (or itself) with the least random priority and
     the graph is contracted along these pointers, so that edges shrink geometrically even on long
@@ -55,20 +57,35 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     out = e.coalesce(1).mapInArrow(_finish, "node long, root long") if left else e.selectExpr("a node", "b root")
     for to in reversed(maps):
         out = to.join(out.withColumnRenamed("node", "t"), "t", "left").select(F.col("x").alias("node"), F.coalesce("root", "t").alias("root"))
-    return scratch.keep(out, "components")
+    out = scratch.keep(out, "components")
+    if not maps:
+        return out
+    least = scratch.keep(out.groupBy("root").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")), "least")
+    return scratch.keep(join_hot(out, least, "root", "n").select("node", F.col("least").alias("root")), "components")
 
 
-def spread(rows: DataFrame, key: str, item: str, per_block: int, weight: DataFrame) -> DataFrame:
-    """Adds ``blk``: buckets with more than ``per_block`` rows become pairs of blocks.
+def spread(rows: DataFrame, item: str, blocks) -> DataFrame:
+    """Adds ``blk``: buckets of more than one block become pairs of blocks.
 
-    ``weight`` (``key``, ``n``) lists only such buckets.  A row of block i goes to every pair that
-    holds i, so that each two rows of a bucket meet in some task and none holds over two blocks.
+    ``blocks`` is a column, the same for all rows of a bucket.  A row of block i goes to every pair
+    that holds i, so that each two rows of a bucket meet in some task and none holds over two blocks.
     """
-    rows = rows.join(weight, key, "left")
-    nb = F.coalesce(F.ceil(F.col("n") / per_block), F.lit(1)).cast("int")
+    nb = F.coalesce(blocks, F.lit(1)).cast("int")
     mine = F.pmod(F.xxhash64(item), nb).cast("int")
     pair = F.transform(F.sequence(F.lit(0), nb - 1), lambda j: F.least(mine, j) * nb + F.greatest(mine, j))
-    return rows.withColumn("blk", F.explode(F.when(nb > 1, pair).otherwise(F.array(F.lit(0))))).drop("n")
+    return rows.withColumn("blk", F.explode(F.when(nb > 1, pair).otherwise(F.array(F.lit(0)))))
+
+
+def join_hot(rows: DataFrame, per: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` joined with ``per``, which has one row for each key and in ``n`` how many of ``rows`` hold it.
+
+    Keys that hold more than a HOT_KEYS-th of all rows are HOT_KEYS at most, whatever the data: they are
+    broadcast.  The others are joined by a shuffle, in which none is large.  Both frames are read twice.
+    """
+    total = per.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(per.where(F.col(n) > total // HOT_KEYS))
+    rest = rows.join(hot.select(key), key, "left_anti").join(per.where(F.col(n) <= total // HOT_KEYS), key)
+    return rows.join(hot, key).unionByName(rest)
 
 
 def linked_in(order: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:

@@ -6,14 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, documents, runs, table
-from tessella.llm.components import components, linked_in, spread
-from tessella.llm.words import WordHashes, mix
+from tessella.llm.common import Scratch, documents, table
+from tessella.llm.components import components, join_hot, linked_in, spread
+from tessella.llm.words import Words, mix, run_hashes, slices, spans
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands and rows: at a similarity of 0.8 a pair shares a band with probability 0.993.
@@ -22,344 +20,329 @@ BANDS, ROWS = 7, 3
 LEAST_LINE = SHINGLE
 #: Shorter repeated runs are no passages.
 LEAST_WORDS = 20
-#: cuts() ends a piece where a window's hash is least among this many before and after it.
-REACH = 5
-PER_BLOCK = 20_000
+#: Shingles of a band's bucket that one task compares; larger buckets are dealt out in pairs of blocks.
+BLOCK_SHINGLES = 1_000_000
+#: Occurrences of an anchor above which its windows are counted one by one, before any shuffle too.
+HOT_ANCHOR = 2_000
 
-_HASHES = WordHashes()
 _U = np.uint64
-#: The base of the window hashes, and its inverse modulo 2**64.
-_BASE = _U(0x9E3779B97F4A7C15)
-_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Bits of a shingle's hash that give way to its place among the words read together.
 _PLACE = _U(2**28 - 1)
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
-
-
-def paragraphs(text: str) -> list[tuple[int, int]]:
-    """Start and end, in characters, of the lines that are not blank."""
-    out, at = [], 0
-    for line in text.split("\n"):
-        if line.strip():
-            out.append((at, at + len(line)))
-        at += len(line) + 1
-    return out
-
-
-def words(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
+_OTHER_BASE = 0xD6E8FEB86659FD93
 
 
 def shingles(h: np.ndarray) -> np.ndarray:
-    """Hashes of the runs of SHINGLE words (of all words, if fewer)."""
-    if not len(h):
-        return h
-    k = min(SHINGLE, len(h))
-    out = np.zeros(len(h) - k + 1, np.uint64)
-    for j in range(k):
-        out = mix(out * _U(31) + h[j : len(h) - k + 1 + j])
+    """Hashes of the runs of SHINGLE words, the first words of which stand at 0, 1, and so on."""
+    out = np.zeros(max(len(h) - SHINGLE + 1, 0), np.uint64)
+    for j in range(SHINGLE):
+        out = mix(out * _U(31) + h[j : j + len(out)])
     return out
 
 
-def band_keys(h: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """A row of 64-bit band keys of the MinHash signature of each word list (hashes h, cut at off)."""
-    lens = np.diff(off)
-    within = np.arange(len(h)) - np.repeat(off[:-1], lens)
-    whole = within + SHINGLE <= np.repeat(lens, lens)
-    x = np.zeros(len(h), np.uint64)
-    for j in range(SHINGLE):
-        x = mix(x * _U(31) + np.roll(h, -j))
-    x = x[whole]
-    start = np.concatenate([[0], np.cumsum(np.maximum(lens - SHINGLE + 1, 0))])[:-1]
-    key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(lens), 1))
+def band_keys(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A row of 64-bit band keys of the MinHash signature of each list of shingles (n of them, none empty)."""
+    start = np.cumsum(n) - n
+    key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(n), 1))
     for band in range(BANDS):
         for r in range(ROWS):
-            low = np.minimum.reduceat(x * _SEEDS[band * ROWS + r] >> _U(20), start)
+            low = np.minimum.reduceat(x * _SEEDS[band * ROWS + r] >> _U(20), start) if len(n) else start.astype(_U)
             key[:, band] = mix(key[:, band] * _U(0xC2B2AE3D27D4EB4F) + low)
     return key.view(np.int64)
 
 
-def cuts(h: np.ndarray) -> np.ndarray:
-    """Places of the words after which a piece ends; they depend on nearby words only."""
-    if len(h) < 2 * REACH + 3:
-        return np.empty(0, np.int64)
-    w = mix(mix(h[:-2] * _U(31) + h[1:-1]) * _U(31) + h[2:])
-    around = np.lib.stride_tricks.sliding_window_view(w, 2 * REACH + 1)
-    low = around.min(1)
-    return np.flatnonzero((around[:, REACH] == low) & ((around == low[:, None]).sum(1) == 1)) + REACH + 2
-
-
-def windows(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of the runs of LEAST_WORDS words in word lists (hashes h, cut at off), the place of the
-    anchor (the shingle of least hash, the first if tied) of each, and the hashes of the shingles.
+def windows(w: Words, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the runs of LEAST_WORDS words of each text, and the place of the anchor of each (its
+    shingle of least hash, the first if tied); ``x`` are the shingles of all words.
 
     An anchor depends on its window's words only, so equal windows have equal anchors.
     """
-    lens = np.diff(off)
-    within = np.arange(len(h)) - np.repeat(off[:-1], lens)
-    starts = np.flatnonzero(within + LEAST_WORDS <= np.repeat(lens, lens))
+    starts = np.flatnonzero(w.places() + LEAST_WORDS <= np.repeat(w.lens, w.lens))
     if not len(starts):
-        return starts, starts, h[:0]
-    x = np.zeros(len(h) - SHINGLE + 1, np.uint64)
-    for j in range(SHINGLE):
-        x = mix(x * _U(31) + h[j : len(h) - SHINGLE + 1 + j])
+        return starts, starts
     low = x & ~_PLACE | np.arange(len(x), dtype=np.uint64)
     span, reach = 1, LEAST_WORDS - SHINGLE + 1
     while span < reach:
         step = min(span, reach - span)
         low = np.minimum(low[:-step], low[step:])
         span += step
-    return starts, (low[starts] & _PLACE).astype(np.int64), x
+    return starts, (low[starts] & _PLACE).astype(np.int64)
 
 
-def window_hashes(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hash of the LEAST_WORDS words from each start: differences of running sums, brought to one power."""
-    n = len(h) + 1
-    up, down = (np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(n - 1, b, np.uint64))]) for b in (_BASE, _INVERSE))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[:-1], dtype=np.uint64)])
-    return (sums[starts + LEAST_WORDS] - sums[starts]) * down[starts]
+# ---- what a text holds ----------------------------------------------------------------------
 
+_KEYS = [f"k{i}" for i in range(BANDS)]
+_UNITS = "doc_id long, t int, para boolean, at int, upto int, word int, n int, p1 long, p2 long, " + ", ".join(f"{k} long" for k in _KEYS)
+_FOUND = "doc_id long, t int, first int, last int, removed boolean, keep_id long"
+_FOUND_SCHEMA = pa.schema([("doc_id", pa.int64()), ("t", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("removed", pa.bool_()), ("keep_id", pa.int64())])
+_UNIT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("t", pa.int32()), ("para", pa.bool_()), *((c, pa.int32()) for c in ("at", "upto", "word", "n")), *((c, pa.int64()) for c in ("p1", "p2", *_KEYS))])
 
-# ---- what a text holds ----------------------------------------------------------------------
 
-_UNITS = "doc_id long, kind boolean, at int, upto int, n int, pid binary, key long"
-_FOUND = "doc_id long, first int, last int, removed boolean, keep_id long"
+def _unit_rows(ids: np.ndarray, t: np.ndarray, para: bool, at: np.ndarray, cols: list[np.ndarray]) -> pa.RecordBatch:
+    arrays = [ids, t, np.full(len(ids), para), at.astype(np.int32), *cols]
+    arrays = [pa.array(a, f.type) for a, f in zip(arrays, _UNIT_SCHEMA)]
+    return pa.RecordBatch.from_arrays(arrays + [pa.nulls(len(ids), f.type) for f in list(_UNIT_SCHEMA)[len(arrays) :]], schema=_UNIT_SCHEMA)
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Paragraphs (kind true; places in characters) and anchors (kind false; places in words, with a key)."""
-    types = (pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
-    names = ["doc_id", "kind", "at", "upto", "n", "pid", "key"]
-    for ids, texts in runs(batches):
-        cols: tuple[list, ...] = ([], [], [], [], [], [])
-        lists = []
-        for i, t in zip(ids, texts):
-            lists.append(words(t))
-            for s, e in paragraphs(t):
-                ws = words(t[s:e])
-                if len(ws) >= LEAST_LINE:
-                    for c, v in zip(cols, (i, True, s, e, len(ws), xxhash.xxh3_128_digest(b" ".join(ws)))):
-                        c.append(v)
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, types)), pa.nulls(len(cols[0]), pa.int64())], names)
-        h, off = _HASHES.of(lists)
-        _, place, x = windows(h, off)
+    """Rows (doc_id, text, t) -> paragraphs (places in characters, ``word`` in words, a 128-bit digest
+    p1, p2 of their words and their band keys) and anchors (places in words, the shingle's hash in p1)."""
+    for b in slices(batches):
+        ids, t = b.column(0).to_numpy(), b.column(2).to_numpy()
+        w = Words(b.column(1))
+        h = w.hashes
+        x = shingles(h)
+
+        edge = np.union1d(w.off, np.flatnonzero(w.raw == 10) + 1)
+        s, e = edge[:-1], edge[1:] - (w.raw[edge[1:] - 1] == 10 if len(w.raw) else 0)
+        word = np.searchsorted(w.start, edge)
+        word, n = word[:-1], np.diff(word)
+        long = n >= LEAST_LINE
+        s, e, word, n = s[long], e[long], word[long], n[long]
+        text = np.searchsorted(w.off, s, "right") - 1
+        char = w.characters()
+        at, upto = char[s] - char[w.off[text]], char[e] - char[w.off[text]]
+        keys = band_keys(spans(x, word, n - SHINGLE + 1), n - SHINGLE + 1)
+        digest = [mix(run_hashes(h, word, n) + n.astype(_U)).view(np.int64), mix(run_hashes(mix(h), word, n, _OTHER_BASE) ^ n.astype(_U)).view(np.int64)]
+        yield _unit_rows(ids[text], t[text], True, at, [upto, word - w.first[text], n, *digest, *keys.T])
+
+        _, place = windows(w, x)
         place = place[np.diff(place, prepend=-1) != 0]
-        text = np.searchsorted(off, place, "right") - 1
-        none = [pa.nulls(len(place), k) for k in types[3:6]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[text]), pa.array(np.zeros(len(place), bool)), pa.array((place - off[text]).astype(np.int32)), *none, pa.array(x[place].view(np.int64))], names)
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, ats: anchors wanted) -> (key, doc_id, at, hashes of the windows from there on that share the anchor)."""
+        text = np.searchsorted(w.first, place, "right") - 1
+        none = np.zeros(len(place), np.int32)
+        yield _unit_rows(ids[text], t[text], False, place - w.first[text], [none, none, none, x[place].view(np.int64)])
+
+
+_WANTED = "para boolean, key long, doc_id long, t int, at int, hashes array<long>"
+_WANTED_SCHEMA = pa.schema([("para", pa.bool_()), ("key", pa.int64()), ("doc_id", pa.int64()), ("t", pa.int32()), ("at", pa.int32()), ("hashes", pa.list_(pa.int64()))])
+
+
+def _lists(values: np.ndarray, n: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(values.view(np.int64)))
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, t, anchors wanted, paragraphs wanted as num, word, n) -> for each anchor the
+    hashes of the windows, from ``at`` on, that have it; for each paragraph (key: num) its different shingles."""
+    for b in slices(batches):
+        ids, t = b.column(0).to_numpy(), b.column(2).to_numpy()
+        w = Words(b.column(1))
+        h = w.hashes
+        x = shingles(h)
+
+        starts, place = windows(w, x)
+        ats = b.column(3)
+        at = ats.flatten().to_numpy() + np.repeat(w.first[:-1], ats.value_lengths().to_numpy())
+        mark = np.zeros(len(h) + 1, bool)
+        mark[at] = True
+        starts, place = starts[mark[place]], place[mark[place]]
+        new = np.flatnonzero(np.diff(place, prepend=-1))
+        text = np.searchsorted(w.first, starts[new], "right") - 1
+        many = np.diff(np.append(new, len(starts)))
+        cols = [np.zeros(len(new), bool), x[place[new]].view(np.int64), ids[text], t[text], (starts[new] - w.first[text]).astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, cols), _lists(run_hashes(h, starts, LEAST_WORDS), many)], schema=_WANTED_SCHEMA)
+
+        paras = b.column(4)
+        if len(own := paras.flatten()):
+            num, word, n = (own.field(k).to_numpy() for k in range(3))
+            word = word + np.repeat(w.first[:-1], paras.value_lengths().to_numpy())
+            n = n - SHINGLE + 1
+            values, of = spans(x, word, n), np.repeat(np.arange(len(num)), n)
+            by = np.lexsort((values, of))
+            values, of = values[by], of[by]
+            first = np.ones(len(values), bool)
+            first[1:] = (values[1:] != values[:-1]) | (of[1:] != of[:-1])
+            none = pa.nulls(len(num), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(num), bool)), pa.array(num), pa.nulls(len(num), pa.int64()), none, none, _lists(values[first], np.bincount(of[first], minlength=len(num)))], schema=_WANTED_SCHEMA)
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of whole groups from rows sorted by their first ``keys`` columns."""
+    held: list[pa.RecordBatch] = []
     for b in batches:
-        for part in (b.slice(k, 400) for k in range(0, b.num_rows, 400)):
-            ids, texts = part.column(0).to_numpy(), part.column(1).to_pylist()
-            h, off = _HASHES.of([words(t) for t in texts])
-            starts, place, x = windows(h, off)
-            ats = part.column(2)
-            at = ats.flatten().to_numpy() + np.repeat(off[:-1], ats.value_lengths().to_numpy())
-            mark = np.zeros(len(h) + 1, bool)
-            mark[at[at < len(h)]] = True
-            starts, place = starts[mark[place]], place[mark[place]]
-            new = np.flatnonzero(np.diff(place, prepend=-1))
-            text = np.searchsorted(off, starts[new], "right") - 1
-            ends = pa.array(np.append(new, len(starts)).astype(np.int32) * 8)
-            blobs = pa.Array.from_buffers(pa.binary(), len(new), [None, ends.buffers()[1], pa.py_buffer(window_hashes(h, starts))])
-            yield pa.RecordBatch.from_arrays([pa.array(x[place[new]].view(np.int64)), pa.array(ids[text]), pa.array((starts[new] - off[text]).astype(np.int32)), blobs], ["key", "doc_id", "at", "hashes"])
+        if not b.num_rows:
+            continue
+        key = np.stack([b.column(k).to_numpy() for k in range(keys)])
+        other = np.flatnonzero((key != key[:, -1:]).any(0))
+        cut = int(other[-1]) + 1 if len(other) else 0  # the last group may go on in the next batch
+        if held and (cut or any(held[0].column(k)[0].as_py() != key[k, 0] for k in range(keys))):
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            held = []
+        elif cut:
+            yield pa.Table.from_batches([b.slice(0, cut)])
+        held.append(b.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of _windows sorted by key -> the runs of windows that stand at two places (_FOUND)."""
-
-    def found(rows: pa.Table) -> pa.RecordBatch:
-        blobs = rows.column("hashes").to_pylist()
-        n = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 8
-        h = np.frombuffer(b"".join(blobs), np.uint64)
-        doc = np.repeat(rows.column("doc_id").to_numpy(), n)
-        at = np.repeat(rows.column("at").to_numpy().astype(np.int64), n) + np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-        by = np.lexsort((at, doc, h))
-        h, doc, at = h[by], doc[by], at[by]
-        again = np.zeros(len(h), bool)  # rows that repeat a doc_id
-        again[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])
-        h, doc, at = h[~again], doc[~again], at[~again]
+    """Rows (key, doc_id, t, at, hashes) sorted by key -> the runs of windows that stand at two places (_FOUND)."""
+    for rows in _by_key(batches, 1):
+        rows = rows.combine_chunks()
+        lists = rows.column("hashes").combine_chunks()
+        n, h = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+        doc, t = (np.repeat(rows.column(c).to_numpy(), n) for c in ("doc_id", "t"))
+        at = np.repeat(rows.column("at").to_numpy().astype(np.int64) - (np.cumsum(n) - n), n) + np.arange(len(h))
+        by = np.lexsort((at, t, doc, h))
+        h, doc, t, at = h[by], doc[by], t[by], at[by]
+        again = np.zeros(len(h), bool)  # rows that repeat a document
+        again[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1]) & (t[1:] == t[:-1]) & (at[1:] == at[:-1])
+        h, doc, t, at = h[~again], doc[~again], t[~again], at[~again]
         new = np.flatnonzero(np.concatenate([np.ones(1, bool), h[1:] != h[:-1]]))
         size = np.diff(np.append(new, len(h)))
         keep, gone = np.repeat(doc[new], size), np.ones(len(h), bool)
         gone[new] = False
         many = np.repeat(size > 1, size)
-        doc, at, keep, gone = doc[many], at[many], keep[many], gone[many]
-        by = np.lexsort((at, doc))
-        doc, at, keep, gone = doc[by], at[by], keep[by], gone[by]
+        doc, t, at, keep, gone = doc[many], t[many], at[many], keep[many], gone[many]
+        by = np.lexsort((at, t, doc))
+        doc, t, at, keep, gone = doc[by], t[by], at[by], keep[by], gone[by]
         new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1) | (keep[1:] != keep[:-1]) | (gone[1:] != gone[:-1])
+        new[1:] = (doc[1:] != doc[:-1]) | (t[1:] != t[:-1]) | (at[1:] != at[:-1] + 1) | (keep[1:] != keep[:-1]) | (gone[1:] != gone[:-1])
         first = np.flatnonzero(new)
         last = at[np.append(first[1:], len(at)) - 1] + LEAST_WORDS if len(first) else at
-        return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(at[first].astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(gone[first]), pa.array(keep[first])], ["doc_id", "first", "last", "removed", "keep_id"])
-
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        keys = b.column(0).to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
-        if held and (cut or held[0].column(0)[0].as_py() != keys[-1]):
-            yield found(pa.Table.from_batches([*held, b.slice(0, cut)]))
-            held = []
-        elif cut:
-            yield found(pa.Table.from_batches([b.slice(0, cut)]))
-        held.append(b.slice(cut))
-    if held:
-        yield found(pa.Table.from_batches(held))
+        cols = [doc[first], t[first], at[first], last, gone[first], keep[first]]
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(cols, _FOUND_SCHEMA)], schema=_FOUND_SCHEMA)
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs (_FOUND) sorted by document -> its longest stretches of words that share their fate (_FOUND)."""
-
-    def stretches(doc: int, got: list[tuple]) -> list[tuple]:
-        fate = np.zeros(max(e for _, e, _, _ in got) + 1, np.int8)
-        keep = np.zeros(len(fate), np.int64)
-        for wanted in (True, False):  # words of a window that stays stay
-            for s, e, gone, k in reversed(got):
-                if gone == wanted:
-                    fate[s:e], keep[s:e] = 1 if gone else 2, k
-        cut = np.flatnonzero(np.diff(fate, prepend=0)).tolist()
-        return [(doc, s, e, bool(fate[s] == 1), int(keep[s])) for s, e in zip(cut, cut[1:]) if fate[s]]
-
-    def batch(out: list[tuple]) -> pa.RecordBatch:
-        types = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 5, types)], ["doc_id", "first", "last", "removed", "keep_id"])
-
-    doc, got, out = None, [], []
-    for b in batches:
-        for i, *run in zip(*(b.column(k).to_pylist() for k in range(5))):
-            if i != doc:
-                if got:
-                    out += stretches(doc, got)
-                doc, got = i, []
-            got.append(tuple(run))
-        yield batch(out)
-        out = []
-    if got:
-        yield batch(stretches(doc, got))
-
-
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, pid) for every band of every paragraph; of those read together each paragraph once."""
-    for _, texts in runs(batches):
-        lists: dict[bytes, list[bytes]] = {}
-        for t in texts:
-            for s, e in paragraphs(t):
-                ws = words(t[s:e])
-                if len(ws) >= LEAST_LINE:
-                    lists[xxhash.xxh3_128_digest(b" ".join(ws))] = ws
-        if lists:
-            keys = band_keys(*_HASHES.of(list(lists.values())))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array([p for p in lists for _ in range(BANDS)], pa.binary())], ["key", "pid"])
-
-
-def _wanted_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """(num, text) of the paragraphs in ``wanted`` (num, doc_id, at, upto)."""
-    got = wanted.join(docs, "doc_id")
-    return got.select("num", F.expr("substring(text, at + 1, upto - at)").alias("text"))
+    for rows in _by_key(batches, 2):
+        doc, t, s, e, gone, keep = (rows.column(k).to_numpy() for k in range(6))
+        new = np.flatnonzero(np.concatenate([np.ones(1, bool), (doc[1:] != doc[:-1]) | (t[1:] != t[:-1])]))
+        out: list[tuple] = []
+        for a, b in zip(new.tolist(), np.append(new[1:], len(doc)).tolist()):
+            fate, kept = np.zeros(int(e[a:b].max()) + 1, np.int8), np.zeros(int(e[a:b].max()) + 1, np.int64)
+            own = list(zip(s[a:b].tolist(), e[a:b].tolist(), gone[a:b].tolist(), keep[a:b].tolist()))
+            for wanted in (True, False):  # words of a window that stays stay
+                for i, j, g, k in reversed(own):
+                    if g == wanted:
+                        fate[i:j], kept[i:j] = 1 if g else 2, k
+            cut = np.flatnonzero(np.diff(fate, prepend=0)).tolist()
+            out += [(int(doc[a]), int(t[a]), i, j, bool(fate[i] == 1), int(kept[i])) for i, j in zip(cut, cut[1:]) if fate[i]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [()] * 6, _FOUND_SCHEMA)], schema=_FOUND_SCHEMA)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, blk, num, text) sorted by bucket -> links of exact Jaccard similarity >= SIMILARITY."""
-
-    def links(nums: list[int], texts: list[str]) -> list[tuple[int, int]]:
-        sets = [np.unique(shingles(_HASHES.of([words(t)])[0])) for t in texts]
-        size = np.array([len(s) for s in sets])
+    """Rows (key, blk, num, hashes) sorted by bucket -> links of exact Jaccard similarity >= SIMILARITY."""
+    for rows in _by_key(batches, 2):
+        rows = rows.combine_chunks()
+        key, blk, num = (rows.column(k).to_numpy() for k in range(3))
+        lists = rows.column(3).combine_chunks()
+        size, x = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy()
         off = np.concatenate([[0], np.cumsum(size)])
-        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        mark = np.zeros(len(ids) + 1, bool)
-
-        def near(i, rest):
-            mark[ids[off[i] : off[i + 1]]] = True
-            if len(rest) * 4 < len(size):
-                both = np.array([mark[ids[off[j] : off[j + 1]]].sum() for j in rest])
-            else:
-                both = np.add.reduceat(mark[ids].astype(np.int32), off[:-1])[rest]
-            mark[ids[off[i] : off[i + 1]]] = False
-            return both >= SIMILARITY * (size[rest] + size[i] - both)
-
-        return [(nums[i], nums[j]) for i, j in linked_in(np.arange(len(size)), near)]
-
-    def rows():
-        for b in batches:
-            yield from zip(*(b.column(i).to_pylist() for i in range(4)))
-
-    bucket, nums, texts, out = None, [], [], []
-    for key, blk, num, text in rows():
-        if (key, blk) != bucket:
-            if len(nums) > 1:
-                out += links(nums, texts)
-            bucket, nums, texts = (key, blk), [], []
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
-                out = []
-        if not nums or nums[-1] != num:
-            nums.append(num)
-            texts.append(text)
-    if len(nums) > 1:
-        out += links(nums, texts)
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
+        new = np.flatnonzero(np.concatenate([np.ones(1, bool), (key[1:] != key[:-1]) | (blk[1:] != blk[:-1])]))
+        rows_in = np.diff(np.append(new, len(key)))
+        a, b = [], []
+        twos = new[rows_in == 2]
+        if len(twos):  # most buckets: equal shingles of two rows stand side by side once sorted
+            both = size[twos] + size[twos + 1]
+            values, of = spans(x, off[twos], both), np.repeat(np.arange(len(twos)), both)
+            by = np.lexsort((values, of))
+            values, of = values[by], of[by]
+            same = np.bincount(of[1:][(values[1:] == values[:-1]) & (of[1:] == of[:-1])], minlength=len(twos))
+            near = same >= SIMILARITY * (both - same)
+            a.append(num[twos[near]]), b.append(num[twos[near] + 1])
+        for s, n in zip(new[rows_in > 2].tolist(), rows_in[rows_in > 2].tolist()):
+            i, j = _linked(x[off[s] : off[s + n]], size[s : s + n])
+            a.append(num[s + i]), b.append(num[s + j])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+
+def _linked(x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the linked ones among lists of shingles (each of different ones, one list after another)."""
+    off = np.concatenate([[0], np.cumsum(size)])
+    ids = np.unique(x, return_inverse=True)[1]
+    mark = np.zeros(len(ids) + 1, bool)
+
+    def near(i, rest):
+        mark[ids[off[i] : off[i + 1]]] = True
+        if len(rest) * 4 < len(size):
+            both = np.array([mark[ids[off[j] : off[j + 1]]].sum() for j in rest])
+        else:
+            both = np.add.reduceat(mark[ids].astype(np.int32), off[:-1])[rest]
+        mark[ids[off[i] : off[i + 1]]] = False
+        return both >= SIMILARITY * (size[rest] + size[i] - both)
+
+    found = np.array(linked_in(np.arange(len(size)), near), np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+# ---- the operator ---------------------------------------------------------------------------
+
+_AT = ["doc_id", "t", "at"]
 
 
 def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """One row for each repeated passage of a document.
 
     doc_id; kind ``paragraph`` (first, last: characters, the last exclusive) or ``passage`` (words,
-    likewise); n_words; component (paragraphs only); keep_id, the least document that holds the
-    component or the passage's first words; removed: false for the one occurrence that stays.
+    likewise); n_words; component (paragraphs only: a digest of the one that stays); keep_id, the
+    least document that holds the component or the passage's first words; removed: false for the one
+    occurrence that stays.
 
     Paragraphs are lines of at least LEAST_LINE words.  Passages are all runs of LEAST_WORDS words
     or more that stand at two places, to their exact ends, however they stand within paragraphs.
     The first place of every such window of LEAST_WORDS words stays whole: a run that goes is cut
-    where it overlaps one that stays, so its row may be shorter.  Windows are compared with those
-    of the same anchor; one task holds the windows of an anchor.  Null and empty texts and rows with
-    a null doc_id have none; rows that repeat a doc_id count as one document; of ties the earliest
-    stays.
+    where it overlaps one that stays, so its row may be shorter.  Null and empty texts, rows with a
+    null doc_id and an empty table have none; rows that repeat a doc_id and text count as one, texts
+    that share a doc_id each count; of ties the earliest stays.  Other columns, whatever their names,
+    are not looked at.
     """
-    docs = documents(docs).where("doc_id is not null and text is not null")
+    docs = documents(docs).where("doc_id is not null and text is not null").withColumn("t", F.hash("text"))
     units = scratch.keep(docs.mapInArrow(_units, _UNITS), "units")
 
-    # passages: anchors that repeat, then all windows around them
-    anchors = units.where("not kind").select("key", "doc_id", "at")
-    often = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    ats = anchors.join(often, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("ats"))
-    near = docs.join(ats, "doc_id").select("doc_id", "text", "ats").mapInArrow(_windows, "key long, doc_id long, at int, hashes binary")
-    found = near.repartition("key").sortWithinPartitions("key").mapInArrow(_alike, _FOUND)
-    passages = found.repartition("doc_id").sortWithinPartitions("doc_id", "first", "last").mapInArrow(_passages, _FOUND).withColumn("n_words", F.col("last") - F.col("first"))
-    passages = passages.select("doc_id", F.lit("passage").alias("kind"), "first", "last", "n_words", F.lit(None).cast("long").alias("component"), "keep_id", "removed")
-
-    # paragraphs: near-equal ones
-    paras = units.where("kind")
-    keyed = scratch.keep(docs.mapInArrow(_bands, "key long, pid binary"), "keyed")
-    short = F.xxhash64("pid")
-    full = keyed.groupBy("key").agg(F.min(short).alias("low"), F.max(short).alias("high"), F.count(F.lit(1)).alias("n"))
-    full = scratch.keep(full.where("low <> high").select("key", "n"), "buckets")
-    pairs = scratch.keep(keyed.join(full.select("key"), "key", "left_semi").distinct(), "pairs")
-    scratch.drop(keyed)
-    one = paras.join(pairs.select("pid").distinct(), "pid").groupBy("pid").agg(F.min(F.struct("doc_id", "at", "upto")).alias("x"))
-    texts = scratch.keep(_wanted_texts(one.select(short.alias("num"), "x.*"), docs), "texts").dropDuplicates(["num"])
-    rows = spread(pairs.select("key", short.alias("num")), "key", "num", PER_BLOCK, full.where(F.col("n") > PER_BLOCK))
-    rows = rows.join(texts, "num").select("key", "blk", "num", "text").repartition("key", "blk").sortWithinPartitions("key", "blk", "num")
+    # different paragraphs, numbered; those that share a band with another one
+    place = F.struct(*_AT, "word", "n").alias("place")
+    kinds = units.where("para").groupBy("p1", "p2").agg(F.min(place).alias("place"), F.max(F.struct(*_AT)).alias("other"), *(F.any_value(k).alias(k) for k in _KEYS))
+    again = F.struct(*(F.col(f"place.{c}") for c in _AT)) != F.col("other")
+    kinds = scratch.keep(kinds.select("p1", "p2", "place", again.alias("again"), *_KEYS, F.monotonically_increasing_id().alias("num")), "kinds")
+    keyed = kinds.select(F.explode(F.array(*_KEYS)).alias("key"), "num", F.col("place.n").alias("n"))
+    full = scratch.keep(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("weight")).where("c > 1").select("key", "weight"), "buckets")
+    pairs = scratch.keep(keyed.select("key", "num").join(full, "key"), "pairs")
+    near = kinds.join(pairs.select("num").distinct(), "num", "left_semi").select("place.doc_id", "place.t", F.lit(None).cast("int").alias("at"), F.struct("num", "place.word", "place.n").alias("p"))
+
+    # anchors that stand at two places
+    anchors = units.where("not para").select("p1", *_AT)
+    often = scratch.keep(anchors.groupBy("p1").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "often")
+    hits = anchors.join(often.select("p1"), "p1", "left_semi").select(*_AT, F.lit(None).cast("struct<num:long,word:int,n:int>").alias("p"))
+
+    # one more look at the texts that hold either
+    wanted = hits.unionAll(near.select("doc_id", "t", "at", "p")).groupBy("doc_id", "t").agg(F.collect_list("at").alias("ats"), F.collect_list("p").alias("ps"))
+    looked = scratch.keep(docs.join(wanted, ["doc_id", "t"]).select("doc_id", "text", "t", "ats", "ps").mapInArrow(_looked_up, _WANTED), "looked-up")
+    passages = _repeated_windows(looked.where("not para").drop("para"), often, scratch)
+
+    sets = looked.where("para").select(F.col("key").alias("num"), "hashes").dropDuplicates(["num"])
+    rows = spread(pairs, "num", F.ceil(F.col("weight") / BLOCK_SHINGLES))
+    rows = rows.join(sets, "num").select("key", "blk", "num", "hashes").repartition("key", "blk").sortWithinPartitions("key", "blk", "num")
     roots = components(rows.mapInArrow(_verify, "a long, b long"), scratch)
-    named = paras.withColumn("num", short).join(roots.withColumnRenamed("node", "num"), "num", "left").withColumn("component", F.coalesce("root", "num"))
-    near = _repeated(named.select("component", "doc_id", "at", "upto", "n"), "component")
-    return near.select("doc_id", F.lit("paragraph").alias("kind"), F.col("at").alias("first"), F.col("upto").alias("last"), F.col("n").alias("n_words"), "component", "keep_id", "removed").unionAll(passages)
+    grouped = kinds.join(roots.withColumnRenamed("node", "num"), "num", "left").where("again or root is not null")
+    grouped = scratch.keep(grouped.select("p1", "p2", "place", F.coalesce("root", "num").alias("root")), "grouped")
+    least = scratch.keep(grouped.groupBy("root").agg(F.min(F.struct("place", "p1")).alias("keep"), F.count(F.lit(1)).alias("c")), "least")
+    named = join_hot(grouped.select("p1", "p2", "root"), least, "root", "c").select("p1", "p2", F.col("keep.p1").alias("component"), F.struct(*(F.col(f"keep.place.{c}") for c in _AT)).alias("keep"))
+    found = units.where("para").select(*_AT, "upto", "n", "p1", "p2").join(scratch.keep(named, "named"), ["p1", "p2"])
+    found = found.select("doc_id", F.lit("paragraph").alias("kind"), F.col("at").alias("first"), F.col("upto").alias("last"), F.col("n").alias("n_words"), "component", F.col("keep.doc_id").alias("keep_id"), (F.struct(*_AT) != F.col("keep")).alias("removed"), "t").distinct()
+    return found.drop("t").unionAll(passages)
 
 
-def _repeated(rows: DataFrame, key: str) -> DataFrame:
-    """The rows whose key occurs at two places, with the first place's document and whether they go.
+def _repeated_windows(looked: DataFrame, often: DataFrame, scratch: Scratch) -> DataFrame:
+    """Windows at two places, joined to passages.
 
-    Aggregates on longs come before any join, so that the many keys that occur once end there.
+    Windows are compared with those of the same anchor.  Of an anchor at over HOT_ANCHOR places no task
+    gets all: its windows are counted by hash, in part before the shuffle, and joined with the result.
     """
-    often = rows.groupBy(key).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    hits = rows.join(often, key).distinct()
-    place = hits.groupBy(key).agg(F.min(F.when(F.col("doc_id") == F.col("keep_id"), F.col("at"))).alias("keep_at"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    return hits.join(place, key).withColumn("removed", (F.col("doc_id") != F.col("keep_id")) | (F.col("at") != F.col("keep_at")))
+    hot = often.where(F.col("c") > HOT_ANCHOR).select(F.col("p1").alias("key"))
+    few = looked.join(hot, "key", "left_anti").select("key", *_AT, "hashes")
+    found = few.repartition("key").sortWithinPartitions("key").mapInArrow(_alike, _FOUND)
+    if not hot.isEmpty():
+        each = looked.join(hot, "key", "left_semi").select("doc_id", "t", "at", F.posexplode("hashes").alias("i", "h"))
+        each = each.select("h", F.struct("doc_id", "t", (F.col("at") + F.col("i")).alias("at")).alias("place"))
+        both = each.groupBy("h").agg(F.min("place").alias("keep"), F.max("place").alias("other"), F.count(F.lit(1)).alias("c"))
+        both = scratch.keep(both.where("keep <> other").drop("other"), "hot-windows")
+        runs = join_hot(each, both, "h", "c").select("place.doc_id", "place.t", F.col("place.at").alias("first"), (F.col("place.at") + LEAST_WORDS).alias("last"), (F.col("place") != F.col("keep")).alias("removed"), F.col("keep.doc_id").alias("keep_id"))
+        found = found.unionAll(runs)
+    whole = found.repartition("doc_id", "t").sortWithinPartitions("doc_id", "t", "first", "last").mapInArrow(_passages, _FOUND)
+    return whole.select("doc_id", F.lit("passage").alias("kind"), "first", "last", (F.col("last") - F.col("first")).alias("n_words"), F.lit(None).cast("long").alias("component"), "keep_id", "removed")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
