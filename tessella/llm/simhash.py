@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import Scratch, documents, ids_and_texts
-from tessella.llm.components import components, linked_in, spread
+from tessella.llm.components import components, join_hot, linked_in, spread
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Three segments: of four differing bits at most, some segment holds at most one.
@@ -110,9 +110,8 @@ def links(fps: DataFrame, per_block: int = PER_BLOCK) -> DataFrame:
         parts = p if parts is None else parts.unionAll(p)
     # A signature holds two values of its segment, so its bucket is at most twice the larger one.
     hot = parts.groupBy("at", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > per_block // 2)
-    sig = signatures(fps)
-    hot_sig = signatures_of_parts(hot)
-    rows = spread(sig.select("sig", "fp"), "sig", "fp", per_block, hot_sig)
+    rows = signatures(fps).select("sig", "fp").join(signatures_of_parts(hot), "sig", "left")
+    rows = spread(rows, "fp", F.ceil(F.col("n") / per_block))
     rows = rows.select("sig", "blk", "fp").repartition("sig", "blk").sortWithinPartitions("sig", "blk")
     return rows.mapInArrow(_links, "a long, b long")
 
@@ -130,15 +129,21 @@ def simhash_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs``.
 
     Null or blank texts have fingerprint zero and link like any other; a null doc_id is carried
-    along but names no component unless all its group's are null; repeated rows stay repeated.
+    along but names no component unless all its group's are null; repeated rows stay repeated; an
+    empty table has no groups; other columns are not looked at.
     """
     rows = scratch.keep(documents(docs).mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
-    fps = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(fps.select("fp")), scratch)
-    named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = scratch.keep(named.join(least, "root").select("fp", "component_id"), "classes")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    fps = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c")), "distinct")
+    named = scratch.keep(_rooted(fps, scratch), "named")
+    least = scratch.keep(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "least")
+    classes = scratch.keep(join_hot(named, least, "root", "n").select("fp", "component_id", "c"), "classes")
+    return join_hot(rows, classes, "fp", "c").select("doc_id", "fp", "component_id")
+
+
+def _rooted(fps: DataFrame, scratch: Scratch) -> DataFrame:
+    """``fps`` (one row for each fingerprint) with the ``root`` of its component."""
+    roots = components(links(fps.select("fp")), scratch).withColumnRenamed("node", "fp")
+    return fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,13 +153,27 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _row_key() -> list:
+    """``id`` and ``x``: doc_id, the last of all where null, and what tells rows of one doc_id apart."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return [F.coalesce(doc_id, F.lit(2**63 - 1)).alias("id"), F.xxhash64(doc_id, text).alias("x")]
+
+
+def _keyed_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        fp = np.fromiter((fingerprint(t or "") for t in b.column(2).to_pylist()), np.uint64, b.num_rows).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["id", "x", "fp"])
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: of each group the document with the least doc_id stays, all rows with a null doc_id too.
+    """Stage: of each group the row with the least doc_id stays; a null doc_id comes after all others.
 
-    Of repeated rows of that document one stays.
+    Rows that share a doc_id are told apart by their texts; of rows that repeat both, one stays.  Null
+    and empty texts are one group.  Columns keep their names, types and order; texts are shuffled once.
     """
-    got = simhash_groups(docs, Scratch(spark, "simhash-stage"))
-    lost = got.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(lost, "doc_id", "left_anti")
-    known = left.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return known.unionAll(left.where("doc_id is null")).select(*docs.columns)
+    scratch, text = Scratch(spark, "simhash-stage"), F.col("text").cast("string").alias("text")
+    rows = docs.select(*_row_key(), text).mapInArrow(_keyed_fingerprints, "id long, x long, fp long")
+    fps = scratch.keep(rows.groupBy("fp").agg(F.min(F.struct("id", "x")).alias("least")), "distinct")
+    stay = scratch.keep(_rooted(fps, scratch).groupBy("root").agg(F.min("least").alias("least")).select("least.id", "least.x"), "stay")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    return docs.select(*_row_key(), whole).join(stay, ["id", "x"], "left_semi").dropDuplicates(["id", "x"]).select("row.*")
