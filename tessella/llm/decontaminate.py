@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, documents, ids_and_texts, table
-from tessella.llm.words import folded
+from tessella.llm.common import Scratch, documents, table
+from tessella.llm.words import Words, slices, spans
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least alignment score as a share of the item's own.
@@ -20,129 +20,139 @@ SHARE = 0.6
 ITEM_BYTES = 64_000_000
 
 
-def smith_waterman(item: list[int], passage: list[int]) -> tuple[int, int, int]:
-    """Best local score with MATCH, MISMATCH and GAP, and the part of ``passage`` it covers."""
-    n = len(passage)
-    row, from_ = [0] * (n + 1), list(range(n + 1))
-    best = (0, 0, 0)
-    for a in item:
-        diag, diag_from, left = 0, 0, 0
-        left_from = 0
-        for j in range(1, n + 1):
-            up = row[j]
-            s, f = diag + (MATCH if a == passage[j - 1] else MISMATCH), diag_from
-            if diag == 0:
-                f = j - 1
-            if up + GAP > s:
-                s, f = up + GAP, from_[j]
-            if left + GAP > s:
-                s, f = left + GAP, left_from
-            if s <= 0:
-                s, f = 0, j
-            diag, diag_from = up, from_[j]
-            row[j], from_[j] = s, f
-            left, left_from = s, f
-            if s > best[0] or s == best[0] and f < best[1]:
-                best = (s, f, j)
-    return best
+def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
+    """Best local score with MATCH, MISMATCH and GAP, and the part of ``passage`` it covers: of several
+    the one that starts first, then the one that ends first.
 
-
-def best_score(item: list[int], passage: np.ndarray) -> int:
-    """The score of smith_waterman alone, a row at a time."""
-    at = np.arange(len(passage)) * -GAP
-    row, best = np.zeros(len(passage), np.int64), 0
+    A row at a time; a cell is its score and, in the low bits, how early its alignment starts, so that
+    the greater cell is the better one.
+    """
+    passage = np.asarray(passage)
+    n, one = len(passage), np.int64(1) << 32
+    column = np.arange(n + 1)
+    empty = one - 1 - column
+    row, best = empty, (0, 0, 0)
+    gaps = column * (-GAP * one)
     for a in item:
-        s = np.where(passage == a, MATCH, MISMATCH)
-        s[1:] += row[:-1]
-        row = np.maximum.accumulate(np.maximum(np.maximum(s, row + GAP), 0) + at) - at
-        best = max(best, int(row.max()))
+        cell = empty.copy()
+        cell[1:] = np.maximum(row[:-1] + np.where(passage == a, MATCH * one, MISMATCH * one), row[1:] + GAP * one)
+        row = np.maximum.accumulate(np.maximum(cell, empty) + gaps) - gaps
+        row = np.where(row < one, empty, row)
+        top = int(row.argmax())
+        s, f = divmod(int(row[top]), int(one))
+        f = int(one) - 1 - f
+        if s > best[0] or s == best[0] and (f, top) < best[1:]:
+            best = (s, f, top)
     return best
 
 
 class Items:
-    """The test items as word numbers, and the n-grams by which training text is searched.
+    """The test items as word numbers, and the n-grams by which training text is joined to them.
 
     A match of an item of n words has m <= n equal words and at most 2 m - 1.2 n other steps, so it
     spans 1.8 n words at most, 0.6 n of them the item's at least, and its equal words stand in at
     most 2 m - 1.2 n + 1 runs, hence hold 0.2 n - 1 of the item's pairs of words.  Items of over 5
     words are sought by pairs, shorter ones by words.  (Figures for SHARE 0.6 and the scores above.)
+
+    Seeds are the rarest of an item's n-grams (by how many places of the items hold them), so many
+    that with any fewer n-grams than a match must have, no match can lack them all.  Rarity decides
+    only how much is looked at, not what is found.
     """
 
     def __init__(self, rows: list[tuple[int, str]]):
-        self.vocab: dict[bytes, int] = {}
-        self.items: list[tuple[int, list[int]]] = []
-        for item_id, text in rows:
-            words = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in folded(text)]
-            if words:
-                self.items.append((item_id, words))
+        words = Words(pa.array([t for _, t in rows], pa.string()), punctuation=True, fold=True)
+        self.vocab, number = np.unique(words.hashes, return_inverse=True)
+        number = number.astype(np.int64) + 1
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[(self.vocab & np.uint64(0xFFFF)).astype(np.int64)] = True
+        found = [(r[0], number[a:b]) for r, a, b in zip(rows, words.first, words.first[1:]) if b > a]
+        self.ids, self.items = [i for i, _ in found], [w for _, w in found]
         self.base = len(self.vocab) + 1
-        n = np.array([len(w) for _, w in self.items], np.int64)
-        least = np.array([math.ceil(round(SHARE * k, 6)) for k in n.tolist()], np.int64)
-        self.least = least
+        n = np.array([len(w) for w in self.items], np.int64)
+        self.least = np.array([math.ceil(round(SHARE * k, 6)) for k in n.tolist()], np.int64)
         self.span = np.array([int(round((3 - 2 * SHARE) * k, 6)) for k in n.tolist()], np.int64)
         pairs = np.array([math.ceil(round((2 * SHARE - 1) * k - 1, 6)) for k in n.tolist()], np.int64)
-        self.hits = np.where(pairs >= 1, pairs, least)
-        held = sorted({(g, k) for k, (_, ws) in enumerate(self.items) for g in (self.pairs(ws) if pairs[k] >= 1 else ws)})
-        self.all, start = np.unique(np.array([g for g, _ in held], np.int64), return_index=True)
-        self.start = np.append(start, len(held))
-        self.of = np.array([k for _, k in held], np.int64)
-
-    def pairs(self, words: list[int]) -> list[int]:
-        return [a * self.base + b for a, b in zip(words, words[1:])]
-
-    def numbers(self, text: str) -> np.ndarray:
-        get = self.vocab.get
-        return np.array([get(w, 0) for w in folded(text)], np.int64)
-
-    def found(self, nums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Items and places of their words or pairs in a text, sorted, each once."""
-        none = np.empty(0, np.int64)
-        if not len(nums) or not len(self.all):
-            return none, none
+        self.hits = np.where(pairs >= 1, pairs, self.least)
+        grams = [w[:-1] * self.base + w[1:] if by_pairs else w for w, by_pairs in zip(self.items, pairs >= 1)]
+        own = np.repeat(np.arange(len(grams)), [len(g) for g in grams]) if grams else np.empty(0, np.int64)
+        flat = np.concatenate([np.empty(0, np.int64), *grams])
+        self.all, at, often = np.unique(flat, return_inverse=True, return_counts=True)
+        by = np.lexsort((flat, -often[at], own))  # an item's n-grams, the commonest first
+        rank = np.arange(len(by)) - np.searchsorted(own[by], own[by])
+        seed = np.zeros(len(flat), bool)
+        seed[by[rank >= self.hits[own[by]] - 1]] = True
+        held = np.unique(np.stack([at, own, seed], axis=1), axis=0) if len(flat) else np.empty((0, 3), np.int64)
+        last = np.ones(len(held), bool)  # an n-gram at several places of an item is a seed if one of them is
+        last[:-1] = (held[1:, :2] != held[:-1, :2]).any(1)
+        held = held[last]
+        self.start = np.searchsorted(held[:, 0], np.arange(len(self.all) + 1))
+        self.of, self.seed = held[:, 1], held[:, 2].astype(bool)
+
+    def numbers(self, words: Words) -> np.ndarray:
+        """The number of each word that an item holds, else 0."""
+        h, out = words.hashes, np.zeros(len(words.start), np.int64)
+        if len(self.vocab):
+            at = np.flatnonzero(self.maybe[(h & np.uint64(0xFFFF)).astype(np.int64)])
+            k = np.minimum(np.searchsorted(self.vocab, h[at]), len(self.vocab) - 1)
+            out[at] = np.where(self.vocab[k] == h[at], k + 1, 0)
+        return out
+
+    def joined(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Word numbers, and text, item and place of the n-grams that texts share with items of which
+        they hold a seed, sorted."""
+        nums, none = self.numbers(words), np.empty(0, np.int64)
+        if not len(self.all):
+            return nums, none, none, none
         known = nums > 0
-        two = np.flatnonzero(known[1:] & known[:-1])
+        two = known[:-1] & known[1:]
+        inner = words.first[1:-1]
+        two[inner[(inner > 0) & (inner < len(nums))] - 1] = False  # a pair lies in one text
+        two = np.flatnonzero(two)
         one = np.flatnonzero(known) if self.all[0] < self.base else none
         at = np.concatenate([one, two])
         grams = np.concatenate([nums[one], nums[two] * self.base + nums[two + 1]])
         k = np.minimum(np.searchsorted(self.all, grams), len(self.all) - 1)
         hit = self.all[k] == grams
         at, k = at[hit], k[hit]
+        text = np.searchsorted(words.first, at, "right") - 1
         n = self.start[k + 1] - self.start[k]
-        item = self.of[np.repeat(self.start[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        at = np.repeat(at, n)
-        by = np.lexsort((at, item))
-        return item[by], at[by]
-
-    def regions(self, nums: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item's place, first, last): the stretches of a text outside which no match can lie."""
-        item, at = self.found(nums)
-        if not len(item):
+        of, at, text = spans(np.arange(len(self.of)), self.start[k], n), np.repeat(at, n), np.repeat(text, n)
+        item = self.of[of]
+        key = text * len(self.items) + item
+        seeded = np.unique(key[self.seed[of]])
+        with_seed = seeded[np.minimum(np.searchsorted(seeded, key), len(seeded) - 1)] == key if len(seeded) else np.zeros(len(key), bool)
+        text, item, at = text[with_seed], item[with_seed], at[with_seed]
+        by = np.lexsort((at, item, text))
+        return nums, text[by], item[by], at[by]
+
+    def regions(self, words: Words) -> Iterator[tuple[int, int, np.ndarray, int]]:
+        """(text, item's place, words, first word's place): the stretches of texts outside which no match can lie."""
+        nums, text, item, at = self.joined(words)
+        if not len(at):
             return
         upto = np.arange(len(item)) + self.hits[item] - 1
         end = np.minimum(upto, len(item) - 1)
-        ok = (upto < len(item)) & (item[end] == item) & (at[end] - at < self.span[item])
-        item, at = item[ok], at[ok]
-        lo, hi = np.maximum(at - self.span[item], 0), np.minimum(at + self.span[item] + 1, len(nums))
-        new = np.flatnonzero(np.concatenate([np.ones(1, bool), (item[1:] != item[:-1]) | (lo[1:] > hi[:-1])])) if len(item) else item
+        ok = (upto < len(item)) & (item[end] == item) & (text[end] == text) & (at[end] - at < self.span[item])
+        text, item, at = text[ok], item[ok], at[ok]
+        lo, hi = np.maximum(at - self.span[item], words.first[text]), np.minimum(at + self.span[item] + 1, words.first[text + 1])
+        new = np.flatnonzero(np.concatenate([np.ones(1, bool), (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > hi[:-1])])) if len(item) else item
         for s, e in zip(new.tolist(), np.append(new[1:], len(item)).tolist()):
             k, a, b = int(item[s]), int(lo[s]), int(hi[e - 1])
-            mine = np.concatenate([[0], np.cumsum(np.isin(nums[a:b], self.items[k][1]))])
+            mine = np.concatenate([[0], np.cumsum(np.isin(nums[a:b], self.items[k]))])
             width = min(int(self.span[k]), b - a)
             full = np.flatnonzero(mine[width:] - mine[:-width] >= self.least[k])
             if len(full):
-                yield k, a + int(full[0]), a + int(full[-1]) + width
-
+                first, last = a + int(full[0]), a + int(full[-1]) + width
+                yield int(text[s]), k, nums[first:last], first - int(words.first[text[s]])
 
-def _matches(items: Items, nums: np.ndarray) -> list[tuple[int, float, int, int]]:
-    best: dict[int, tuple[int, int, int]] = {}
-    for k, lo, hi in items.regions(nums):
-        words = items.items[k][1]
-        top = best_score(words, nums[lo:hi])
-        if top < SHARE * MATCH * len(words) or k in best and top <= best[k][0]:
-            continue
-        s, f, e = smith_waterman(words, nums[lo:hi].tolist())
-        best[k] = (s, lo + f, lo + e)
-    return [(items.items[k][0], s / (MATCH * len(items.items[k][1])), f, e) for k, (s, f, e) in best.items()]
+    def matches(self, words: Words) -> list[tuple[int, int, float, int, int]]:
+        """(text, item_id, score, first word, last word) of the best match of each text and item."""
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for text, k, nums, at in self.regions(words):
+            s, f, e = smith_waterman(self.items[k], nums)
+            if s >= SHARE * MATCH * len(self.items[k]) and (text, k) not in best or s > best.get((text, k), (math.inf,))[0]:
+                best[text, k] = (s, at + f, at + e)
+        return [(text, self.ids[k], s / (MATCH * len(self.items[k])), f, e) for (text, k), (s, f, e) in best.items()]
 
 
 def _rounds(bench: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -162,9 +172,10 @@ def contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word): passages that copy or edit a test item.
 
     score: alignment score over the item's own, at least SHARE; the words are places in the
-    document's folded words, the last exclusive.  Null texts hold and match nothing; repeated
-    document rows give repeated results; of several copies in one document the best counts, the
-    earliest if tied.
+    document's words (case folded, without ASCII punctuation), the last exclusive.  Null and empty
+    texts hold and match nothing, an empty table gives none; repeated document rows give repeated
+    results, items that share a text one each; of several copies in one document the best counts,
+    the earliest if tied.  Other columns, whatever their names, are not looked at.
     """
     out = None
     for rows in _rounds(bench):
@@ -172,12 +183,10 @@ def contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def align(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            it = shared.value
-            for b in batches:
-                ids, texts = ids_and_texts(b)
-                got = [(i, *m) for i, t in zip(ids, texts) for m in _matches(it, it.numbers(t))]
-                cols = list(zip(*got)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "score", "first_word", "last_word"])
+            for b in slices(batches):
+                cols = list(zip(*shared.value.matches(Words(b.column(1), punctuation=True, fold=True)))) or [()] * 5
+                text, *cols = (pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(text), *cols], ["doc_id", "item_id", "score", "first_word", "last_word"])
 
         one = documents(docs).mapInArrow(align, "doc_id long, item_id long, score double, first_word int, last_word int")
         out = one if out is None else out.unionAll(one)
@@ -191,6 +200,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: documents with a passage of the benchmark go; rows with a null doc_id stay."""
-    found = Scratch(spark, "decontaminate").keep(contaminated(docs, table(spark, sf_dir, "benchmark")), "found")
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Stage: rows whose text has a passage of the benchmark go, whatever their doc_id.
+
+    Rows are known by their doc_id and a hash of their text.  Columns keep their names, types and order.
+    """
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    keyed = docs.select(key.alias("doc_id"), "text")
+    found = Scratch(spark, "decontaminate").keep(contaminated(keyed, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "found")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    return docs.select(key.alias("key"), whole).join(found.withColumnRenamed("doc_id", "key"), "key", "left_anti").select("row.*")
