@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
@@ -11,7 +12,7 @@ from tessella.llm import bpe, decontaminate, quality, secrets, simhash, warc
 from tessella.llm.ann import KdTree, chi_square_quantile
 from tessella.llm.components import linked_in
 from tessella.llm.elias_fano import EliasFano
-from tessella.llm.paragraphs import cuts, paragraphs
+from tessella.llm.words import SEGMENT, Words, run_hashes, slices
 
 ODD = ["", " ", "a", "A'S it's", "don’t Ünïcode ﬁ é <|endoftext|> x", "<|startoftext|>", "\x1c\x85a  b", "12345 abc_def--!!", "İstanbul", "日本語 text", "a ", "a\n\n b  c\t\td", "x" * 3000, "ab cd. " * 900, "¼ ½ x²", "é é"]
 
@@ -71,7 +72,10 @@ def test_smith_waterman_by_the_matrix():
         for i in range(1, len(a) + 1):
             for j in range(1, len(b) + 1):
                 h[i, j] = max(0, h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
-        assert decontaminate.smith_waterman(a, b)[0] == h.max()
+        score, first, last = decontaminate.smith_waterman(a, b)
+        assert score == h.max()
+        alone = decontaminate.smith_waterman(a, b[first:last])
+        assert alone == (score, 0, last - first)
 
 
 def test_markov_ratio_parts_random_from_ordinary():
@@ -92,15 +96,6 @@ def test_kd_tree_holds_every_row_once_and_bounds_hold():
     assert abs(chi_square_quantile(0.95, 8) - 15.507) < 1e-2
 
 
-def test_cuts_depend_on_nearby_words_only():
-    rng = np.random.default_rng(5)
-    shared = rng.integers(0, 2**63, 60).astype(np.uint64)
-    a, b = (np.concatenate([rng.integers(0, 2**63, n).astype(np.uint64), shared, rng.integers(0, 2**63, 40).astype(np.uint64)]) for n in (30, 77))
-    inside = lambda h, n: {int(c) - n for c in cuts(h) if n + 14 <= c < n + 50}
-    assert inside(a, 30) == inside(b, 77) and inside(a, 30)
-    assert paragraphs("a\n\n b\n") == [(0, 1), (3, 5)]
-
-
 def test_warc_round_trip_and_links():
     head, block = warc.page_response("7", "http://x/é", "<html lang=en><title>T &amp; t</title><style>p{}</style><p>One<b> two</b><p>three<a href='/q'>l</a>")
     (h, b), = warc.read_records(warc.write_record(head, block))
@@ -115,7 +110,29 @@ def test_warc_round_trip_and_links():
 def test_weights_and_cut():
     assert quality.cut([1, 2, 3, 4], [0, 0, 1, 1]) == 2.5
     assert quality.cut([], []) == -np.inf and quality.cut([1, 2], [1, 1]) == -np.inf
-    assert quality.text_weights(["", "a b"], np.ones((1, quality.BUCKETS)))[0].tolist() == [0, quality.LENGTH]
+    texts = pa.array(["", None, "a b", "a", "b a"])
+    one, two, first = quality.features(texts)
+    assert first.tolist() == [0, 0, 0, 2, 3, 5] and one[0] == one[2] == one[4] and two[0] == two[2] != two[1] and two.min() >= quality.BUCKETS > one.max()
+    ratios = np.arange(2.0 * quality.BUCKETS)[None]
+    assert quality.text_weights(texts, ratios)[0].tolist() == [0, 0, one[0] + one[1] + two[0] + two[1], one[2] + two[2], one[3] + one[4] + two[3] + two[4]]
+
+
+def test_words_of_columns():
+    texts = ["", None, "Ab  cd\nEF", " x", "é É x\x0by", "z ", "end", None, "z", "b" * (SEGMENT + 9) + " yy " + "b" * (SEGMENT + 9), "yy"]
+    w = Words(pa.array(["before", *texts, "after"]).slice(1, len(texts)))
+    words = [[w.raw[s:e].tobytes() for s, e in zip(w.start[a:b], w.end[a:b])] for a, b in zip(w.first, w.first[1:])]
+    assert words == [(t or "").encode().lower().split() for t in texts]
+    flat = [x for t in words for x in t]
+    assert len(set(zip(flat, w.hashes.tolist()))) == len(set(flat)) == len(set(w.hashes.tolist()))
+    assert (w.hashes == Words(pa.array([t or "" for t in texts])).hashes).all()
+    folded = Words(pa.array(["It's ÉTÉ,x", "a-b"]), punctuation=True, fold=True)
+    assert [folded.raw[s:e].tobytes().decode() for s, e in zip(folded.start, folded.end)] == ["it", "s", "été", "x", "a", "b"] and folded.first.tolist() == [0, 4, 6]
+    assert w.characters()[w.off].tolist() == np.concatenate([[0], np.cumsum([len(t or "") for t in texts])]).tolist()
+    h = np.arange(40, dtype=np.uint64) % np.uint64(7)
+    r = run_hashes(h, np.array([0, 7, 14, 3]), np.array([5, 5, 5, 5]))
+    assert r[0] == r[1] == r[2] != r[3]
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["x", None, "y"])], ["doc_id", "text"])
+    assert [b.column(0).to_pylist() for b in slices([rows])] == [[1, 2, 3]] and list(slices([rows.slice(0, 0)])) == []
 
 
 def test_base_patterns_compile_alike():
