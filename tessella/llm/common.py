@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -66,6 +67,11 @@ class Scratch:
             raise ValueError(f"memory-mapped files need a mounted shared folder, not {path}")
         return path
 
+    def release(self) -> None:
+        """Lets Spark remove the shuffle files of frames that nothing refers to any more, such as those kept meanwhile."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         self._delete(df._tessella_path)
 

@@ -22,8 +22,9 @@ LEAST_LINE = SHINGLE
 LEAST_WORDS = 20
 #: Shingles of a band's bucket that one task compares; larger buckets are dealt out in pairs of blocks.
 BLOCK_SHINGLES = 1_000_000
-#: Occurrences of an anchor above which its windows are counted one by one, before any shuffle too.
-HOT_ANCHOR = 2_000
+#: Occurrences of an anchor that one task takes, some 100 MB with their windows; beyond, its windows are
+#: counted one by one, in part before any shuffle.
+HOT_ANCHOR = 50_000
 
 _U = np.uint64
 #: Bits of a shingle's hash that give way to its place among the words read together.
@@ -113,8 +114,8 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _unit_rows(ids[text], t[text], False, place - w.first[text], [none, none, none, x[place].view(np.int64)])
 
 
-_WANTED = "para boolean, key long, doc_id long, t int, at int, hashes array<long>"
-_WANTED_SCHEMA = pa.schema([("para", pa.bool_()), ("key", pa.int64()), ("doc_id", pa.int64()), ("t", pa.int32()), ("at", pa.int32()), ("hashes", pa.list_(pa.int64()))])
+_WANTED = "para boolean, hot boolean, key long, doc_id long, t int, at int, hashes array<long>"
+_WANTED_SCHEMA = pa.schema([("para", pa.bool_()), ("hot", pa.bool_()), ("key", pa.int64()), ("doc_id", pa.int64()), ("t", pa.int32()), ("at", pa.int32()), ("hashes", pa.list_(pa.int64()))])
 
 
 def _lists(values: np.ndarray, n: np.ndarray) -> pa.Array:
@@ -122,8 +123,9 @@ def _lists(values: np.ndarray, n: np.ndarray) -> pa.Array:
 
 
 def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, t, anchors wanted, paragraphs wanted as num, word, n) -> for each anchor the
-    hashes of the windows, from ``at`` on, that have it; for each paragraph (key: num) its different shingles."""
+    """Rows (doc_id, text, t, anchors wanted, those of them that are hot, paragraphs wanted as num, word, n)
+    -> for each anchor the hashes of the windows, from ``at`` on, that have it; for each paragraph (key: num)
+    its different shingles."""
     for b in slices(batches):
         ids, t = b.column(0).to_numpy(), b.column(2).to_numpy()
         w = Words(b.column(1))
@@ -131,18 +133,17 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = shingles(h)
 
         starts, place = windows(w, x)
-        ats = b.column(3)
-        at = ats.flatten().to_numpy() + np.repeat(w.first[:-1], ats.value_lengths().to_numpy())
-        mark = np.zeros(len(h) + 1, bool)
-        mark[at] = True
-        starts, place = starts[mark[place]], place[mark[place]]
+        mark = np.zeros(len(h) + 1, np.int8)
+        for level, ats in ((1, b.column(3)), (2, b.column(4))):
+            mark[ats.flatten().to_numpy() + np.repeat(w.first[:-1], ats.value_lengths().to_numpy())] = level
+        starts, place = starts[mark[place] > 0], place[mark[place] > 0]
         new = np.flatnonzero(np.diff(place, prepend=-1))
         text = np.searchsorted(w.first, starts[new], "right") - 1
         many = np.diff(np.append(new, len(starts)))
-        cols = [np.zeros(len(new), bool), x[place[new]].view(np.int64), ids[text], t[text], (starts[new] - w.first[text]).astype(np.int32)]
+        cols = [np.zeros(len(new), bool), mark[place[new]] == 2, x[place[new]].view(np.int64), ids[text], t[text], (starts[new] - w.first[text]).astype(np.int32)]
         yield pa.RecordBatch.from_arrays([*map(pa.array, cols), _lists(run_hashes(h, starts, LEAST_WORDS), many)], schema=_WANTED_SCHEMA)
 
-        paras = b.column(4)
+        paras = b.column(5)
         if len(own := paras.flatten()):
             num, word, n = (own.field(k).to_numpy() for k in range(3))
             word = word + np.repeat(w.first[:-1], paras.value_lengths().to_numpy())
@@ -153,7 +154,7 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = np.ones(len(values), bool)
             first[1:] = (values[1:] != values[:-1]) | (of[1:] != of[:-1])
             none = pa.nulls(len(num), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(num), bool)), pa.array(num), pa.nulls(len(num), pa.int64()), none, none, _lists(values[first], np.bincount(of[first], minlength=len(num)))], schema=_WANTED_SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(num), bool)), pa.array(np.zeros(len(num), bool)), pa.array(num), pa.nulls(len(num), pa.int64()), none, none, _lists(values[first], np.bincount(of[first], minlength=len(num)))], schema=_WANTED_SCHEMA)
 
 
 def _by_key(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -293,50 +294,59 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     units = scratch.keep(docs.mapInArrow(_units, _UNITS), "units")
 
     # different paragraphs, numbered; those that share a band with another one
-    place = F.struct(*_AT, "word", "n").alias("place")
-    kinds = units.where("para").groupBy("p1", "p2").agg(F.min(place).alias("place"), F.max(F.struct(*_AT)).alias("other"), *(F.any_value(k).alias(k) for k in _KEYS))
-    again = F.struct(*(F.col(f"place.{c}") for c in _AT)) != F.col("other")
-    kinds = scratch.keep(kinds.select("p1", "p2", "place", again.alias("again"), *_KEYS, F.monotonically_increasing_id().alias("num")), "kinds")
+    place = [*_AT, "word", "n"]
+    ref = F.xxhash64(*_AT)
+    kinds = units.where("para").groupBy("p1", "p2").agg(F.min(F.struct(*place, *_KEYS)).alias("x"), (F.min(ref) != F.max(ref)).alias("again"))
+    kinds = kinds.select("p1", "p2", F.struct(*(F.col(f"x.{c}") for c in place)).alias("place"), "again", *(F.col(f"x.{k}") for k in _KEYS), F.monotonically_increasing_id().alias("num"))
+    kinds = scratch.keep(kinds, "kinds")
     keyed = kinds.select(F.explode(F.array(*_KEYS)).alias("key"), "num", F.col("place.n").alias("n"))
     full = scratch.keep(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("weight")).where("c > 1").select("key", "weight"), "buckets")
+    scratch.release()
     pairs = scratch.keep(keyed.select("key", "num").join(full, "key"), "pairs")
-    near = kinds.join(pairs.select("num").distinct(), "num", "left_semi").select("place.doc_id", "place.t", F.lit(None).cast("int").alias("at"), F.struct("num", "place.word", "place.n").alias("p"))
+    none = lambda kind: F.lit(None).cast(kind)
+    near = kinds.join(pairs.select("num").distinct(), "num", "left_semi")
+    near = near.select("place.doc_id", "place.t", none("int").alias("at"), none("int").alias("hot"), F.struct("num", "place.word", "place.n").alias("p"))
 
     # anchors that stand at two places
     anchors = units.where("not para").select("p1", *_AT)
-    often = scratch.keep(anchors.groupBy("p1").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "often")
-    hits = anchors.join(often.select("p1"), "p1", "left_semi").select(*_AT, F.lit(None).cast("struct<num:long,word:int,n:int>").alias("p"))
+    often = anchors.groupBy("p1").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("p1", (F.col("c") > HOT_ANCHOR).alias("hot"))
+    often = scratch.keep(often, "often")
+    hits = anchors.join(often, "p1").select(*_AT, F.when(F.col("hot"), F.col("at")).alias("hot"), none("struct<num:long,word:int,n:int>").alias("p"))
 
     # one more look at the texts that hold either
-    wanted = hits.unionAll(near.select("doc_id", "t", "at", "p")).groupBy("doc_id", "t").agg(F.collect_list("at").alias("ats"), F.collect_list("p").alias("ps"))
-    looked = scratch.keep(docs.join(wanted, ["doc_id", "t"]).select("doc_id", "text", "t", "ats", "ps").mapInArrow(_looked_up, _WANTED), "looked-up")
-    passages = _repeated_windows(looked.where("not para").drop("para"), often, scratch)
+    wanted = hits.unionAll(near).groupBy("doc_id", "t").agg(F.collect_list("at").alias("ats"), F.collect_list("hot").alias("hots"), F.collect_list("p").alias("ps"))
+    scratch.release()
+    wanted = scratch.keep(wanted, "wanted")
+    scratch.release()
+    looked = scratch.keep(docs.join(wanted, ["doc_id", "t"]).select("doc_id", "text", "t", "ats", "hots", "ps").mapInArrow(_looked_up, _WANTED), "looked-up")
+    scratch.drop(wanted)
+    scratch.release()
 
     sets = looked.where("para").select(F.col("key").alias("num"), "hashes").dropDuplicates(["num"])
     rows = spread(pairs, "num", F.ceil(F.col("weight") / BLOCK_SHINGLES))
     rows = rows.join(sets, "num").select("key", "blk", "num", "hashes").repartition("key", "blk").sortWithinPartitions("key", "blk", "num")
     roots = components(rows.mapInArrow(_verify, "a long, b long"), scratch)
+    scratch.drop(pairs)
     grouped = kinds.join(roots.withColumnRenamed("node", "num"), "num", "left").where("again or root is not null")
     grouped = scratch.keep(grouped.select("p1", "p2", "place", F.coalesce("root", "num").alias("root")), "grouped")
     least = scratch.keep(grouped.groupBy("root").agg(F.min(F.struct("place", "p1")).alias("keep"), F.count(F.lit(1)).alias("c")), "least")
     named = join_hot(grouped.select("p1", "p2", "root"), least, "root", "c").select("p1", "p2", F.col("keep.p1").alias("component"), F.struct(*(F.col(f"keep.place.{c}") for c in _AT)).alias("keep"))
     found = units.where("para").select(*_AT, "upto", "n", "p1", "p2").join(scratch.keep(named, "named"), ["p1", "p2"])
     found = found.select("doc_id", F.lit("paragraph").alias("kind"), F.col("at").alias("first"), F.col("upto").alias("last"), F.col("n").alias("n_words"), "component", F.col("keep.doc_id").alias("keep_id"), (F.struct(*_AT) != F.col("keep")).alias("removed"), "t").distinct()
-    return found.drop("t").unionAll(passages)
+    scratch.release()
+    return found.drop("t").unionAll(_repeated_windows(looked.where("not para").drop("para"), scratch))
 
 
-def _repeated_windows(looked: DataFrame, often: DataFrame, scratch: Scratch) -> DataFrame:
+def _repeated_windows(looked: DataFrame, scratch: Scratch) -> DataFrame:
     """Windows at two places, joined to passages.
 
     Windows are compared with those of the same anchor.  Of an anchor at over HOT_ANCHOR places no task
     gets all: its windows are counted by hash, in part before the shuffle, and joined with the result.
     """
-    hot = often.where(F.col("c") > HOT_ANCHOR).select(F.col("p1").alias("key"))
-    few = looked.join(hot, "key", "left_anti").select("key", *_AT, "hashes")
-    found = few.repartition("key").sortWithinPartitions("key").mapInArrow(_alike, _FOUND)
-    if not hot.isEmpty():
-        each = looked.join(hot, "key", "left_semi").select("doc_id", "t", "at", F.posexplode("hashes").alias("i", "h"))
-        each = each.select("h", F.struct("doc_id", "t", (F.col("at") + F.col("i")).alias("at")).alias("place"))
+    found = looked.where("not hot").select("key", *_AT, "hashes").repartition("key").sortWithinPartitions("key").mapInArrow(_alike, _FOUND)
+    many = looked.where("hot")
+    if not many.isEmpty():
+        each = many.select("doc_id", "t", "at", F.posexplode("hashes").alias("i", "h")).select("h", F.struct("doc_id", "t", (F.col("at") + F.col("i")).alias("at")).alias("place"))
         both = each.groupBy("h").agg(F.min("place").alias("keep"), F.max("place").alias("other"), F.count(F.lit(1)).alias("c"))
         both = scratch.keep(both.where("keep <> other").drop("other"), "hot-windows")
         runs = join_hot(each, both, "h", "c").select("place.doc_id", "place.t", F.col("place.at").alias("first"), (F.col("place.at") + LEAST_WORDS).alias("last"), (F.col("place") != F.col("keep")).alias("removed"), F.col("keep.doc_id").alias("keep_id"))
