@@ -153,7 +153,9 @@ def search(tree: KdTree, unit: np.ndarray, lone: np.ndarray, q: np.ndarray, qp:
 
 
 def exact(v: np.ndarray, q: np.ndarray) -> np.ndarray:
-    return (v * q).sum(1) / (np.sqrt((v * v).sum(1)) * np.sqrt((q * q).sum()))
+    """Cosines in double precision, components summed one after another, so that other engines get the same bits."""
+    last = lambda x: np.cumsum(x, axis=-1)[..., -1]
+    return last(v * q) / (np.sqrt(last(v * v)) * np.sqrt(last(q * q)))
 
 
 _OUT = "query_id long, h long, vec_id long, score double"
