@@ -26,14 +26,38 @@ def test_counts_and_ids_are_the_librarys():
     for _ in range(2):  # from the cache too
         ids = [np.frombuffer(e.encode(t), "<u4").tolist() for t in ODD]
         assert ids == bpe._encode(lib, ODD)
-        assert [e.decode(e.encode(t)) for t in ODD] == [lib.decode(i, skip_special_tokens=False) for i in ids]
+        assert [e.decode(e.encode(t)).decode() for t in ODD] == [lib.decode(i, skip_special_tokens=False) for i in ids]
+
+
+def test_joins_of_chunks_are_mended():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    e, lib, rng = bpe.Encoder(path), bpe._library(path), random.Random(2)
+    parts = ["a", "B", " ", "  ", "\n", "'s", "'", "é", "日", "—", "1", "²", "!", "\u2003", "\xa0", "😀", "́", "'ll", "<|", "<|endoftext|>", "the", " of"]
+    texts = ODD + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 3000))) for _ in range(150)] + [" " * 5000 + "a", "'" * 3000 + "s", "日本語" * 3000, "“quote” — dash… " * 400]
+    for t in texts:
+        raw = t.encode()
+        bounds = bpe.chunk_bounds(np.frombuffer(raw, np.uint8))
+        table, known = bpe.Shared("", 1), []
+        for s, x in zip(bounds.tolist(), bounds[1:].tolist()):  # as the table holds them
+            record = bpe._record(*e.chunk(raw[s:x].decode()))
+            table.files = {"off-0": np.array([0, len(record)]), "records-0": np.frombuffer(record, np.uint8)}
+            known.append(table.known(0, 0) if rng.random() < 0.8 else None)
+        assert np.frombuffer(e.encode(t, bounds, known), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t[:80]
 
 
 def test_chunks_are_the_same_wherever_they_stand():
     rng = random.Random(1)
-    text = " ".join(rng.choice(["alpha", "beta,", "gamma", "delta."]) for _ in range(3000))
-    pieces = lambda t: {t[a:b] for a, b in zip(bpe.chunk_bounds(t), bpe.chunk_bounds(t)[1:])}
-    assert len(pieces(text) - pieces("another start " + text)) <= 2
+    text = " ".join(rng.choice(["alpha", "beta,", "gämma", "delta."]) for _ in range(3000)).encode()
+
+    def pieces(t):
+        b = bpe.chunk_bounds(np.frombuffer(t, np.uint8)).tolist()
+        assert b[0] == 0 and b[-1] == len(t) and [t[x:y].decode() for x, y in zip(b, b[1:])]
+        return {t[x:y] for x, y in zip(b, b[1:])}
+
+    assert len(pieces(text) - pieces(b"another start " + text)) <= 2
+    assert bpe.chunk_bounds(np.empty(0, np.uint8)).tolist() == [0]
+    far = np.frombuffer(text * 8, np.uint8)  # more than is hashed in one go
+    assert len(far) > 1 << 16 and {bytes(far[x:y]) for x, y in zip(bpe.chunk_bounds(far)[3:].tolist(), bpe.chunk_bounds(far)[4:-1].tolist())} <= pieces(text + text)
 
 
 @pytest.mark.parametrize("n,universe", [(0, 1), (1, 5), (1000, 1000), (5000, 10**12)])
@@ -107,6 +131,41 @@ def test_warc_round_trip_and_links():
     assert warc.derive({**h, "WARC-Type": "request"}, b) == []
 
 
+def test_warc_as_found():
+    import gzip
+    import time
+    import zlib
+
+    body = "<p>héllo <a title='x>y' href=/q>hi</a>".encode()
+    packed = gzip.compress(body)
+    chunks = b"".join(b"%x;n=v\r\n%s\r\n" % (len(packed[i : i + 7]), packed[i : i + 7]) for i in range(0, len(packed), 7)) + b"0\r\n\r\n"
+    raw = zlib.compressobj(wbits=-15)
+    ways = [
+        (b"content-encoding: gzip\r\ntransfer-ENCODING: chunked", chunks), (b"Content-Encoding: deflate", zlib.compress(body)), (b"Content-Encoding: deflate", raw.compress(body) + raw.flush()),
+        (b"Content-Type: text/html; charset=\"latin-1\"", body.decode().encode("latin-1")), (b"Content-Type: text/html", b"<meta charset=latin-1>" + body.decode().encode("latin-1")), (b"X: y", body),
+    ]
+    for head, sent in ways:
+        block = b"HTTP/1.1 200 OK\r\n" + head + b"\r\n\r\n" + sent
+        record = warc.write_record({"warc-TYPE": "response", "WARC-Record-Id": "<urn:x>", "warc-target-uri": "http://x"}, block)
+        for data in (record * 2, gzip.compress(record) * 2, gzip.compress(record * 2)):
+            (h, b), (h2, b2) = warc.read_records(data)
+            assert h == h2 and b == b2 == block and h["WARC-Type"] == "response"
+        meta, conv = warc.derive(h, b)
+        assert conv[1].decode() == "héllo hi" and b"outlink: /q" in meta[1] and conv[0]["WARC-Refers-To"] == "<urn:x>" and conv[0]["WARC-Source-Payload-Digest"] == warc.digest(sent)
+    (meta, conv) = warc.derive(h, b"HTTP/1.1 200 OK\r\nContent-Encoding: br\r\n\r\nxyz")
+    assert conv[1] == b"" and b"encoding-not-undone: br" in meta[1]
+    (meta, conv) = warc.derive(h, b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\nxyz")
+    assert conv[1] == b"" and b"encoding-not-undone: gzip" in meta[1]
+    for cut in (record[:-40], gzip.compress(record)[:-10], b"WARC/1.1\r\nWARC-Type: x\r\n\r\n", b"HTTP/1.1"):
+        with pytest.raises(ValueError):
+            list(warc.read_records(cut))
+    began = time.process_time()
+    for text in ("<!--", "<title>", "<a ", '<a b=">" ', "<script>", "<![CDATA[", "<a href='", "<", "<a href = "):
+        page = text * (400_000 // len(text))
+        warc.plain_text(page), warc.page_facts(page)
+    assert time.process_time() - began < 20
+
+
 def test_weights_and_cut():
     assert quality.cut([1, 2, 3, 4], [0, 0, 1, 1]) == 2.5
     assert quality.cut([], []) == -np.inf and quality.cut([1, 2], [1, 1]) == -np.inf
