@@ -304,8 +304,11 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     scratch.release()
     pairs = scratch.keep(keyed.select("key", "num").join(full, "key"), "pairs")
     none = lambda kind: F.lit(None).cast(kind)
-    near = kinds.join(pairs.select("num").distinct(), "num", "left_semi")
-    near = near.select("place.doc_id", "place.t", none("int").alias("at"), none("int").alias("hot"), F.struct("num", "place.word", "place.n").alias("p"))
+    near = pairs.select("num").distinct().withColumn("near", F.lit(True))
+    some = kinds.drop(*_KEYS).join(near, "num", "left").where("again or near")
+    all_kinds, kinds = kinds, scratch.keep(some, "some-kinds")
+    scratch.drop(all_kinds)
+    near = kinds.where("near").select("place.doc_id", "place.t", none("int").alias("at"), none("int").alias("hot"), F.struct("num", "place.word", "place.n").alias("p"))
 
     # anchors that stand at two places
     anchors = units.where("not para").select("p1", *_AT)
@@ -313,10 +316,13 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     often = scratch.keep(often, "often")
     hits = anchors.join(often, "p1").select(*_AT, F.when(F.col("hot"), F.col("at")).alias("hot"), none("struct<num:long,word:int,n:int>").alias("p"))
 
-    # one more look at the texts that hold either
+    # one more look at the texts that hold either; of the units only the places of paragraphs are needed after that
     wanted = hits.unionAll(near).groupBy("doc_id", "t").agg(F.collect_list("at").alias("ats"), F.collect_list("hot").alias("hots"), F.collect_list("p").alias("ps"))
     scratch.release()
     wanted = scratch.keep(wanted, "wanted")
+    places = scratch.keep(units.where("para").select(*_AT, "upto", "n", "p1", "p2"), "places")
+    scratch.drop(units)
+    scratch.drop(often)
     scratch.release()
     looked = scratch.keep(docs.join(wanted, ["doc_id", "t"]).select("doc_id", "text", "t", "ats", "hots", "ps").mapInArrow(_looked_up, _WANTED), "looked-up")
     scratch.drop(wanted)
@@ -331,7 +337,7 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     grouped = scratch.keep(grouped.select("p1", "p2", "place", F.coalesce("root", "num").alias("root")), "grouped")
     least = scratch.keep(grouped.groupBy("root").agg(F.min(F.struct("place", "p1")).alias("keep"), F.count(F.lit(1)).alias("c")), "least")
     named = join_hot(grouped.select("p1", "p2", "root"), least, "root", "c").select("p1", "p2", F.col("keep.p1").alias("component"), F.struct(*(F.col(f"keep.place.{c}") for c in _AT)).alias("keep"))
-    found = units.where("para").select(*_AT, "upto", "n", "p1", "p2").join(scratch.keep(named, "named"), ["p1", "p2"])
+    found = places.join(scratch.keep(named, "named"), ["p1", "p2"])
     found = found.select("doc_id", F.lit("paragraph").alias("kind"), F.col("at").alias("first"), F.col("upto").alias("last"), F.col("n").alias("n_words"), "component", F.col("keep.doc_id").alias("keep_id"), (F.struct(*_AT) != F.col("keep")).alias("removed"), "t").distinct()
     scratch.release()
     return found.drop("t").unionAll(_repeated_windows(looked.where("not para").drop("para"), scratch))
