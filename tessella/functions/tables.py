@@ -11,15 +11,33 @@ word-break word-spacing writing-mode -webkit-font-smoothing""".split()
 # Properties by which an element paints, and values by which it does not.
 SIDES = ("top", "right", "bottom", "left")
 CORNERS = ("top-left", "top-right", "bottom-right", "bottom-left")
-VISUAL = [
-    "background", "background-color", "background-image",
-    *(f"border-{s}-{what}" for what in ("width", "style", "color") for s in SIDES),
-    *(f"border-{c}-radius" for c in CORNERS),
-    "box-shadow", "outline", "outline-width", "outline-style", "outline-color",
-    "text-shadow", "filter", "backdrop-filter", "mix-blend-mode", "opacity",
-]
+VISUAL = """background background-color background-image
+border-top-width border-right-width border-bottom-width border-left-width
+border-top-style border-right-style border-bottom-style border-left-style
+border-top-color border-right-color border-bottom-color border-left-color
+border-top-left-radius border-top-right-radius border-bottom-right-radius border-bottom-left-radius
+box-shadow outline outline-width outline-style outline-color
+text-shadow filter backdrop-filter mix-blend-mode opacity""".split()
 PAINTLESS = ("none", "0", "normal", "transparent", "rgba(0, 0, 0, 0)", "initial", "unset", "auto")
 
+# Units that a zero does without, units that depend on the parent's font, colour functions.
+ZERO_UNITS = "px em rem ex ch vh vw vmin vmax vi vb pt pc cm mm in q lh rlh fr deg rad turn s ms".split()
+RELATIVE_UNITS = "em ex ch lh".split()
+COLOUR_FUNCTIONS = "rgb rgba hsl hsla hwb lab lch oklab oklch".split()
+TRANSPARENT = "rgba(0, 0, 0, 0)"
+#: The parts of a CSS value, for Python and Java alike: calls of colour functions, hexadecimal colours,
+#: words (numbers with their units among them), white space, and any other character.
+CALL = r"(?i:(?<![A-Za-z0-9_])(?:" + "|".join(COLOUR_FUNCTIONS) + r")\([^()]*\))"
+PARTS = r"#[0-9A-Za-z_]+|[0-9A-Za-z_]+|\s+|[^\s0-9A-Za-z_]"
+
+# Properties that a React style takes as bare numbers.
+UNITLESS = """animation-iteration-count aspect-ratio border-image-outset border-image-slice border-image-width box-flex
+box-flex-group box-ordinal-group column-count columns flex flex-grow flex-positive flex-shrink flex-negative flex-order
+grid-area grid-row grid-row-end grid-row-span grid-row-start grid-column grid-column-end grid-column-span
+grid-column-start font-weight line-clamp line-height opacity order orphans scale tab-size widows z-index zoom
+fill-opacity flood-opacity stop-opacity stroke-dasharray stroke-dashoffset stroke-miterlimit stroke-opacity
+stroke-width""".split()
+
 # Shorthands and their longhands.
 FOUR_SIDED = {
     "padding": [f"padding-{s}" for s in SIDES],
@@ -42,9 +60,16 @@ TWO_AXES = {
     "grid-gap": ["row-gap", "column-gap"],
 }
 ONE_VALUE = {
-    f"{what}-{axis}" if what else f"inset-{axis}": [f"{what}-{s}" if what else s for s in ends]
-    for what in ("padding", "margin", "", "scroll-padding", "scroll-margin")
-    for axis, ends in (("inline", ("left", "right")), ("block", ("top", "bottom")))
+    "padding-inline": ["padding-left", "padding-right"],
+    "padding-block": ["padding-top", "padding-bottom"],
+    "margin-inline": ["margin-left", "margin-right"],
+    "margin-block": ["margin-top", "margin-bottom"],
+    "inset-inline": ["left", "right"],
+    "inset-block": ["top", "bottom"],
+    "scroll-padding-inline": ["scroll-padding-left", "scroll-padding-right"],
+    "scroll-padding-block": ["scroll-padding-top", "scroll-padding-bottom"],
+    "scroll-margin-inline": ["scroll-margin-left", "scroll-margin-right"],
+    "scroll-margin-block": ["scroll-margin-top", "scroll-margin-bottom"],
 }
 
 # Selector vocabulary.

@@ -1,4 +1,4 @@
-"""Edits of a document's tree: remove, unwrap, replace, wrap, insert, move, merge.
+"""Edits of a document's tree: remove, unwrap, replace, wrap, insert, move, merge, another class list.
 
 A document's edits touch no other document, so they are a map.  Edits of one group are applied
 together or not at all; what is refused is reported and the rest goes on.
@@ -30,6 +30,7 @@ class Tree:
         self.by_id: dict[int, Node] = dict(enumerate(self.root.walk()))
         self.ids: dict[Node, int] = {n: i for i, n in self.by_id.items()}
         self.undo: list[tuple[Node, Node | None, list[Node]]] = []
+        self.attrs: list[tuple[Node, list]] = []
 
     # every change of a node's place goes through these two, so that a group can be taken back
 
@@ -44,6 +45,8 @@ class Tree:
     def take_back(self) -> None:
         while self.undo:
             n, n.parent, n.children = self.undo.pop()
+        while self.attrs:
+            n, n.attrs = self.attrs.pop()
 
     def live(self, number: int | None, what: str = "target") -> Node:
         n = up = self.by_id.get(-1 if number is None else number)
@@ -138,9 +141,18 @@ def _merge(tree: Tree, n: Node, e: dict) -> None:
         tree.hang(k, n)
 
 
+def _classes(tree: Tree, n: Node, e: dict) -> None:
+    if n.kind != "element":
+        raise Refused("not an element")
+    tree.undo.append((n, n.parent, n.children))
+    tree.attrs.append((n, n.attrs))
+    kept = [a for a in n.attrs if a[0] != "class"]
+    n.attrs = [*kept, ("class", e["markup"], None)] if e["markup"] else kept
+
+
 EDITS: dict[str, Callable[[Tree, Node, dict], None]] = {
     "remove": _remove, "unwrap": _unwrap, "replace": _replace, "wrap": _wrap,
-    "insert_before": _before, "insert_after": _after, "move": _move, "merge": _merge,
+    "insert_before": _before, "insert_after": _after, "move": _move, "merge": _merge, "classes": _classes,
 }
 
 
@@ -152,6 +164,7 @@ def edited(text: str, edits: list[dict]) -> tuple[Tree, int, list[tuple[str, int
         groups.setdefault(k if e["grp"] is None else e["grp"], []).append(e)
     for group in groups.values():
         tree.undo.clear()
+        tree.attrs.clear()
         try:
             for e in group:
                 n = tree.live(e["target"])
@@ -167,7 +180,7 @@ def edited(text: str, edits: list[dict]) -> tuple[Tree, int, list[tuple[str, int
     return tree, applied, refused
 
 
-_ROWS = "doc_id long, nodes array<struct<node_id:int,parent_id:int,ordinal:int,kind:string,tag:string,text_value:string>>, applied int, refused array<struct<op:string,target:int,reason:string>>"
+_ROWS = "doc_id long, nodes array<struct<node_id:int,parent_id:int,ordinal:int,kind:string,tag:string,text_value:string,classes:string>>, applied int, refused array<struct<op:string,target:int,reason:string>>"
 
 
 def edit_documents(docs: DataFrame, key: str, text: str, edits: str) -> DataFrame:
@@ -176,7 +189,7 @@ def edit_documents(docs: DataFrame, key: str, text: str, edits: str) -> DataFram
     Null texts have no row; null edits are none.  Node numbers are those of ``markup.nodes``.
     """
     row = pa.schema([
-        ("doc_id", pa.int64()), ("nodes", pa.list_(pa.struct([("node_id", pa.int32()), ("parent_id", pa.int32()), ("ordinal", pa.int32()), ("kind", pa.string()), ("tag", pa.string()), ("text_value", pa.string())]))),
+        ("doc_id", pa.int64()), ("nodes", pa.list_(pa.struct([("node_id", pa.int32()), ("parent_id", pa.int32()), ("ordinal", pa.int32()), ("kind", pa.string()), ("tag", pa.string()), ("text_value", pa.string()), ("classes", pa.string())]))),
         ("applied", pa.int32()), ("refused", pa.list_(pa.struct([("op", pa.string()), ("target", pa.int32()), ("reason", pa.string())]))),
     ])
 
@@ -188,7 +201,7 @@ def edit_documents(docs: DataFrame, key: str, text: str, edits: str) -> DataFram
                 nodes, place = [], {}
                 for n in tree.root.walk():
                     place.update((c, k) for k, c in enumerate(n.children))
-                    nodes.append({"node_id": tree.ids[n], "parent_id": tree.ids[n.parent] if n.parent else None, "ordinal": place.get(n, 0), "kind": n.kind, "tag": n.tag, "text_value": n.text or None})
+                    nodes.append({"node_id": tree.ids[n], "parent_id": tree.ids[n.parent] if n.parent else None, "ordinal": place.get(n, 0), "kind": n.kind, "tag": n.tag, "text_value": n.text or None, "classes": " ".join(n.classes)})
                 rows.append({"doc_id": i, "nodes": nodes, "applied": applied, "refused": [dict(zip(("op", "target", "reason"), r)) for r in refused]})
             yield pa.RecordBatch.from_pylist(rows, row)
 

@@ -6,7 +6,6 @@ A style is a table (key, cond, property, value, important), one row for each dec
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions.scalars import inherited, relative
@@ -26,16 +25,23 @@ def fold_inherited(wrapper: DataFrame, child: DataFrame) -> DataFrame:
 
 
 def merge_styles(target: DataFrame, source: DataFrame, policy: str) -> DataFrame:
-    """The target's style with the source's; ``abort`` leaves a key with any differing value as it is."""
+    """The target's style with the source's; ``abort`` leaves a key with any differing value as it is.
+
+    One shuffle by declaration; ``abort`` gathers a key's few declarations in a second one.
+    """
     if policy not in POLICIES:
         raise ValueError(f"no such policy: {policy}")
-    side = lambda df, name: df.select(*AT, F.struct("value", "important").alias(name))
-    both = side(target, "t").join(side(source, "s"), AT, "full")
-    order = ("t", "s") if policy == "target-wins" else ("s", "t")
-    if policy == "abort":
-        clash = F.max(F.coalesce(F.col("t.value") != F.col("s.value"), F.lit(False))).over(W.partitionBy("key"))
-        both = both.withColumn("clash", clash).where("not clash or t is not null").withColumn("s", F.when(~F.col("clash"), F.col("s")))
-    return both.select(*AT, F.coalesce(*order).alias("d")).select(*AT, "d.value", "d.important")
+    mark = lambda df, n: df.select(*AT, F.struct("value", "important").alias("d"), F.lit(n).alias("side"))
+    both = mark(target, 0).unionByName(mark(source, 1))
+    pick = F.min_by if policy == "target-wins" else F.max_by
+    if policy != "abort":
+        return both.groupBy(AT).agg(pick("d", "side").alias("d")).select(*AT, "d.value", "d.important")
+    each = both.groupBy(AT).agg(F.min_by("d", "side").alias("t"), F.max_by("d", "side").alias("s"), F.min("side").alias("side"))
+    own = F.collect_list(F.struct("cond", "property", F.col("t.value").alias("value"), F.col("t.important").alias("important"), F.col("s.value").alias("other"), F.col("s.important").alias("other_important"), "side"))
+    whole = each.groupBy("key").agg(own.alias("rows"), F.max(F.col("t.value") != F.col("s.value")).alias("clash"))
+    rows = whole.select("key", "clash", F.explode("rows").alias("x")).where("not clash or x.side = 0")
+    mine = lambda a, b: F.when(F.col("clash"), F.col(f"x.{a}")).otherwise(F.col(f"x.{b}"))
+    return rows.select("key", "x.cond", "x.property", mine("value", "other").alias("value"), mine("important", "other_important").alias("important"))
 
 
 def residual(computed: DataFrame, covered: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from tessella.functions.styles import inherits, is_relative
+from tessella.functions.styles import inherits, inline_chunks, is_relative
 from tessella.functions.tables import PAINTLESS, VISUAL
 from tessella.sources.markup import Node, parse
 from tessella.sources.stylesheet import BASE, Sheet
@@ -93,6 +93,8 @@ class Document:
     dirty: set[Node] = field(default_factory=set)
     barred: set[Node] = field(default_factory=set)
     lists: dict[Node, list[str]] = field(default_factory=dict)
+    inline: dict[Node, list[str]] = field(default_factory=dict)  # what stays of style attributes
+    sweeps: int = 0
 
     @classmethod
     def of(cls, text: str, sheet: Sheet) -> Document:
@@ -207,8 +209,11 @@ def verdict(doc: Document, w: Node, child: Node, after: Style) -> str:
 
 
 def flatten(doc: Document, ceiling: int = 2, patterns=PATTERNS, verdicts: list | None = None) -> None:
-    """Sweeps in document order until nothing changes, SWEEPS at most; a refused wrapper is not tried again."""
-    for _ in range(SWEEPS):
+    """Sweeps in document order until nothing changes or a tree comes again, SWEEPS at most; a refused
+    wrapper is not tried again."""
+    seen = {fingerprint(doc.root)}
+    while doc.sweeps < SWEEPS:
+        doc.sweeps += 1
         gone: dict[Node, list[Node]] = {}
         for w in [n for n in doc.root.walk() if n.kind == "element"]:
             if w in doc.barred or (p := first_match(doc, w, ceiling, patterns)) is None:
@@ -240,6 +245,14 @@ def flatten(doc: Document, ceiling: int = 2, patterns=PATTERNS, verdicts: list |
         if not gone:
             return
         _put_in_place(doc.root, gone)
+        if (now := fingerprint(doc.root)) in seen:  # a tree that was there before would come again
+            return
+        seen.add(now)
+
+
+def fingerprint(root: Node) -> int:
+    """Of a tree's nodes and their order."""
+    return hash(tuple((id(n), n.kind) for n in root.walk()))
 
 
 def _put_in_place(root: Node, gone: dict[Node, list[Node]]) -> None:
@@ -259,30 +272,71 @@ def _put_in_place(root: Node, gone: dict[Node, list[Node]]) -> None:
         todo += n.children
 
 
+def _rewritten(doc: Document, n: Node, target: Style) -> list[str] | None:
+    """The element's class list for ``target``: what may not go stays, then the cheapest cover of the rest;
+    None unless it resolves to exactly that."""
+    own = list(dict.fromkeys(n.classes))
+    drop = [t for t in own if t in doc.sheet.decls and doc.sheet.droppable(t)]
+    kept = [t for t in own if t not in drop]
+    base = resolve(kept, doc.sheet)[0]
+    rest = {k: d for k, d in target.items() if base.get(k) != d}
+    emitted, _ = covers(rest, doc.sheet)
+    if not emitted and rest:
+        return None
+    new = [t for t in own if t in kept or t in emitted] + [t for t in emitted if t not in own]
+    return new if new and resolve(new, doc.sheet)[0] == target else None
+
+
 def compress(doc: Document) -> None:
     """Shortest class lists with the same resolved style, kept only if they resolve to it and aren't longer."""
     for n in doc.root.walk():
         if n.kind != "element" or n.opaque or not (n.classes or n in doc.dirty):
             continue
-        own, dirty = list(dict.fromkeys(n.classes)), n in doc.dirty
-        drop = [t for t in own if t in doc.sheet.decls and doc.sheet.droppable(t)]
-        if not drop and not dirty:
+        dirty = n in doc.dirty
+        if not dirty and not any(t in doc.sheet.decls and doc.sheet.droppable(t) for t in n.classes):
             continue
-        kept = [t for t in own if t not in drop]
-        base = resolve(kept, doc.sheet)[0]
-        rest = {k: d for k, d in doc.style[n].items() if base.get(k) != d}
-        emitted, _ = covers(rest, doc.sheet)
-        if not emitted and rest:
-            continue
-        new = [t for t in own if t in kept or t in emitted] + [t for t in emitted if t not in own]
-        if not new or resolve(new, doc.sheet)[0] != doc.style[n]:
-            continue
-        if not dirty and len(" ".join(new)) > len(" ".join(n.classes)):
+        new = _rewritten(doc, n, doc.style[n])
+        if new is None or not dirty and len(" ".join(new)) > len(" ".join(n.classes)):
             continue
         if new != n.classes:
             doc.lists[n] = new
 
 
+def convert(doc: Document) -> None:
+    """Declarations of style attributes as classes, where that is shorter and changes nothing.
+
+    A declaration stays inline if it is important, a custom property, set by a class in another
+    condition, or by a rule that a class list alone doesn't decide.  Elements are left alone that may
+    not be rewritten, have a class without a rule of its own, or a style attribute that can't be read,
+    that sets a longhand again, or that is taken part in by a flatten.
+    """
+    for n in doc.root.walk():
+        span = next((s for a, _, s in n.attrs if a == "style"), None) if n.kind == "element" else None
+        if span is None or n.opaque or n in doc.dirty or n in doc.lists or doc.unknown[n]:
+            continue
+        chunks = inline_chunks(str(n.attr("style")))
+        if not chunks or len({p for _, decls, _ in chunks for p, _ in decls}) < sum(len(decls) for _, decls, _ in chunks):
+            continue
+        own = next((s for a, _, s in n.attrs if a == "class"), None)
+        if own is None and n.attr("class") is not None:
+            continue
+        other = {p for c, p in doc.style[n] if c != BASE}
+        fits = lambda p: not p.startswith("--") and p not in other and not doc.sheet.competes(n.tag, n.classes, p)  # noqa: B023, E731
+        go = [not important and all(fits(p) for p, _ in decls) for _, decls, important in chunks]
+        if not any(go):
+            continue
+        target = doc.style[n] | {(BASE, p): (v, False) for (_, decls, _), ok in zip(chunks, go) if ok for p, v in decls}
+        new = _rewritten(doc, n, target)
+        if new is None:
+            continue
+        keep = [text for (text, _, _), ok in zip(chunks, go) if not ok]
+        size = lambda text: len(" ".join(text))
+        before = (own[1] - own[0] if own else 0) + span[1] - span[0] + len(" style=")
+        after = (size(new) + 2 if own else size(new) + len(' class=""')) + (len(' style=""') + len("; ".join(keep)) if keep else 0)
+        if after < before:
+            doc.lists[n], doc.inline[n], doc.style[n] = new, keep, target
+
+
 def edits(doc: Document) -> list[tuple[int, int, str]]:
     """Non-overlapping (start, end, replacement)."""
     kept = sorted((n.start, n.end) for n in doc.root.walk() if n.kind != "fragment" and n.end > n.start) if doc.removed else []
@@ -310,6 +364,14 @@ def edits(doc: Document) -> list[tuple[int, int, str]]:
         elif n.attr("class") is None:
             at = n.open[0] + 1 + len(n.tag)
             out.append((at, at, f' class="{" ".join(new)}"'))
+    for n, keep in doc.inline.items():
+        s, e = n.whole["style"]
+        if keep:
+            span = next(x for a, _, x in n.attrs if a == "style")
+            quote = doc.text[span[0]] if doc.text[span[0]] in "\"'" else '"'
+            out.append((*span, f"{quote}{'; '.join(keep)}{quote}"))
+        else:
+            out.append((s - (doc.text[s - 1].isspace()), e, ""))
     return sorted(out)
 
 
@@ -323,14 +385,33 @@ def splice(text: str, changes: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def optimized(text: str, sheet: Sheet, ceiling: int = 2) -> tuple[str, int, int, int]:
-    """New text, and nodes before, nodes removed, edits."""
+@dataclass(frozen=True)
+class Options:
+    """ceiling: the greatest safety level; patterns: names of those that may run, None for all."""
+
+    ceiling: int = 2
+    patterns: tuple[str, ...] | None = None
+    compress: bool = True
+    convert: bool = True
+
+    def __post_init__(self):
+        unknown = set(self.patterns or ()) - {p.name for p in PATTERNS}
+        if unknown or not 0 <= self.ceiling <= 3:
+            raise ValueError(f"unknown patterns {sorted(unknown)}" if unknown else f"no safety level {self.ceiling}")
+
+
+def optimized(text: str, sheet: Sheet, options: Options = Options()) -> tuple[str, int, int, dict[str, int]]:
+    """New text, nodes before, nodes removed, and what each phase did."""
     doc = Document.of(text, sheet)
     before = sum(1 for _ in doc.root.walk())
-    flatten(doc, ceiling)
-    compress(doc)
-    changes = edits(doc)
-    return splice(text, changes), before, len(doc.removed), len(changes)
+    flatten(doc, options.ceiling, PATTERNS if options.patterns is None else [p for p in PATTERNS if p.name in options.patterns])
+    if options.compress:
+        compress(doc)
+    shorter = len(doc.lists)
+    if options.convert:
+        convert(doc)
+    ops = {"flatten": len(doc.removed), "compress": shorter, "convert": len(doc.inline), "sweeps": doc.sweeps, "refused": len(doc.barred)}
+    return splice(text, edits(doc)), before, len(doc.removed), ops
 
 
 # ---- fragments ------------------------------------------------------------------------------

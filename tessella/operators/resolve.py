@@ -35,16 +35,23 @@ def droppable(tokens: DataFrame, usage: DataFrame) -> DataFrame:
     return tokens.join(usage.where("droppable"), ["set_id", "token"], "left_semi")
 
 
-def residual(computed: DataFrame, covered: DataFrame) -> DataFrame:
-    """Declarations that the retained tokens don't give."""
-    return computed.join(covered, ["key", "cond", "property", "value", "important"], "left_anti")
+def candidates(vocab: DataFrame, target: DataFrame) -> DataFrame:
+    """(key, token): entries of a key's own vocabulary (set_id, token, declarations) all of whose declarations
+    its target (key, set_id, declarations) holds: relational division."""
+    size = vocab.groupBy("set_id", "token").agg(F.count(F.lit(1)).alias("size"))
+    hit = vocab.join(target, ["set_id", "cond", "property", "value", "important"]).groupBy("key", "set_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    return hit.join(size, ["set_id", "token"]).where("n = size").select("key", "token")
 
 
-def candidates(vocab: DataFrame, target: DataFrame) -> DataFrame:
-    """(key, token): vocabulary entries all of whose declarations the target holds (relational division)."""
-    size = vocab.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
-    hit = vocab.join(target, ["cond", "property", "value", "important"]).groupBy("key", "token").agg(F.count(F.lit(1)).alias("n"))
-    return hit.join(size, "token").where("n = size").select("key", "token")
+def competing(inline: DataFrame, risks: DataFrame) -> DataFrame:
+    """The declarations of style attributes (key, set_id, tag, classes, property) that some rule which a class
+    list alone doesn't decide may set too: for any element, by tag, or by class."""
+    every = inline.join(risks.where("every").select("set_id", "property").distinct(), ["set_id", "property"], "left_semi")
+    tags = risks.where("not every").select("set_id", "property", F.explode("tags").alias("tag")).distinct()
+    by_tag = inline.join(tags, ["set_id", "property", "tag"], "left_semi")
+    classes = risks.where("not every").select("set_id", "property", F.explode("classes").alias("token")).distinct()
+    by_class = inline.withColumn("token", F.explode("classes")).join(classes, ["set_id", "property", "token"], "left_semi").drop("token")
+    return every.unionByName(by_tag).unionByName(by_class).select("key", "property").distinct()
 
 
 def single_child_wrappers(nodes: DataFrame) -> DataFrame:
@@ -55,3 +62,10 @@ def siblings(nodes: DataFrame) -> DataFrame:
     """Of each element its place among element siblings (from 1) and its neighbours."""
     by = W.partitionBy("doc_id", "parent_id").orderBy("ordinal")
     return nodes.where("kind = 'element'").select("doc_id", "node_id", "tag", F.row_number().over(by).alias("nth"), F.lag("node_id").over(by).alias("prev"), F.lead("node_id").over(by).alias("next"))
+
+
+def fingerprints(nodes: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint): of a document's nodes in pre-order, by number and kind."""
+    node = F.struct("node_id", "kind")
+    listed = F.transform(F.array_sort(F.collect_list(node)), lambda n: F.concat_ws(":", n["node_id"].cast("string"), n["kind"]))
+    return nodes.groupBy("doc_id").agg(F.sha2(F.array_join(listed, ","), 256).alias("fingerprint"))

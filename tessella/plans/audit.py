@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.scalars import byte_count, class_token_count
-from tessella.operators.optimize import optimize_fragment, optimized
+from tessella.operators.optimize import Options, optimize_fragment, optimized
 from tessella.sources.stylesheet import Sheet, parse
 
 WORST = 5
@@ -23,17 +25,26 @@ def _sheet(css: str) -> Sheet:
     return _SHEETS[css]
 
 
-def _optimized(text: pd.Series, css: pd.Series) -> pd.DataFrame:
-    rows = []
-    for t, c in zip(text, css):
-        if t is None:
-            rows.append((None, 0, 0, 0, None))
-            continue
-        try:
-            rows.append((*optimized(t, _sheet(c or "")), None))
-        except Exception as e:  # one broken document must not fail the run
-            rows.append((t, 0, 0, 0, f"{type(e).__name__}: {e}"[:200]))
-    return pd.DataFrame(rows, columns=["text", "nodes", "removed", "edits", "error"])
+_OPS = ("flatten", "compress", "convert", "sweeps", "refused")
+_RESULT = "struct<text:string,nodes:long,removed:long,error:string," + ",".join(f"{k}:long" for k in _OPS) + ">"
+
+
+def _runner(options: Options):
+    def one(text: str, css: str) -> tuple:
+        new, nodes, removed, ops = optimized(text, _sheet(css), options)
+        return new, nodes, removed, None, *(ops[k] for k in _OPS)
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for text, css in batches:
+            rows = []
+            for t, c in zip(text, css):
+                try:
+                    rows.append((None, 0, 0, None, *[0] * len(_OPS)) if t is None else one(t, c or ""))
+                except Exception as e:  # one broken document must not fail the run
+                    rows.append((t, 0, 0, f"{type(e).__name__}: {e}"[:200], *[0] * len(_OPS)))
+            yield pd.DataFrame(rows, columns=["text", "nodes", "removed", "error", *_OPS])
+
+    return run
 
 
 def _fragment(text: str) -> str:
@@ -52,12 +63,18 @@ def fragment(text: Column) -> Column:
     return F.pandas_udf(_fragments, "string")(text)
 
 
-def optimize_documents(docs: DataFrame, key: str, text: str, css: str | Column | None = None) -> DataFrame:
-    """(key, text_before, text_after, nodes_before, nodes_removed, error); a map without a shuffle."""
+def optimize_documents(docs: DataFrame, key: str, text: str, css: str | Column | None = None, options: Options = Options()) -> DataFrame:
+    """(key, text_before, text_after, nodes_before, nodes_removed, error, and op counts); a map without a shuffle."""
     sheet = F.lit("") if css is None else F.col(css) if isinstance(css, str) else css
-    run = F.pandas_udf(_optimized, "struct<text:string,nodes:long,removed:long,edits:long,error:string>")
+    run = F.pandas_udf(_runner(options), _RESULT)
     got = docs.select(key, F.col(text).alias("text_before"), run(F.col(text), sheet).alias("r"))
-    return got.select(key, "text_before", F.col("r.text").alias("text_after"), F.col("r.nodes").alias("nodes_before"), F.col("r.removed").alias("nodes_removed"), F.col("r.error").alias("error"))
+    return got.select(key, "text_before", F.col("r.text").alias("text_after"), F.col("r.nodes").alias("nodes_before"), F.col("r.removed").alias("nodes_removed"), F.col("r.error").alias("error"), *(F.col(f"r.{k}").alias(f"n_{k}") for k in _OPS))
+
+
+def op_totals(outputs: DataFrame) -> DataFrame:
+    """Over all documents, what each phase did and in how many."""
+    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("phase"), F.col(f"n_{k}").alias("n")) for k in _OPS[:3])))
+    return outputs.select(rows.alias("x")).groupBy("x.phase").agg(F.count_if(F.col("x.n") > 0).alias("files"), _sum(F.col("x.n")).alias("ops"))
 
 
 def file_stats(outputs: DataFrame, key: str) -> DataFrame:

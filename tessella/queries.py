@@ -145,7 +145,7 @@ def droppable_tokens(spark, d):
 def cover_candidates(spark, d):
     tokens, parsed = _tokens(spark, d)
     w = R.winners(C.rules(parsed))
-    return R.candidates(w.select("token", "cond", "property", "value", "important"), R.resolved(tokens, w))
+    return R.candidates(w, R.resolved(tokens, w).withColumn("set_id", F.lit("s")))
 
 
 def single_child_wrappers(spark, d):

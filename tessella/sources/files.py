@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,52 @@ def stylesheets(spark: SparkSession, root: str) -> DataFrame:
     return found.where((F.size(below) - 1 <= SHEET_DEPTH) & ~_skipped(below)).orderBy("path").limit(SHEETS)
 
 
+def read_stylesheets(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, css) of stylesheets; one that cannot be read is an error."""
+    found = spark.read.format("binaryFile").load(paths)
+    return found.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("css"))
+
+
+def problems(spark: SparkSession, paths: list[str]) -> list[tuple[str, str]]:
+    """(path, what is wrong) of the given paths that are missing or are files of an unknown kind."""
+    conf, jvm, out = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm, []
+    for p in dict.fromkeys(paths):
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        fs = at.getFileSystem(conf)
+        if not fs.globStatus(at):
+            out.append((p, "missing"))
+        elif fs.exists(at) and fs.getFileStatus(at).isFile() and p.split("?")[0].rsplit(".", 1)[-1].lower() not in MARKUP:
+            out.append((p, "unsupported"))
+    return out
+
+
+def write_outputs(outputs: DataFrame, root: str, out: str) -> DataFrame:
+    """Writes the changed documents (path, text_before, text_after) to their places below ``out`` and returns
+    (path, written), written null where the place is refused.
+
+    Each task writes its own files, whole or not at all, through the file system that the place names.
+    """
+    dest = destination(F.col("path"), root, out)
+    changed = outputs.where("text_before <> text_after").select("path", dest.alias("written"), "text_after")
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for b in batches:
+            for place, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if place is not None:
+                    system, at = fs.FileSystem.from_uri(place)
+                    part = f"{at.rpartition('/')[0]}/.{uuid.uuid4().hex}.part"
+                    system.create_dir(at.rpartition("/")[0], recursive=True)
+                    with system.open_output_stream(part) as f:
+                        f.write((text or "").encode())
+                    system.move(part, at)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["path", "written"])
+
+    return changed.mapInArrow(run, "path string, written string")
+
+
 def destination(path: Column, root: str, out: str) -> Column:
     """Where an output goes: its place below ``root`` mirrored in ``out``, its base name if outside ``root``;
     null where that is the source itself and not in a disposable folder."""

@@ -47,6 +47,8 @@ class Node:
     close: tuple[int, int] | None = None
     start: int = 0
     end: int = 0
+    whole: dict[str, tuple[int, int]] = field(default_factory=dict)  # each attribute's place with its name
+    flags: frozenset[str] = frozenset()  # what a component template leaves open: ref, spread, dynamic, component
 
     def attr(self, name: str) -> str | bool | None:
         return next((v for n, v, _ in self.attrs if n == name), None)
@@ -62,7 +64,7 @@ class Node:
 
     @property
     def opaque(self) -> bool:
-        return any(n in ("id", "contenteditable") or n.startswith("on") for n, _, _ in self.attrs) or self.open is None
+        return any(n in ("id", "contenteditable") or n.startswith("on") for n, _, _ in self.attrs) or self.open is None or bool(self.flags)
 
     def walk(self) -> Iterator[Node]:
         stack = [self]
@@ -72,13 +74,14 @@ class Node:
             stack.extend(reversed(n.children))
 
 
-def _attributes(text: str, head: int, end: int) -> list[tuple[str, str | bool, tuple[int, int] | None]]:
+def _attributes(text: str, head: int, end: int, whole: dict[str, tuple[int, int]]) -> list[tuple[str, str | bool, tuple[int, int] | None]]:
     out, seen = [], set()
     for m in _ATTR.finditer(text, head, end):
         name = m[1].lower()
         if name in seen:
             continue
         seen.add(name)
+        whole[name] = m.span()
         raw = m[2]
         value = raw[1:-1] if raw and raw[0] in "\"'" else raw or ""
         out.append((name, (html.unescape(value) if "&" in value else value) or True, m.span(2) if raw else None))
@@ -240,7 +243,8 @@ class _Builder:
     def start_tag(self, name: str, s: int, e: int) -> Node | None:
         """The element, unless it is one of html, head and body, which there is once each."""
         self.tags += 1
-        stack, attrs = self.stack, _attributes(self.text, s + 1 + len(name), e - 1)
+        whole: dict[str, tuple[int, int]] = {}
+        stack, attrs = self.stack, _attributes(self.text, s + 1 + len(name), e - 1, whole)
         if name in ("html", "head", "body"):
             if name == "body" and len(stack) > 1 and stack[1].tag == "head":
                 self.close_to(1, None, s)
@@ -269,7 +273,7 @@ class _Builder:
             self.forget(name)
         if name not in _BLOCKS and name not in _HEAD:
             self.reopen(s)
-        node = Node("element", name, attrs=attrs, open=(s, e), start=s, end=e)
+        node = Node("element", name, attrs=attrs, open=(s, e), start=s, end=e, whole=whole)
         self.add(node)
         if not (name in VOID or self.text[e - 2] == "/" and name in ("path", "circle", "rect", "use", "line", "g")):
             self.push(node)
@@ -312,7 +316,7 @@ def parse(text: str) -> Node:
     return b.root
 
 
-_NODES = "doc_id long, node_id int, parent_id int, ordinal int, depth int, kind string, tag string, text_value string, span_s int, span_e int, classes array<string>, n_elements int"
+_NODES = "doc_id long, node_id int, parent_id int, ordinal int, depth int, kind string, tag string, text_value string, span_s int, span_e int, classes array<string>, n_elements int, attrs map<string,string>, opaque boolean"
 
 
 def nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -328,8 +332,8 @@ def nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
                 for k, n in enumerate(parse(t).walk()):
                     up, ordinal, depth = above.pop(n, (None, 0, 0))
                     above.update((c, (k, j, depth + 1)) for j, c in enumerate(n.children))
-                    rows.append((i, k, up, ordinal, depth, n.kind, n.tag, n.text or None, n.start, n.end, n.classes, len(n.elements)))
-            types = (pa.int64(), *[pa.int32()] * 4, pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 12, types)], [x.split()[0] for x in _NODES.split(", ")])
+                    rows.append((i, k, up, ordinal, depth, n.kind, n.tag, n.text or None, n.start, n.end, n.classes, len(n.elements), [(a, "" if v is True else v) for a, v, _ in n.attrs], n.kind == "element" and n.opaque))
+            types = (pa.int64(), *[pa.int32()] * 4, pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.map_(pa.string(), pa.string()), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 14, types)], [x.split()[0] for x in _NODES.split(", ")])
 
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, _NODES)

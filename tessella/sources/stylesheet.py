@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.styles import expand
@@ -37,6 +37,12 @@ class Sheet:
     rules: list[tuple[int, str, str, str, str, bool]] = field(default_factory=list)
     usage: dict[str, Usage] = field(default_factory=dict)
     complex: set[str] = field(default_factory=set)
+    #: classes, tags, whether any element, and the longhands, of the rules that a class list alone doesn't decide
+    risks: list[tuple[frozenset[str], frozenset[str], bool, frozenset[str]]] = field(default_factory=list)
+
+    def competes(self, tag: str, classes: list[str], prop: str) -> bool:
+        """Whether such a rule may set a property of an element."""
+        return any(prop in props and (every or tag in tags or not cls.isdisjoint(classes)) for cls, tags, every, props in self.risks)
 
     def droppable(self, token: str) -> bool:
         u = self.usage.get(token)
@@ -126,12 +132,12 @@ def _compounds(selector: str) -> list[tuple[str, str]]:
 
 
 def _simple(compound: str):
-    """Classes, other simple selectors present, pseudo names with their arguments."""
-    classes, other, pseudos, at = [], False, [], 0
+    """Classes, other simple selectors present, pseudo names with their arguments, tags, whether any is none of these."""
+    classes, other, pseudos, tags, untold, at = [], False, [], [], False, 0
     while at < len(compound):
         m = _SIMPLE.match(compound, at)
         if not m:
-            other, at = True, at + 1
+            other, untold, at = True, True, at + 1
             continue
         at = m.end()
         if m["cls"]:
@@ -147,7 +153,9 @@ def _simple(compound: str):
             pseudos.append((m["pseudo"].lower(), arg))
         else:
             other = True
-    return classes, other, pseudos
+            tags += [m["tag"].lower()] if m["tag"] else []
+            untold |= not m["tag"] and not m["any"]
+    return classes, other, pseudos, tags, untold
 
 
 def parse(css: str) -> Sheet:
@@ -173,12 +181,26 @@ def parse(css: str) -> Sheet:
     return sheet
 
 
+def emitted(sheet: Sheet, tokens: list[str]) -> str:
+    """CSS text that defines the tokens, a rule for each condition, properties in order."""
+    out = []
+    for token in dict.fromkeys(tokens):
+        by: dict[str, list[str]] = {}
+        for (cond, prop), (_, value, important) in sorted(sheet.decls.get(token, {}).items()):
+            by.setdefault(cond, []).append(f"{prop}:{value}{'!important' * important}")
+        for cond, decls in by.items():
+            media, states, pseudo = cond.split("|")
+            rule = f".{re.sub(r'([^A-Za-z0-9_-])', r'\\1', token)}{states.replace(',', '')}{pseudo}{{{';'.join(decls)}}}"
+            out.append(f"@media {media}{{{rule}}}" if media else rule)
+    return "\n".join(out)
+
+
 def _selector(sheet: Sheet, selector: str, media: str, decls, order: int) -> None:
     found = _compounds(selector)
     structural_any = False
     for k, (_, compound) in enumerate(found):
         right = found[k + 1][0] if k + 1 < len(found) else ""
-        classes, other, pseudos = _simple(compound)
+        classes, other, pseudos, tags, untold = _simple(compound)
         elements = [p for p, _ in pseudos if p.startswith("::") or p in LEGACY_ELEMENTS]
         structural = any(p in STRUCTURAL for p, _ in pseudos)
         functional = any(p in FUNCTIONAL for p, _ in pseudos)
@@ -186,6 +208,9 @@ def _selector(sheet: Sheet, selector: str, media: str, decls, order: int) -> Non
         qualified = len(classes) > 1 or other or functional or bool(states)
         structural_any |= structural
         forward = len(found) == 1 and len(classes) == 1 and not other and not structural and not functional and len(elements) <= 1
+        if decls and k == len(found) - 1 and not (forward and classes):
+            every = untold or not classes and not tags or "*" in compound
+            sheet.risks.append((frozenset(classes), frozenset(tags), every, frozenset(p for name, value, _ in decls for p, _ in expand(name, value))))
         for token in classes:
             u = sheet.usage.setdefault(token, Usage())
             u.referenced = True
@@ -214,13 +239,13 @@ def _selector(sheet: Sheet, selector: str, media: str, decls, order: int) -> Non
 _FACTS = (
     "struct<rules:array<struct<ord:int,token:string,cond:string,property:string,value:string,important:boolean>>,"
     "usage:array<struct<token:string,subject:boolean,ancestor:boolean,sibling:boolean,compound:boolean,structural:boolean,argument:boolean,droppable:boolean>>,"
-    "complex:array<string>>"
+    "complex:array<string>,risks:array<struct<classes:array<string>,tags:array<string>,every:boolean,properties:array<string>>>>"
 )
 
 
 def _facts(css):
     s = parse(css)
-    return s.rules, [(t, u.subject, u.ancestor, u.sibling, u.compound, u.structural, u.argument, s.droppable(t)) for t, u in s.usage.items()], sorted(s.complex)
+    return s.rules, [(t, u.subject, u.ancestor, u.sibling, u.compound, u.structural, u.argument, s.droppable(t)) for t, u in s.usage.items()], sorted(s.complex), [(sorted(c), sorted(t), e, sorted(p)) for c, t, e, p in s.risks]
 
 
 def parsed_sheets(sheets: DataFrame) -> DataFrame:
@@ -240,6 +265,11 @@ def complex_selectors(parsed: DataFrame) -> DataFrame:
     return parsed.select("set_id", F.explode("facts.complex").alias("selector")).distinct()
 
 
+def risks(parsed: DataFrame) -> DataFrame:
+    """(set_id, classes, tags, every, property) of the rules that a class list alone doesn't decide."""
+    return parsed.select("set_id", F.explode("facts.risks").alias("r")).select("set_id", "r.classes", "r.tags", "r.every", F.explode("r.properties").alias("property"))
+
+
 _STYLE = r"(?is)<style\b([^>]*)>(.*?)</style\s*>"
 _LINK = r"(?is)<link\b[^>]*>"
 
@@ -253,16 +283,41 @@ def inline_sheets(pages: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def linked_sheets(pages: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, href) of the local stylesheets that a page links, without their query."""
-    tag = pages.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(_LINK), 0)).alias("tag"))
+    """(key, pos, href) of the local stylesheets that a page links, in order, without their query."""
+    tag = pages.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(_LINK), 0)).alias("pos", "tag"))
     attr = lambda name: F.regexp_extract("tag", rf"""(?i)\b{name}\s*=\s*["']?([^"'\s>]*)""", 1)
     href = F.regexp_replace(attr("href"), r"[?#].*$", "")
     local = (href != "") & ~href.rlike(r"(?i)^(?:[a-z][a-z0-9+.-]*:|//)")
-    return tag.where((F.lower(attr("rel")) == "stylesheet") & local).select(key, href.alias("href"))
-
-
-def sheet_sets(inline: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(key, set_id), and (set_id, css) once for each distinct set, inline sheets in order."""
-    own = inline.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "css"))), lambda x: x["css"]), "\n").alias("css"))
-    keyed = own.withColumn("set_id", F.sha2("css", 256))
-    return keyed.select(key, "set_id"), keyed.groupBy("set_id").agg(F.any_value("css").alias("css"))
+    return tag.where((F.lower(attr("rel")) == "stylesheet") & local).select(key, "pos", href.alias("href"))
+
+
+def beside(path: Column, href: Column) -> Column:
+    """The path that a reference names, seen from a file; one from the root stays."""
+    joined = F.when(href.startswith("/"), href).otherwise(F.concat(F.regexp_replace(path, "[^/]*$", ""), href))
+    none = F.expr("cast(array() as array<string>)")
+    step = lambda acc, x: F.when(x == ".", acc).when((x == "..") & (F.size(acc) > 1), F.slice(acc, 1, F.size(acc) - 1)).when(x == "..", acc).otherwise(F.array_append(acc, x))
+    return F.array_join(F.aggregate(F.split(joined, "/"), none, step), "/")
+
+
+def linked_files(pages: DataFrame, key: str, path: str, text: str, files: DataFrame) -> DataFrame:
+    """(key, pos, path) of the linked stylesheets that exist, ``files`` (path) being all there are."""
+    links = linked_sheets(pages, key, text).join(pages.select(key, F.col(path).alias("page")), key)
+    return links.select(key, "pos", beside(F.col("page"), F.col("href")).alias("path")).join(files.select("path").distinct(), "path", "left_semi").select(key, "pos", "path")
+
+
+def sheet_sets(inline: DataFrame, key: str, linked: DataFrame | None = None, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(key, set_id), and (set_id, css) once for each distinct set: inline sheets in order, then the linked
+    files (key, path), each once, by path.  The text of a file is joined once for each set, not for each page."""
+    own = inline.select(key, F.struct("pos", "css").alias("inline"), F.lit(None).cast("string").alias("path"))
+    if linked is not None:
+        own = own.unionByName(linked.select(key, F.lit(None).cast(own.schema["inline"].dataType).alias("inline"), "path"))
+    sheets = F.array_join(F.transform(F.array_sort(F.collect_list("inline")), lambda x: x["css"]), "\n")
+    one = own.groupBy(key).agg(sheets.alias("css"), F.array_sort(F.collect_set("path")).alias("paths"))
+    keyed = one.withColumn("set_id", F.sha2(F.concat_ws("\x00", "css", "paths"), 256))
+    sets = keyed.groupBy("set_id").agg(F.any_value("css").alias("css"), F.any_value("paths").alias("paths"))
+    if linked is not None:
+        parts = sets.select("set_id", F.posexplode("paths").alias("pos", "path")).join(files.select("path", F.col("css").alias("text")), "path")
+        texts = parts.groupBy("set_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("texts"))
+        both = F.concat(F.when(F.col("css") != "", F.array("css")).otherwise(F.expr("cast(array() as array<string>)")), F.coalesce("texts", F.expr("cast(array() as array<string>)")))
+        sets = sets.join(texts, "set_id", "left").withColumn("css", F.array_join(both, "\n"))
+    return keyed.select(key, "set_id"), sets.select("set_id", "css")

@@ -18,6 +18,11 @@ def stream_totals(docs: DataFrame, key: str, text: str) -> DataFrame:
     return run_totals(stream_stats(docs, key, text))
 
 
+def write_stats(docs: DataFrame, key: str, text: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Appends the statistics of every batch as Parquet, each once, until what there is has been read."""
+    return stream_stats(docs, key, text).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
 def write_outputs(docs: DataFrame, key: str, text: str, path: str, checkpoint: str) -> StreamingQuery:
     """Appends the changed documents of every batch as Parquet, each once."""
     out = optimize_documents(docs, key, text).where("text_before <> text_after").select(key, "text_after")

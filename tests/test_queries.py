@@ -1,7 +1,10 @@
 import pytest
 from oracle import compare, connect
 
-from tessella.queries import QUERIES, SQL, flagship
+from tessella import queries, queries_sites
+from tessella.queries import flagship
+
+QUERIES, SQL = queries.QUERIES | queries_sites.QUERIES, queries.SQL | queries_sites.SQL
 
 SF = "/root/testdata/sf0.001"
 
