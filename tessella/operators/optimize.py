@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -14,9 +15,13 @@ from dataclasses import dataclass, field
 from tessella.functions.styles import inherits, inline_chunks, is_relative
 from tessella.functions.tables import PAINTLESS, VISUAL
 from tessella.sources.markup import Node, parse
+from tessella.sources.templates import PARSERS
 from tessella.sources.stylesheet import BASE, Sheet
+from tessella.sources.utilities import Utilities
 
 SWEEPS = 16
+#: The name of the class attribute.
+_CLASS = {"html": "class", "vue": "class", "astro": "class", "jsx": "className", "tsx": "className"}
 UNIVERSE = 20
 _VISUAL, _PAINTLESS = frozenset(VISUAL), frozenset(PAINTLESS)
 _ALIGN = ("place-self", "align-self", "justify-self")
@@ -24,35 +29,39 @@ _NEUTRAL = ("auto", "normal", "auto auto", "")
 Style = dict[tuple[str, str], tuple[str, bool]]
 
 
-def resolve(tokens: list[str], sheet: Sheet) -> tuple[Style, list[str]]:
-    """Winner by rule order for each (condition, property), and the tokens without a rule of their own."""
-    best: dict[tuple[str, str], tuple[int, str, bool]] = {}
-    for t in tokens:
-        for k, d in sheet.decls.get(t, {}).items():
-            if k not in best or d[0] >= best[k][0]:
-                best[k] = d
-    return {k: (v, i) for k, (_, v, i) in best.items()}, [t for t in tokens if t not in sheet.decls]
+def resolve(tokens: list[str], sheet: Sheet | Utilities) -> tuple[Style, list[str]]:
+    """The style that a class list resolves to, and its tokens without a rule of their own."""
+    return sheet.resolve(tokens)
 
 
 # ---- cover ----------------------------------------------------------------------------------
 
 
-def covers(target: Style, sheet: Sheet) -> tuple[list[str], bool]:
-    """The cheapest classes (length and a space each) whose rules give exactly ``target``; whether they do."""
+def covers(target: Style, sheet: Sheet | Utilities) -> tuple[list[str], bool]:
+    """The cheapest classes (length and a space each) whose rules give exactly ``target``; whether they do.
+
+    Conditions share no declaration, so each is solved alone; the union is resolved anew as a proof.
+    """
     if not target:
         return [], True
+    fitting = sheet.fitting(target)
+    found, whole = [], True
+    for cond in dict.fromkeys(c for c, _ in target) if all(len({c for (c, _), _ in mine}) == 1 for mine in fitting.values()) else (None,):
+        part = {k: d for k, d in target.items() if cond in (None, k[0])}
+        own = {t: mine for t, mine in fitting.items() if cond in (None, mine[0][0][0])}
+        some, ok = _cover(part, own, sheet.overlap)
+        found, whole = found + some, whole and ok
+    found = sorted(set(found))
+    return found, whole and resolve(found, sheet)[0] == target
+
+
+def _cover(target: Style, fitting: dict[str, list], overlap: bool) -> tuple[list[str], bool]:
     bit = {(k, d): 1 << n for n, (k, d) in enumerate(target.items())}
+    masks = {token: sum(bit[x] for x in mine) for token, mine in fitting.items()}
     best: dict[int, tuple[int, str]] = {}
-    fitting = {}
-    for token, decls in sheet.decls.items():
-        mine = [(k, (v, i)) for k, (_, v, i) in decls.items()]
-        if mine and all(x in bit for x in mine):
-            mask = 0
-            for x in mine:
-                mask |= bit[x]
-            fitting[token] = mask
-            if mask not in best or (len(token) + 1, token) < best[mask]:
-                best[mask] = (len(token) + 1, token)
+    for token, mask in masks.items():
+        if mask not in best or (len(token) + 1, token) < best[mask]:
+            best[mask] = (len(token) + 1, token)
     full = (1 << len(bit)) - 1
     if len(bit) <= UNIVERSE:
         # cheapest way to each set of covered declarations, always covering the lowest missing one next
@@ -68,15 +77,20 @@ def covers(target: Style, sheet: Sheet) -> tuple[list[str], bool]:
                     continue
                 cost[mask | m] = (done + c, (*chosen, token))
         if full in cost:
-            found = sorted(set(cost[full][1]))
-            if resolve(found, sheet)[0] == target:
-                return found, True
+            return list(cost[full][1]), True
     left, found = full, []
-    for token, mask in sorted(fitting.items(), key=lambda x: -x[1].bit_count()):
-        if mask & left == mask:
-            left &= ~mask
-            found.append(token)
-    return sorted(found), left == 0 and resolve(found, sheet)[0] == target
+    if not overlap:  # rules with the most declarations first, none of them covered yet
+        for token, mask in sorted(masks.items(), key=lambda x: -x[1].bit_count()):
+            if mask & left == mask:
+                left &= ~mask
+                found.append(token)
+    while left and overlap:  # the most of what is missing, then the fewest declarations, then the first by name
+        token = min(masks, key=lambda t: (-(masks[t] & left).bit_count(), masks[t].bit_count(), t), default=None)
+        if token is None or not masks[token] & left:
+            break
+        left &= ~masks[token]
+        found.append(token)
+    return found, left == 0
 
 
 # ---- patterns -------------------------------------------------------------------------------
@@ -85,7 +99,7 @@ def covers(target: Style, sheet: Sheet) -> tuple[list[str], bool]:
 @dataclass
 class Document:
     text: str
-    sheet: Sheet
+    sheet: Sheet | Utilities
     root: Node
     style: dict[Node, Style] = field(default_factory=dict)
     unknown: dict[Node, list[str]] = field(default_factory=dict)
@@ -95,13 +109,22 @@ class Document:
     lists: dict[Node, list[str]] = field(default_factory=dict)
     inline: dict[Node, list[str]] = field(default_factory=dict)  # what stays of style attributes
     sweeps: int = 0
+    nodes: int = 0
+    gone: set[Node] = field(default_factory=set)
+
+    kind: str = "html"
+    parts: list[tuple[int, int, str]] = field(default_factory=list)  # static parts of class lists, rewritten
 
     @classmethod
-    def of(cls, text: str, sheet: Sheet) -> Document:
-        doc = cls(text, sheet, parse(text))
+    def of(cls, text: str, sheet: Sheet | Utilities, kind: str = "html") -> Document | None:
+        root = PARSERS[kind](text)
+        if root is None:
+            return None
+        doc = cls(text, sheet, root, kind=kind)
         for n in doc.root.walk():
+            doc.nodes += 1
             if n.kind == "element":
-                doc.style[n], doc.unknown[n] = resolve(n.classes, sheet)
+                doc.style[n], doc.unknown[n] = resolve(n.classes, sheet) if n.attrs else ({}, [])
         return doc
 
     def values(self, n: Node, prop: str) -> list[tuple[str, str]]:
@@ -150,10 +173,19 @@ PATTERNS = (
 )
 
 
+#: What keeps an element from being unwrapped, besides opacity.
+_UNFIT = frozenset(("ref", "dynamic", "raw"))
+_ISLAND = frozenset(("island",))
+
+
 def first_match(doc: Document, n: Node, ceiling: int, patterns=PATTERNS) -> Pattern | None:
     """The first pattern in order that fits an element which nothing forbids to unwrap."""
     if n.kind != "element" or n.parent is None or len(n.elements) != 1 or any(a.startswith("on") for a, _, _ in n.attrs):
         return None
+    if any("component" in c.flags for c in n.elements):
+        return None
+    if n.flags and (not _UNFIT.isdisjoint(n.flags) or "island" in n.flags and sum(c.kind != "text" or bool(c.text.strip()) for c in n.children) != 1):
+        return None
     if doc.coupled(n) or any(doc.coupled(c) for c in n.elements):
         return None
     return next((p for p in patterns if p.safety <= ceiling and n.tag in p.tags and p.test(doc, n)), None)
@@ -211,11 +243,12 @@ def verdict(doc: Document, w: Node, child: Node, after: Style) -> str:
 def flatten(doc: Document, ceiling: int = 2, patterns=PATTERNS, verdicts: list | None = None) -> None:
     """Sweeps in document order until nothing changes or a tree comes again, SWEEPS at most; a refused
     wrapper is not tried again."""
-    seen = {fingerprint(doc.root)}
+    tags, seen = {t for p in patterns for t in p.tags}, set()
+    left = [n for n in doc.style if n.tag in tags]  # in document order
     while doc.sweeps < SWEEPS:
         doc.sweeps += 1
         gone: dict[Node, list[Node]] = {}
-        for w in [n for n in doc.root.walk() if n.kind == "element"]:
+        for w in left:
             if w in doc.barred or (p := first_match(doc, w, ceiling, patterns)) is None:
                 continue
             if w.opaque:  # its floor refuses every op
@@ -240,14 +273,32 @@ def flatten(doc: Document, ceiling: int = 2, patterns=PATTERNS, verdicts: list |
                 doc.dirty.add(child)
             for c in w.children:
                 c.parent = w.parent
+                c.flags |= w.flags & _ISLAND
             doc.removed.append(w)
+            doc.gone.add(w)
             gone[w] = w.children
         if not gone:
             return
         _put_in_place(doc.root, gone)
-        if (now := fingerprint(doc.root)) in seen:  # a tree that was there before would come again
-            return
-        seen.add(now)
+        left = [n for n in left if n not in gone]
+        if doc.sweeps > 2:  # a tree that was there before would come again
+            if (now := fingerprint(doc.root)) in seen:
+                return
+            seen.add(now)
+
+
+def unfragment(doc: Document) -> None:
+    """Fragments with exactly one child, of any kind, and no flags go."""
+    for n in [n for n in doc.root.walk() if n.kind == "fragment" and n is not doc.root]:
+        only = [c for c in n.children if c.kind != "text" or c.text.strip()]
+        fits = len(only) == 1 and only[0].kind == "element" and (len(n.children) == 1 or "island" in n.flags)
+        if fits and not n.attrs and n.parent is not None and n.close and _UNFIT.isdisjoint(n.flags):
+            for c in n.children:
+                c.parent = n.parent
+                c.flags |= n.flags & _ISLAND
+            doc.removed.append(n)
+            doc.gone.add(n)
+            _put_in_place(doc.root, {n: n.children})
 
 
 def fingerprint(root: Node) -> int:
@@ -276,7 +327,7 @@ def _rewritten(doc: Document, n: Node, target: Style) -> list[str] | None:
     """The element's class list for ``target``: what may not go stays, then the cheapest cover of the rest;
     None unless it resolves to exactly that."""
     own = list(dict.fromkeys(n.classes))
-    drop = [t for t in own if t in doc.sheet.decls and doc.sheet.droppable(t)]
+    drop = [t for t in own if doc.sheet.knows(t) and doc.sheet.droppable(t)]
     kept = [t for t in own if t not in drop]
     base = resolve(kept, doc.sheet)[0]
     rest = {k: d for k, d in target.items() if base.get(k) != d}
@@ -289,11 +340,11 @@ def _rewritten(doc: Document, n: Node, target: Style) -> list[str] | None:
 
 def compress(doc: Document) -> None:
     """Shortest class lists with the same resolved style, kept only if they resolve to it and aren't longer."""
-    for n in doc.root.walk():
-        if n.kind != "element" or n.opaque or not (n.classes or n in doc.dirty):
-            continue
+    for n in doc.style:
         dirty = n in doc.dirty
-        if not dirty and not any(t in doc.sheet.decls and doc.sheet.droppable(t) for t in n.classes):
+        if not (n.attrs or dirty) or n.opaque or not (n.classes or dirty) or n in doc.gone:
+            continue
+        if not dirty and not any(doc.sheet.knows(t) and doc.sheet.droppable(t) for t in n.classes):
             continue
         new = _rewritten(doc, n, doc.style[n])
         if new is None or not dirty and len(" ".join(new)) > len(" ".join(n.classes)):
@@ -302,6 +353,22 @@ def compress(doc: Document) -> None:
             doc.lists[n] = new
 
 
+def compress_parts(doc: Document) -> None:
+    """Static parts of class lists that code puts together, each alone: every token known, the same style, not
+    longer, never empty."""
+    for n in doc.style:
+        for s, e in n.segments:
+            own = doc.text[s:e].split()
+            style, unknown = resolve(own, doc.sheet)
+            if not own or unknown or "component" in n.flags or doc.coupled(n) or not all(doc.sheet.droppable(t) for t in own):
+                continue
+            emitted, exact = covers(style, doc.sheet)
+            new = [t for t in own if t in emitted] + [t for t in emitted if t not in own]
+            if exact and new and resolve(new, doc.sheet)[0] == style and len(" ".join(new)) < len(" ".join(own)):
+                before, after = re.match(r"\s*", doc.text[s:e])[0], re.search(r"\s*\Z", doc.text[s:e])[0]
+                doc.parts.append((s, e, f"{before}{' '.join(new)}{after}"))
+
+
 def convert(doc: Document) -> None:
     """Declarations of style attributes as classes, where that is shorter and changes nothing.
 
@@ -310,11 +377,14 @@ def convert(doc: Document) -> None:
     not be rewritten, have a class without a rule of its own, or a style attribute that can't be read,
     that sets a longhand again, or that is taken part in by a flatten.
     """
-    for n in doc.root.walk():
-        span = next((s for a, _, s in n.attrs if a == "style"), None) if n.kind == "element" else None
-        if span is None or n.opaque or n in doc.dirty or n in doc.lists or doc.unknown[n]:
+    for n in doc.style:
+        span = next((s for a, _, s in n.attrs if a == "style"), None) if n.attrs else None
+        if n.chunks:
+            s, e = n.whole["style"]
+            span = (s + len("style="), e)
+        if span is None or n in doc.gone or n.opaque or n in doc.dirty or n in doc.lists or doc.unknown[n]:
             continue
-        chunks = inline_chunks(str(n.attr("style")))
+        chunks = n.chunks or inline_chunks(str(n.attr("style")))
         if not chunks or len({p for _, decls, _ in chunks for p, _ in decls}) < sum(len(decls) for _, decls, _ in chunks):
             continue
         own = next((s for a, _, s in n.attrs if a == "class"), None)
@@ -332,7 +402,8 @@ def convert(doc: Document) -> None:
         keep = [text for (text, _, _), ok in zip(chunks, go) if not ok]
         size = lambda text: len(" ".join(text))
         before = (own[1] - own[0] if own else 0) + span[1] - span[0] + len(" style=")
-        after = (size(new) + 2 if own else size(new) + len(' class=""')) + (len(' style=""') + len("; ".join(keep)) if keep else 0)
+        rest = (len(" style={{}}") + len(", ".join(keep)) if n.chunks else len(' style=""') + len("; ".join(keep))) if keep else 0
+        after = (size(new) + 2 if own else size(new) + len(f' {_CLASS[doc.kind]}=""')) + rest
         if after < before:
             doc.lists[n], doc.inline[n], doc.style[n] = new, keep, target
 
@@ -348,9 +419,12 @@ def edits(doc: Document) -> list[tuple[int, int, str]]:
         after, here = bisect_right(starts, w.start), bisect_left(starts, w.start)
         return after < len(starts) and least[after] <= w.end or here < len(starts) and least[here] < w.end
 
-    out = []
+    out = list(doc.parts)
     for w in doc.removed:
-        if w.close and inside(w):
+        if "island" in w.flags:  # no blanks may come to stand at an expression's start
+            only = next(c for c in w.children if c.kind != "text" or c.text.strip())
+            out += [(w.start, only.start, ""), (only.end, w.end, "")]
+        elif w.close and inside(w):
             out += [(*w.open, ""), (*w.close, "")]
         elif not inside(w):
             out.append((w.start, w.end, ""))
@@ -359,14 +433,16 @@ def edits(doc: Document) -> list[tuple[int, int, str]]:
     for n, new in doc.lists.items():
         span = next((s for a, _, s in n.attrs if a == "class"), None)
         if span:
-            quote = doc.text[span[0]] if doc.text[span[0]] in "\"'" else '"'
+            quote = doc.text[span[0]] if doc.text[span[0]] in "\"'`" else '"'
             out.append((*span, f"{quote}{' '.join(new)}{quote}"))
         elif n.attr("class") is None:
             at = n.open[0] + 1 + len(n.tag)
-            out.append((at, at, f' class="{" ".join(new)}"'))
+            out.append((at, at, f' {_CLASS[doc.kind]}="{" ".join(new)}"'))
     for n, keep in doc.inline.items():
         s, e = n.whole["style"]
-        if keep:
+        if keep and n.chunks:
+            out.append((s, e, f"style={{{{{', '.join(keep)}}}}}"))
+        elif keep:
             span = next(x for a, _, x in n.attrs if a == "style")
             quote = doc.text[span[0]] if doc.text[span[0]] in "\"'" else '"'
             out.append((*span, f"{quote}{'; '.join(keep)}{quote}"))
@@ -393,25 +469,33 @@ class Options:
     patterns: tuple[str, ...] | None = None
     compress: bool = True
     convert: bool = True
+    #: ``css``: classes mean what the stylesheet says; ``utility``: what the utility vocabulary says.
+    provider: str = "css"
 
     def __post_init__(self):
         unknown = set(self.patterns or ()) - {p.name for p in PATTERNS}
+        if self.provider not in ("css", "utility"):
+            raise ValueError(f"no provider {self.provider!r}")
         if unknown or not 0 <= self.ceiling <= 3:
             raise ValueError(f"unknown patterns {sorted(unknown)}" if unknown else f"no safety level {self.ceiling}")
 
 
-def optimized(text: str, sheet: Sheet, options: Options = Options()) -> tuple[str, int, int, dict[str, int]]:
+def optimized(text: str, sheet: Sheet | Utilities, options: Options = Options(), kind: str = "html") -> tuple[str, int, int, dict[str, int]]:
     """New text, nodes before, nodes removed, and what each phase did."""
-    doc = Document.of(text, sheet)
-    before = sum(1 for _ in doc.root.walk())
+    doc = Document.of(text, sheet, kind)
+    if doc is None:
+        return text, 0, 0, dict.fromkeys(("flatten", "compress", "convert", "sweeps", "refused"), 0)
+    if options.patterns is None:
+        unfragment(doc)
     flatten(doc, options.ceiling, PATTERNS if options.patterns is None else [p for p in PATTERNS if p.name in options.patterns])
     if options.compress:
         compress(doc)
-    shorter = len(doc.lists)
-    if options.convert:
+        compress_parts(doc)
+    shorter = len(doc.lists) + len(doc.parts)
+    if options.convert and kind not in ("vue", "astro"):
         convert(doc)
     ops = {"flatten": len(doc.removed), "compress": shorter, "convert": len(doc.inline), "sweeps": doc.sweeps, "refused": len(doc.barred)}
-    return splice(text, edits(doc)), before, len(doc.removed), ops
+    return splice(text, edits(doc)), doc.nodes, len(doc.removed), ops
 
 
 # ---- fragments ------------------------------------------------------------------------------

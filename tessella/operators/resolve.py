@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.sources.utilities import declared
+
 
 def winners(rules: DataFrame) -> DataFrame:
     """Of each token, condition and property the last declaration."""
@@ -69,3 +71,19 @@ def fingerprints(nodes: DataFrame) -> DataFrame:
     node = F.struct("node_id", "kind")
     listed = F.transform(F.array_sort(F.collect_list(node)), lambda n: F.concat_ws(":", n["node_id"].cast("string"), n["kind"]))
     return nodes.groupBy("doc_id").agg(F.sha2(F.array_join(listed, ","), 256).alias("fingerprint"))
+
+
+_DECLARED = "array<struct<cond:string,property:string,value:string,important:boolean>>"
+
+
+def utility_declarations(tokens: DataFrame) -> DataFrame:
+    """(token, cond, property, value, important) of the distinct tokens of (key, pos, token), read once each."""
+    read = F.udf(lambda t: [(c, p, v, i) for (c, p), (v, i) in declared(t) or ()], _DECLARED, useArrow=True)
+    each = tokens.select("token").distinct().select("token", F.explode(read("token")).alias("d"))
+    return each.select("token", "d.*")
+
+
+def utility_resolved(tokens: DataFrame, decls: DataFrame) -> DataFrame:
+    """(key, cond, property, value, important) of tokens (key, pos, token): of a list the later one wins."""
+    hit = tokens.join(decls, "token")
+    return hit.groupBy("key", "cond", "property").agg(F.max_by(F.struct("value", "important"), "pos").alias("d")).select("key", "cond", "property", "d.value", "d.important")

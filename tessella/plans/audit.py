@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from tessella.functions.scalars import byte_count, class_token_count
 from tessella.operators.optimize import Options, optimize_fragment, optimized
 from tessella.sources.stylesheet import Sheet, parse
+from tessella.sources.utilities import Utilities
 
 WORST = 5
 _SHEETS: dict[str, Sheet] = {}
+_UTILITIES = Utilities()
 
 
 def _sheet(css: str) -> Sheet:
@@ -30,16 +32,16 @@ _RESULT = "struct<text:string,nodes:long,removed:long,error:string," + ",".join(
 
 
 def _runner(options: Options):
-    def one(text: str, css: str) -> tuple:
-        new, nodes, removed, ops = optimized(text, _sheet(css), options)
+    def one(text: str, css: str, kind: str) -> tuple:
+        new, nodes, removed, ops = optimized(text, _UTILITIES if options.provider == "utility" else _sheet(css), options, kind)
         return new, nodes, removed, None, *(ops[k] for k in _OPS)
 
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for text, css in batches:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for text, css, kind in batches:
             rows = []
-            for t, c in zip(text, css):
+            for t, c, k in zip(text, css, kind):
                 try:
-                    rows.append((None, 0, 0, None, *[0] * len(_OPS)) if t is None else one(t, c or ""))
+                    rows.append((None, 0, 0, None, *[0] * len(_OPS)) if t is None else one(t, c or "", k))
                 except Exception as e:  # one broken document must not fail the run
                     rows.append((t, 0, 0, f"{type(e).__name__}: {e}"[:200], *[0] * len(_OPS)))
             yield pd.DataFrame(rows, columns=["text", "nodes", "removed", "error", *_OPS])
@@ -63,11 +65,14 @@ def fragment(text: Column) -> Column:
     return F.pandas_udf(_fragments, "string")(text)
 
 
-def optimize_documents(docs: DataFrame, key: str, text: str, css: str | Column | None = None, options: Options = Options()) -> DataFrame:
-    """(key, text_before, text_after, nodes_before, nodes_removed, error, and op counts); a map without a shuffle."""
+def optimize_documents(docs: DataFrame, key: str, text: str, css: str | Column | None = None, options: Options = Options(), kind: str | Column = "html") -> DataFrame:
+    """(key, text_before, text_after, nodes_before, nodes_removed, error, and op counts); a map without a shuffle.
+
+    ``kind``: html, jsx, tsx, vue or astro; of a text that cannot be read as that the error is noted, and it stays.
+    """
     sheet = F.lit("") if css is None else F.col(css) if isinstance(css, str) else css
     run = F.pandas_udf(_runner(options), _RESULT)
-    got = docs.select(key, F.col(text).alias("text_before"), run(F.col(text), sheet).alias("r"))
+    got = docs.select(key, F.col(text).alias("text_before"), run(F.col(text), sheet, F.lit(kind) if isinstance(kind, str) else kind).alias("r"))
     return got.select(key, "text_before", F.col("r.text").alias("text_after"), F.col("r.nodes").alias("nodes_before"), F.col("r.removed").alias("nodes_removed"), F.col("r.error").alias("error"), *(F.col(f"r.{k}").alias(f"n_{k}") for k in _OPS))
 
 

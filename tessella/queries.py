@@ -210,11 +210,8 @@ def build_totals(spark, d):
 
 
 def pages_rewritten(spark, d):
-    """Whole pages with their own stylesheets; the tree builder is beyond SQL."""
-    pages = _pages(spark, d)
-    keyed, sets = C.sheet_sets(C.inline_sheets(pages, "page_id", "html"), "page_id")
-    css = keyed.join(sets, "set_id").select("page_id", "css")
-    return A.file_stats(A.optimize_documents(pages.join(css, "page_id", "left"), "page_id", "html", "css"), "page_id")
+    """Whole pages with their own stylesheets, in one map; the tree builder is beyond SQL."""
+    return A.file_stats(A.optimize_documents(_pages(spark, d), "page_id", "html", C.own_css(F.col("html"))), "page_id")
 
 
 _LIST = "concat('<p>a</p><ul><li>', o_orderpriority, '</li></ul>')"

@@ -12,6 +12,7 @@ from tessella.functions import scalars as S
 from tessella.operators import edits as E
 from tessella.operators import patterns as P
 from tessella.operators import resolve as R
+from tessella.operators.optimize import Options
 from tessella.plans import audit as A
 from tessella.sources import files as L
 from tessella.sources import markup as M
@@ -229,9 +230,64 @@ def stream_run_totals(spark, d):
     return A.run_totals(spark.read.parquet(f"{out}/stats"))
 
 
+# ---- utility classes and component templates ------------------------------------------------
+
+_UTILITY = Options(provider="utility")
+_UTILITY_LISTS = (
+    ("h-[40px] w-[40px] bg-white", "bg-white size-[40px]"), ("pt-[7px] pb-[7px] pl-[7px] pr-[7px]", "p-[7px]"), ("hover:px-4 hover:py-4 bg-white", "bg-white hover:p-4"), ("md:h-10 md:w-10", "md:size-10"),
+    ("hover:px-4 md:py-4", None), ("foo:px-4 px-4 py-4", "foo:px-4 p-4"), ("px-2 px-4 py-4", "p-4"), ("overflow-x-auto overflow-y-auto", "overflow-auto"), ("!mt-2 !mb-2 !ml-2 !mr-2", "!m-2"), ("flex gap-x-2 gap-y-2", "flex gap-2"),
+)
+
+
+def _listed(spark, d):
+    lists = F.get(F.array(*(F.lit(a) for a, _ in _UTILITY_LISTS)), (F.col("p_size") % len(_UTILITY_LISTS)).cast("int"))
+    return Q._table(spark, d, "part").select(F.col("p_partkey").alias("key"), lists.alias("classes"))
+
+
+def utility_compress(spark, d):
+    docs = _listed(spark, d).select(F.col("key").alias("doc_id"), F.concat(F.lit('<div class="'), "classes", F.lit('">x</div>')).alias("text"))
+    return A.optimize_documents(docs, "doc_id", "text", options=_UTILITY).select("doc_id", "text_after")
+
+
+def utility_resolve(spark, d):
+    """Resolved utility lists of parts: steps of the scale by size, the later token winning."""
+    classes = F.expr("concat('p-', p_size % 4, ' px-', p_size % 5, ' md:mt-[', p_size, 'px] zz')")
+    tokens = Q._table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.posexplode(S.tokens(classes)).alias("pos", "token"))
+    return R.utility_resolved(tokens, R.utility_declarations(tokens))
+
+
+_TEMPLATES = (  # kind, a template and what becomes of it, {} the part's name
+    ("jsx", "const A = () => (\n  <div>\n    <p className=\"px-4 py-4\">{}</p>\n  </div>\n);", "const A = () => (\n  <p className=\"p-4\">{}</p>\n);"),
+    ("jsx", "const A = xs.map(x => <div key={x}><p>{}</p></div>);", None),
+    ("jsx", "const A = a < b && <><b>{}</b></>;", "const A = a < b && <b>{}</b>;"),
+    ("jsx", '<div className={clsx("px-4 py-4", c && "px-1 py-1")}>{}</div>', '<div className={clsx("p-4", c && "px-1 py-1")}>{}</div>'),
+    ("jsx", '<i className="bg-white" style={{"--brand": 1, padding: 16}}>{}</i>', '<i className="bg-white p-[16px]" style={{"--brand": 1}}>{}</i>'),
+    ("jsx", '<i {...rest} className="bg-white" style={{padding: 16}}>{}</i>', None),
+    ("jsx", '<i className={`px-4 ${a} py-4`} style={{padding: p}}>{}</i>', None),
+    ("vue", '<script>const a = "<div>"</script><template><div><p class="px-4 py-4">{}</p></div></template>', '<script>const a = "<div>"</script><template><p class="p-4">{}</p></template>'),
+    ("vue", '<template><div><p class="px-4 py-4">{}</p></div></template><style>.a{top:0}</style>', None),
+    ("vue", '<template><div v-if="a"><span><b :class="c">{}</b></span></div></template>', '<template><div v-if="a"><b :class="c">{}</b></div></template>'),
+    ("astro", '---\nconst a = "<div>";\n---\n<span><b class="px-4 py-4">{}</b></span><br>', '---\nconst a = "<div>";\n---\n<b class="p-4">{}</b><br>'),
+    ("astro", '<ul>{xs.map(x => <li class="px-4 py-4">{}</li>)}</ul>', '<ul>{xs.map(x => <li class="p-4">{}</li>)}</ul>'),
+    ("jsx", "return <div {} <", None),
+)
+
+
+def templates_optimized(spark, d):
+    kind = F.get(F.array(*(F.lit(k) for k, _, _ in _TEMPLATES)), (F.col("p_size") % len(_TEMPLATES)).cast("int"))
+    docs = Q._table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), kind.alias("kind"), F.replace(F.get(F.array(*(F.lit(a) for _, a, _ in _TEMPLATES)), (F.col("p_size") % len(_TEMPLATES)).cast("int")), F.lit("{}"), F.col("p_name")).alias("text"))
+    got = A.optimize_documents(docs, "doc_id", "text", options=_UTILITY, kind=F.col("kind"))
+    return got.select("doc_id", "text_after", F.col("error").isNotNull().alias("failed"))
+
+
+def _literal(text: str) -> str:
+    return "concat(" + ", chr(10), ".join("'" + x.replace("'", "''") + "'" for x in text.split("\n")) + ")"
+
+
 QUERIES = {f.__name__: f for f in (
     linked_stylesheets, linked_sheet_sets, outputs_written, inline_to_class, competing_declarations, op_counts, document_fingerprints, edit_groups,
     media_rules, selector_roles, complex_selectors, coupled_elements, emitted_css, style_names, flatten_patterns, declared_patterns, greedy_cover, stream_run_totals,
+    utility_compress, utility_resolve, templates_optimized,
 )}
 
 _N = "(SELECT CAST(n_nationkey AS VARCHAR) AS k, CAST(n_regionkey AS VARCHAR) AS r FROM nation)"
@@ -259,4 +315,10 @@ SQL = {
     "declared_patterns": f"SELECT p_partkey AS doc_id, ['contents', 'coloured', 'plain-span'][p_size % {len(_SHAPES)}] AS pattern, ['unwrap', 'classes', 'unwrap'][p_size % {len(_SHAPES)}] AS op FROM part WHERE p_size % {len(_SHAPES)} BETWEEN 1 AND 3",
     "greedy_cover": "SELECT p_partkey AS doc_id, '<p class=\"' || CASE p_size % 2 WHEN 0 THEN 'big' ELSE 'v0 v1' END || '\">x</p>' AS text_after FROM part",
     "stream_run_totals": Q.SQL["run_totals"],
+    "utility_compress": "SELECT p_partkey AS doc_id, '<div class=\"' || [" + ", ".join(f"'{b or a}'" for a, b in _UTILITY_LISTS) + f"][p_size % {len(_UTILITY_LISTS)} + 1] || '\">x</div>' AS text_after FROM part",
+    "utility_resolve": """WITH p AS (SELECT p_partkey AS key, p_size % 4 AS a, p_size % 5 AS b, p_size AS s FROM part)
+      SELECT key, '||' AS cond, 'padding-' || side AS property, CASE WHEN n = 0 THEN '0' ELSE rtrim(rtrim(printf('%.2f', n / 4), '0'), '.') || 'rem' END AS value, false AS important
+      FROM (SELECT key, side, CASE WHEN side IN ('left', 'right') THEN b ELSE a END AS n FROM p, (VALUES ('top'), ('right'), ('bottom'), ('left')) v(side))
+      UNION ALL SELECT key, '(min-width: 768px)||', 'margin-top', s || 'px', false FROM p""",
+    "templates_optimized": f"SELECT p_partkey AS doc_id, replace([{', '.join(_literal(b or a) for _, a, b in _TEMPLATES)}][p_size % {len(_TEMPLATES)} + 1], '{{}}', p_name) AS text_after, p_size % {len(_TEMPLATES)} = {len(_TEMPLATES) - 1} AS failed FROM part",
 }

@@ -33,6 +33,9 @@ _BLOCKS = frozenset(_ENDS) | {"html", "head", "body", "tbody", "thead", "tfoot",
 ALIKE, DEEPEST = 3, 512
 
 
+_OPAQUE = frozenset(("component", "spread", "classes"))
+
+
 @dataclass(eq=False)
 class Node:
     """kind: fragment, element, text or comment; spans are (start, end) or None where synthetic."""
@@ -48,7 +51,11 @@ class Node:
     start: int = 0
     end: int = 0
     whole: dict[str, tuple[int, int]] = field(default_factory=dict)  # each attribute's place with its name
-    flags: frozenset[str] = frozenset()  # what a component template leaves open: ref, spread, dynamic, component
+    #: What a component template leaves open: ``component``, ``spread``, ``classes`` (a class list made by code),
+    #: ``dynamic`` children, ``ref``, ``raw`` markup; ``island``: its place is one in code.
+    flags: frozenset[str] = frozenset()
+    segments: list[tuple[int, int]] = field(default_factory=list)  # places of the static parts of a class list
+    chunks: list[tuple] | None = None  # the entries of a style object
 
     def attr(self, name: str) -> str | bool | None:
         return next((v for n, v, _ in self.attrs if n == name), None)
@@ -64,7 +71,7 @@ class Node:
 
     @property
     def opaque(self) -> bool:
-        return any(n in ("id", "contenteditable") or n.startswith("on") for n, _, _ in self.attrs) or self.open is None or bool(self.flags)
+        return any(n in ("id", "contenteditable") or n.startswith("on") for n, _, _ in self.attrs) or self.open is None or not _OPAQUE.isdisjoint(self.flags)
 
     def walk(self) -> Iterator[Node]:
         stack = [self]

@@ -40,10 +40,33 @@ class Sheet:
     #: classes, tags, whether any element, and the longhands, of the rules that a class list alone doesn't decide
     risks: list[tuple[frozenset[str], frozenset[str], bool, frozenset[str]]] = field(default_factory=list)
 
+    overlap = False
+
     def competes(self, tag: str, classes: list[str], prop: str) -> bool:
         """Whether such a rule may set a property of an element."""
         return any(prop in props and (every or tag in tags or not cls.isdisjoint(classes)) for cls, tags, every, props in self.risks)
 
+    def knows(self, token: str) -> bool:
+        return token in self.decls
+
+    def resolve(self, tokens: list[str]) -> tuple[dict, list[str]]:
+        """Winner by rule order for each (condition, property), and the tokens without a rule of their own."""
+        best: dict[tuple[str, str], tuple[int, str, bool]] = {}
+        for t in tokens:
+            for k, d in self.decls.get(t, {}).items():
+                if k not in best or d[0] >= best[k][0]:
+                    best[k] = d
+        return {k: (v, i) for k, (_, v, i) in best.items()}, [t for t in tokens if t not in self.decls]
+
+    def fitting(self, target: dict) -> dict[str, list]:
+        """Tokens all of whose declarations the target holds, with them."""
+        out = {}
+        for token, decls in self.decls.items():
+            mine = [(k, (v, i)) for k, (_, v, i) in decls.items()]
+            if mine and all(target.get(k) == d for k, d in mine):
+                out[token] = mine
+        return out
+
     def droppable(self, token: str) -> bool:
         u = self.usage.get(token)
         return u is not None and u.referenced and not u.bearing
@@ -181,16 +204,21 @@ def parse(css: str) -> Sheet:
     return sheet
 
 
-def emitted(sheet: Sheet, tokens: list[str]) -> str:
-    """CSS text that defines the tokens, a rule for each condition, properties in order."""
+def escaped(token: str) -> str:
+    """A class name as it stands in a selector."""
+    return "".join(c if c.isalnum() or c in "-_" or not c.isascii() else "\\" + c for c in token)
+
+
+def emitted(sheet, tokens: list[str]) -> str:
+    """CSS text that defines the tokens of a sheet or vocabulary, a rule for each condition, properties in order."""
     out = []
     for token in dict.fromkeys(tokens):
         by: dict[str, list[str]] = {}
-        for (cond, prop), (_, value, important) in sorted(sheet.decls.get(token, {}).items()):
+        for (cond, prop), (value, important) in sorted(sheet.resolve([token])[0].items()):
             by.setdefault(cond, []).append(f"{prop}:{value}{'!important' * important}")
         for cond, decls in by.items():
             media, states, pseudo = cond.split("|")
-            rule = f".{re.sub(r'([^A-Za-z0-9_-])', r'\\1', token)}{states.replace(',', '')}{pseudo}{{{';'.join(decls)}}}"
+            rule = f".{escaped(token)}{states.replace(',', '')}{pseudo}{{{';'.join(decls)}}}"
             out.append(f"@media {media}{{{rule}}}" if media else rule)
     return "\n".join(out)
 
@@ -270,15 +298,23 @@ def risks(parsed: DataFrame) -> DataFrame:
     return parsed.select("set_id", F.explode("facts.risks").alias("r")).select("set_id", "r.classes", "r.tags", "r.every", F.explode("r.properties").alias("property"))
 
 
-_STYLE = r"(?is)<style\b([^>]*)>(.*?)</style\s*>"
+_STYLE = r"(?is)<style\b([^>]*)>(.*?)(?:</style\s*>|\Z)"
+_TYPE = r"""(?i)\btype\s*=\s*["']?([^"'\s>]*)"""
 _LINK = r"(?is)<link\b[^>]*>"
 
 
+def own_css(text: Column) -> Column:
+    """The CSS of a page's own style blocks in order, made from the page alone."""
+    kinds, css = (F.regexp_extract_all(text, F.lit(_STYLE), g) for g in (1, 2))
+    read = lambda x: F.lower(F.regexp_extract(x["kind"], _TYPE, 1)).isin("", "text/css")
+    return F.array_join(F.transform(F.filter(F.arrays_zip(kinds.alias("kind"), css.alias("css")), read), lambda x: x["css"]), "\n")
+
+
 def inline_sheets(pages: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, css) of the style blocks that hold CSS."""
     kinds, css = (F.regexp_extract_all(F.col(text), F.lit(_STYLE), g) for g in (1, 2))
     got = pages.select(key, F.posexplode(F.arrays_zip(kinds.alias("kind"), css.alias("css"))).alias("pos", "x"))
-    kind = F.lower(F.regexp_extract("x.kind", r"""(?i)\btype\s*=\s*["']?([^"'\s>]*)""", 1))
+    kind = F.lower(F.regexp_extract("x.kind", _TYPE, 1))
     return got.where(kind.isin("", "text/css")).select(key, "pos", F.col("x.css").alias("css"))
 
 
