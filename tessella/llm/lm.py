@@ -5,16 +5,15 @@ from __future__ import annotations
 import os
 from collections import OrderedDict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, documents, ids_and_texts, table
+from tessella.llm.common import Scratch, documents, table
 from tessella.llm.elias_fano import EliasFano, load, save
+from tessella.llm.words import Words, slices, spans
 
 #: Discount of absolute discounting, at both levels.
 DISCOUNT = 0.75
@@ -22,18 +21,25 @@ DISCOUNT = 0.75
 GATHER, BLOCK = 1_000_000, 65_536
 #: Tokens (about) for each shard of the trie, and nodes of a shard's second level in one part of the third.
 SHARD_TOKENS, PART_NODES = 8_000_000, 1 << 19
-#: Words whose number a worker remembers; a bound on memory only.
-REMEMBERED = 250_000
-END = b"\n"  # no word holds it
+#: Tokens that a task counts before it passes their sums on.
+COUNTED = 2_000_000
 HELD_OUT, FOLDS = 2, 7
 _U = np.uint64
+#: The end of a text, which is no word.
+END = (_U(0x2545F4914F6CDD1D), _U(0x9E6C63D0876A9A99))
 
 
-def words_of(text: str) -> list[bytes]:
-    """Lower-cased words and the end of the text."""
-    out = text.encode("utf-8", "surrogatepass").lower().split()
-    out.append(END)
-    return out
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of each word (lower-cased A-Z) of all texts, each text's followed by END, and their numbers."""
+    w = Words(texts)
+    lens = w.lens + 1
+    at = np.arange(len(w.start)) + np.repeat(np.arange(len(lens)), w.lens)
+    out = []
+    for hashes, end in zip((w.hashes, w.other_hashes), END):
+        h = np.full(int(lens.sum()), end, _U)
+        h[at] = hashes
+        out.append(h)
+    return *out, lens
 
 
 def held_out():
@@ -114,14 +120,13 @@ class Trie:
         self.folder, self.bits, self.offsets, self.n, self.v = folder, bits, offsets, n, v
         self.sizes, self.successors = sizes, successors
         self.floor = np.log10(1.0 / (n + v + 1)) - 0.5
-        self.known: dict[bytes, int] = {}
         self.files: OrderedDict = OrderedDict()
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("known", "files")}
+        return {k: v for k, v in self.__dict__.items() if k != "files"}
 
     def __setstate__(self, state):
-        self.__dict__.update(state, known={}, files=OrderedDict())
+        self.__dict__.update(state, files=OrderedDict())
 
     def file(self, name: str, ef: bool = False):
         if name not in self.files:
@@ -136,25 +141,27 @@ class Trie:
 
     # words
 
-    def numbers(self, lists: list[list[bytes]]) -> np.ndarray:
-        """Word numbers of all lists one after another, -1 for unknown words."""
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        fresh = set(chain.from_iterable(lists)).difference(known)
-        if fresh:
-            fresh = list(fresh)
-            h = np.fromiter(map(xxhash.xxh64_intdigest, fresh), _U, len(fresh))
-            known.update(zip(fresh, self.lookup(h).tolist()))
-        return np.fromiter(map(known.__getitem__, chain.from_iterable(lists)), np.int64, sum(map(len, lists)))
-
-    def lookup(self, h: np.ndarray) -> np.ndarray:
+    def numbers(self, h: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Word numbers of tokens, -1 for unknown words; each different word is looked up once."""
+        _, first, back = np.unique(h, return_index=True, return_inverse=True)
+        if (other[first][back] != other).any():  # two words that share their first hash
+            return self.lookup(h, other)
+        return self.lookup(h[first], other[first])[back]
+
+    def lookup(self, h: np.ndarray, other: np.ndarray) -> np.ndarray:
         out = np.full(len(h), -1, np.int64)
         for s, mine in _grouped((h >> _U(64 - self.bits)).astype(np.int64)):
-            own = self.file(f"words-{s}")
-            if len(own):
-                at = np.minimum(np.searchsorted(own, h[mine]), len(own) - 1)
-                out[mine] = np.where(own[at] == h[mine], at + self.offsets[s], -1)
+            own, second = self.file(f"words-{s}"), self.file(f"others-{s}")
+            at = np.searchsorted(own, h[mine])
+            left = np.flatnonzero(at < len(own))
+            while len(left):  # words that share their first hash stand side by side
+                k = at[left]
+                here = own[k] == h[mine[left]]
+                hit = here & (second[k] == other[mine[left]])
+                out[mine[left[hit]]] = k[hit] + self.offsets[s]
+                left = left[here & ~hit]
+                at[left] += 1
+                left = left[at[left] < len(own)]
         return out
 
     def shard_of(self, word: np.ndarray) -> np.ndarray:
@@ -224,7 +231,7 @@ class Tokens:
         self.off = np.concatenate([[0], np.cumsum(lens)])
         self.word = word
         self.place = np.arange(len(self.word)) - np.repeat(self.off[:-1], lens)
-        end = int(trie.lookup(np.array([xxhash.xxh64_intdigest(END)], _U))[0])
+        end = int(trie.lookup(*(np.array([x]) for x in END))[0])
         self.prev = np.where(self.place > 0, np.roll(self.word, 1), end)  # a text follows the last one's end
 
     def nodes(self, trie: Trie):
@@ -260,21 +267,6 @@ def scores(trie: Trie, word: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray,
     return np.diff(t.off), sums((t.word >= 0).astype(np.int64)), sums(uni), sums(log_p)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list, list[list[bytes]]]]:
-    """Ids and word lists of runs of documents of about ``limit`` tokens."""
-    ids, lists, n = [], [], 0
-    for b in batches:
-        for i, t in zip(*ids_and_texts(b)):
-            ids.append(i)
-            lists.append(words_of(t))
-            n += len(lists[-1])
-            if n >= limit:
-                yield ids, lists
-                ids, lists, n = [], [], 0
-    if ids:
-        yield ids, lists
-
-
 # ---- word numbers, looked up once for all later passes --------------------------------------
 
 _NUMBERED = "train boolean, ids array<long>, lens array<long>, numbers binary"
@@ -288,28 +280,20 @@ def numbered(docs: DataFrame, trie: Trie, train=None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tr = shared.value
-        held = {True: ([], []), False: ([], [])}
-        size = {True: 0, False: 0}
-
-        def block(flag: bool) -> pa.RecordBatch:
-            ids, lists = held[flag]
-            width, word = _width(tr), tr.numbers(lists)
-            planes = np.ascontiguousarray(word.astype(f"i{width}").view(np.uint8).reshape(-1, width).T)
-            z = pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
-            out = pa.RecordBatch.from_arrays([pa.array([flag]), pa.array([ids], pa.list_(pa.int64())), pa.array([list(map(len, lists))], pa.list_(pa.int64())), pa.array([z], pa.binary())], ["train", "ids", "lens", "numbers"])
-            held[flag], size[flag] = ([], []), 0
-            return out
-
-        for b in batches:
-            for i, t, flag in zip(*ids_and_texts(b), b.column(2).to_pylist()):
-                held[flag][0].append(i)
-                held[flag][1].append(words_of(t))
-                size[flag] += len(held[flag][1][-1])
-                if size[flag] >= BLOCK:
-                    yield block(flag)
-        for flag in held:
-            if held[flag][0]:
-                yield block(flag)
+        width = _width(tr)
+        for b in slices(batches):
+            h, other, lens = tokens(b.column(1))
+            word, off = tr.numbers(h, other), np.concatenate([[0], np.cumsum(lens)])
+            learn = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for flag in (True, False):
+                own = np.flatnonzero(learn == flag)
+                part = (np.cumsum(lens[own]) - lens[own]) // BLOCK
+                for rows in np.split(own, np.flatnonzero(np.diff(part)) + 1) if len(own) else ():
+                    mine = spans(word, off[rows], lens[rows]).astype(f"i{width}")
+                    planes = np.ascontiguousarray(mine.view(np.uint8).reshape(-1, width).T)
+                    z = pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+                    ids = b.column(0).take(pa.array(rows)).to_pylist()
+                    yield pa.RecordBatch.from_arrays([pa.array([flag]), pa.array([ids], pa.list_(pa.int64())), pa.array([lens[rows].tolist()], pa.list_(pa.int64())), pa.array([z], pa.binary())], ["train", "ids", "lens", "numbers"])
 
     flagged = documents(docs).select("doc_id", "text", (F.lit(True) if train is None else F.coalesce(train, F.lit(False))).alias("train"))
     return flagged.mapInArrow(run, _NUMBERED)
@@ -340,34 +324,34 @@ def _blocks(batches: Iterator[pa.RecordBatch], trie: Trie, limit: int) -> Iterat
 
 
 def _vocabulary(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, int]:
-    """(h, c) of all words; their number and sum."""
+    """(h, other, c) of all words; their number and sum."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
-
-        def rows():
-            words = list(seen)
-            h = np.fromiter(map(xxhash.xxh64_intdigest, words), _U, len(words)).view(np.int64)
-            other = np.fromiter(map(xxhash.xxh3_64_intdigest, words), _U, len(words)).view(np.int64)
-            c = np.fromiter(seen.values(), np.int64, len(words))
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(other), pa.array(c)], ["h", "other", "c"])
-
-        for _, lists in _gathered(batches, 200_000):
-            get = seen.get
-            for ws in lists:
-                for w in ws:
-                    seen[w] = get(w, 0) + 1
-            if len(seen) > REMEMBERED:
-                yield rows()
-        if seen:
-            yield rows()
-
-    one = docs.mapInArrow(count, "h long, other long, c long").groupBy("h").agg(F.sum("c").alias("c"), (F.min("other") != F.max("other")).alias("two"))
-    vocab = scratch.keep(one, "vocabulary")
-    v, n, two = vocab.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0)), F.count_if("two")).first()
-    if two:
-        raise ValueError(f"{two} pairs of words share a 64-bit hash")  # expected once in 10^10 words squared / 2^65
+        held, n = [], 0
+
+        def sums() -> pa.RecordBatch:
+            h, other = (np.concatenate(x) for x in zip(*held))
+            by = np.argsort(h, kind="stable")
+            new = np.concatenate([np.ones(1, bool), np.diff(h[by]) != 0])
+            if (other[by][1:] != other[by][:-1])[~new[1:]].any():  # two words that share their first hash
+                by = np.lexsort((other, h))
+                new = np.concatenate([np.ones(1, bool), (np.diff(h[by]) != 0) | (np.diff(other[by]) != 0)])
+            first = np.flatnonzero(new)
+            c = np.diff(first, append=len(h))
+            return pa.RecordBatch.from_arrays([pa.array(h[by][first].view(np.int64)), pa.array(other[by][first].view(np.int64)), pa.array(c)], ["h", "other", "c"])
+
+        for b in slices(batches):
+            h, other, _ = tokens(b.column(1))
+            held.append((h, other))
+            n += len(h)
+            if n >= COUNTED:
+                yield sums()
+                held, n = [], 0
+        if n:
+            yield sums()
+
+    vocab = scratch.keep(docs.mapInArrow(count, "h long, other long, c long").groupBy("h", "other").agg(F.sum("c").alias("c")), "vocabulary")
+    v, n = vocab.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
     return vocab, v, n
 
 
@@ -387,20 +371,21 @@ def first_level(docs: DataFrame, scratch: Scratch) -> Trie:
     offsets = np.concatenate([[0], np.cumsum([per.get(s, 0) for s in range(shards)])])[:-1].astype(np.int64)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(b.column(0).to_numpy(), b.column(1).to_numpy().view(_U), b.column(2).to_numpy()) for b in batches]
+        rows = [(b.column(0).to_numpy(), b.column(1).to_numpy().view(_U), b.column(2).to_numpy().view(_U), b.column(3).to_numpy()) for b in batches]
         if rows:
-            s, h, c = map(np.concatenate, zip(*rows))
-            for k in np.unique(s):
-                mine = np.flatnonzero(s == k)
-                mine = mine[np.argsort(h[mine])]
+            s, h, other, c = map(np.concatenate, zip(*rows))
+            for k, mine in _grouped(s):
+                mine = mine[np.lexsort((other[mine], h[mine]))]
                 save(folder, f"words-{k}", h[mine])
+                save(folder, f"others-{k}", other[mine])
                 save(folder, f"counts-{k}", c[mine])
         yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int32())], ["n"])
 
-    vocab.select(top.alias("s"), "h", "c").repartitionById(shards, F.col("s")).mapInArrow(words, "n int").collect()
+    vocab.select(top.alias("s"), "h", "other", "c").repartitionById(shards, F.col("s")).mapInArrow(words, "n int").collect()
     for s in range(shards):
         if s not in per:
             save(folder, f"words-{s}", np.empty(0, _U))
+            save(folder, f"others-{s}", np.empty(0, _U))
             save(folder, f"counts-{s}", np.empty(0, np.int64))
     return Trie(folder, bits, offsets, n, v)
 

@@ -28,8 +28,8 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 _BASE = 0x9E3779B97F4A7C15
-_UP = powers(_BASE, SEGMENT + 1)
-_BYTE = mix(np.arange(1, 257, dtype=_U))
+_UPS = [powers(base, SEGMENT + 1) for base in (_BASE, 0xD6E8FEB86659FD93)]
+_BYTES = [mix(np.arange(first, first + 256, dtype=_U)) for first in (1, 1001)]
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 _PUNCTUATION = _SPACES.copy()  # with what separates words once ASCII punctuation is left out
@@ -65,7 +65,7 @@ class Words:
         after[self.off] = False
         self.end = np.flatnonzero(word & ~after[1:]) + 1
         self.first = np.searchsorted(self.start, self.off)
-        self._hashes: np.ndarray | None = None
+        self._hashes: dict[int, np.ndarray] = {}
 
     @property
     def lens(self) -> np.ndarray:
@@ -74,22 +74,31 @@ class Words:
     @property
     def hashes(self) -> np.ndarray:
         """A polynomial of each word's bytes modulo 2**64, mixed; of equal words the same everywhere."""
-        if self._hashes is None:
+        return self._hashed(0)
+
+    @property
+    def other_hashes(self) -> np.ndarray:
+        """A second one, of another base and other values of bytes: with the first, 128 bits of each word."""
+        return self._hashed(1)
+
+    def _hashed(self, which: int) -> np.ndarray:
+        if which not in self._hashes:
+            up, values = _UPS[which], _BYTES[which]
             out, k, n = np.empty(len(self.start), _U), 0, len(self.start)
             while k < n:
                 upto = max(int(np.searchsorted(self.end, self.start[k] + SEGMENT, "right")), k + 1)
                 s, e = self.start[k:upto], self.end[k:upto]
                 lo = int(s[0])
                 if e[-1] - lo > SEGMENT:  # one very long word
-                    out[k] = xxhash.xxh64_intdigest(self.raw[lo : e[0]].tobytes())
+                    out[k] = xxhash.xxh64_intdigest(self.raw[lo : e[0]].tobytes(), which)
                 else:
                     part = self.raw[lo : e[-1]]
                     sums = np.zeros(len(part) + 1, _U)
-                    np.cumsum(_BYTE[part] * _UP[: len(part)], out=sums[1:])
-                    out[k:upto] = mix((sums[e - lo] - sums[s - lo]) * _UP[SEGMENT - (s - lo)])
+                    np.cumsum(values[part] * up[: len(part)], out=sums[1:])
+                    out[k:upto] = mix((sums[e - lo] - sums[s - lo]) * up[SEGMENT - (s - lo)])
                 k = upto
-            self._hashes = out
-        return self._hashes
+            self._hashes[which] = out
+        return self._hashes[which]
 
     def characters(self) -> np.ndarray:
         """Of each byte's place (and the end) the number of characters before it, over all texts."""

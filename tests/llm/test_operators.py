@@ -63,7 +63,7 @@ def test_simhash_against_all_pairs(spark, docs, rows, per_block, monkeypatch):
 def test_lm_against_exact_model(spark, docs, rows):
     got = lm.op5_lm_scores(spark, SF).collect()
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
-    toks = {i: [b"\n", *lm.words_of(t or "")] for i, t in rows}
+    toks = {i: [b"\n", *(t or "").encode().lower().split(), b"\n"] for i, t in rows}
     train = [w for i, w in toks.items() if not held[i]]
     c = Counter(x for w in train for x in w[1:])
     n, v = sum(c.values()), len(c)
