@@ -172,8 +172,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CHUNK_MASK, _ROLL = np.uint64(0x1FF), 16
 #: Pre-tokens at a chunk's start after each of which its stored ids may be taken up.
 _OPENING = 8
-#: Chunks for each shard of the table of shared ones.
-SHARD_CHUNKS = 500_000
+#: Chunks for each shard of the table of shared ones; one task holds a shard, some 50 MB.
+SHARD_CHUNKS = 50_000
 #: Bytes from which a pre-token is merged by the library, whose time does not grow with their square.
 LONG = 400
 _ROLL_UP = powers(0xD6E8FEB86659FD93, 1 << 16)
