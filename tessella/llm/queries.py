@@ -8,7 +8,7 @@ from tessella.llm.paragraphs import op1_substring_dedup
 from tessella.llm.quality import op4_quality
 from tessella.llm.secrets import op6_secrets
 from tessella.llm.simhash import op2_simhash
-from tessella.llm.sql import NEAREST, SIMHASH
+from tessella.llm.sql import NEAREST, SIMHASH, secrets_sql
 from tessella.llm.warc import op3_warc
 
 QUERIES = {
@@ -23,4 +23,4 @@ QUERIES = {
     "op9_nearest": op9_nearest,
     "op10_decontaminate": op10_decontaminate,
 }
-SQL = {"op2_simhash": SIMHASH, "op9_nearest": NEAREST}
+SQL = {"op2_simhash": SIMHASH, "op6_secrets": secrets_sql(), "op9_nearest": NEAREST}

@@ -292,8 +292,8 @@ def secret_spans(docs: DataFrame, labelled: list[tuple[str, int]] | None = None)
     columns, whatever their names, are not looked at.
     """
     got = scan(documents(docs), labelled)
-    kinds = F.transform("base", lambda x: x["k"])
-    n = [F.size(F.filter(kinds, lambda x, k=k: x == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    of = lambda kind: F.size(F.filter("base", lambda x: x["k"] == kind)).cast("long")
+    n = [of(k).alias(f"n_{KINDS[k]}") for k in range(3)]
     return got.select("doc_id", *n, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 # The primes of XXH64.
 _P1, _P2, _P3, _P4, _P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
 _SEED, _M = 42, 1 << 64
@@ -76,3 +78,64 @@ WITH v AS (SELECT DISTINCT CAST(vec_id AS BIGINT) AS vec_id, CAST(embedding AS D
 pairs AS (SELECT q.vec_id AS query_id, c.vec_id, max(list_dot_product(c.e, q.e) / (sqrt(list_dot_product(c.e, c.e)) * sqrt(list_dot_product(q.e, q.e)))) AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e) GROUP BY q.vec_id, c.vec_id)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 5"""
+
+
+def _spans(kind: int, pattern: str, keep: str) -> str:
+    """(r, s, k, e, m) of a pattern's matches ``m`` in ``texts``, from the lengths of matches and of gaps between them."""
+    return f"""SELECT r, pos AS s, {kind} AS k, pos + length(m) AS e, m FROM (SELECT r, m, g, list_sum(list_transform(gaps[1:g], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:g - 1], lambda x: length(x))), 0) AS pos
+  FROM (SELECT r, found, gaps, unnest(found) AS m, unnest(range(1, len(found) + 1)) AS g FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS found, string_split_regex(t, '{pattern}') AS gaps FROM texts WHERE regexp_matches(t, '{pattern}')))) WHERE {keep}"""
+
+
+_STATE = ("i", "glue", "wait", "total", "peak", "start", "lft", "fin", "tail", "done")
+
+
+def _struct(**fields: str) -> str:
+    return "{" + ", ".join(f"'{k}': {v}" for k, v in fields.items()) + "}"
+
+
+def secrets_sql() -> str:
+    """The base spans by their patterns; of longer runs those that the ratios of character pairs call random, or
+    the stretches of them that do: a pass over the pairs in which a stretch ends where its sum falls."""
+    from tessella.llm import secrets as S
+
+    quote = lambda p: p.replace("'", "''")
+    value = r"[A-Za-z0-9+/_.=-]+"
+    assign = quote(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""") + value
+    group = quote(r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(""") + value + ")$"
+    ratios = json.dumps(S.fit(S.samples()))
+    glue = ", ".join(f"'{c}'" for c in S.GLUE)
+    over = f"(a.total + p.x <= 0 OR a.total + p.x < a.peak - {S.DROP})"
+    here = "(a.i + 1)"
+    tail = f"(CASE WHEN a.tail < 0 AND p.g AND {here} >= a.fin THEN {here} ELSE a.tail END)"
+    more = f"(NOT {over} AND a.total + p.x > a.peak)"
+    close = f"({over} AND a.fin - a.start >= {S.CORE})"
+    met = "(p.g AND a.wait >= 0)"
+    first = f"(CASE WHEN {met} THEN a.wait WHEN {close} AND {tail} >= 0 THEN a.lft END)"
+    last = f"(CASE WHEN {met} THEN {here} ELSE {tail} END)"
+    out = f"({first} IS NOT NULL AND {last} - {first} >= {S.STRETCH} AND {last} > a.done)"
+    step = _struct(
+        i=here, glue=f"CASE WHEN p.g THEN {here} + 1 ELSE a.glue END", wait=f"CASE WHEN {close} AND a.wait < 0 AND {tail} < 0 THEN a.lft WHEN p.g THEN -1 ELSE a.wait END",
+        total=f"CASE WHEN {over} THEN 0.0::DOUBLE ELSE a.total + p.x END", peak=f"CASE WHEN {over} THEN 0.0::DOUBLE WHEN {more} THEN a.total + p.x ELSE a.peak END", start=f"CASE WHEN {over} THEN {here} ELSE a.start END",
+        lft=f"CASE WHEN {over} THEN a.glue ELSE a.lft END", fin=f"CASE WHEN {over} THEN {here} WHEN {more} THEN {here} + 1 ELSE a.fin END",
+        tail=f"CASE WHEN {over} THEN CASE WHEN p.g THEN {here} ELSE -1 END WHEN {more} THEN -1 ELSE {tail} END", done=f"CASE WHEN {out} THEN {last} ELSE a.done END",
+        found=f"CASE WHEN {out} THEN list_append(a.found, {_struct(a=first, b=last)}) ELSE a.found END", x="0.0::DOUBLE", g="false",
+    )
+    none = _struct(a="0::BIGINT", b="0::BIGINT")
+    zero = lambda **more: _struct(**({n: "0::BIGINT" for n in _STATE} | {"total": "0.0::DOUBLE", "peak": "0.0::DOUBLE", "found": f"list_filter([{none}], lambda z: false)", "x": "0.0::DOUBLE", "g": "false"} | more))
+    opening = f"(m[1] IN ({glue}))"
+    pair = zero(x=f"w[unicode(m[j]) * 128 + unicode(m[j + 1]) + 1] - {S.MARGIN}", g=f"m[j + 1] IN ({glue})")
+    start = zero(glue=f"CAST({opening} AS BIGINT)", wait="-1::BIGINT", tail=f"CASE WHEN {opening} THEN 0::BIGINT ELSE -1::BIGINT END")
+    final = f"CASE WHEN z.wait >= 0 THEN {_struct(a='z.wait', b='length(m)')} WHEN z.fin - z.start >= {S.CORE} THEN {_struct(a='z.lft', b='CASE WHEN z.tail >= 0 THEN z.tail ELSE length(m) END')} END"
+    return f"""
+WITH texts AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+base AS MATERIALIZED (SELECT r, s, k, e FROM ({_spans(0, assign, f"length(regexp_extract(m, '{group}', 1)) >= {S.ASSIGN_LEAST}")}) UNION ALL SELECT r, s, k, e FROM ({_spans(1, 'AKIA[A-Z0-9]+', 'length(m) >= 16')}) UNION ALL SELECT r, s, k, e FROM ({_spans(2, '[0-9a-f]+', 'length(m) >= 32')})),
+ratios AS MATERIALIZED (SELECT CAST({ratios} AS DOUBLE[]) AS w),
+runs AS MATERIALIZED ({_spans(3, S.CANDIDATE, 'true')}),
+judged AS MATERIALIZED (SELECT r, s, e, m, list_sum(list_transform(range(1, length(m)), lambda j: w[unicode(m[j]) * 128 + unicode(m[j + 1]) + 1])) > {S.MARGIN} * (length(m) - 1) AS random FROM runs, ratios),
+passed AS MATERIALIZED (SELECT r, s, m, list_reduce(list_prepend({start}, list_transform(range(1, length(m)), lambda j: {pair})), lambda a, p: {step}) AS z FROM judged, ratios WHERE NOT random),
+stretches AS (SELECT r, s, unnest(list_append(z.found, CASE WHEN c.b - c.a >= {S.STRETCH} AND c.b > z.done THEN c END)) AS x FROM (SELECT *, {final} AS c FROM passed)),
+more AS (SELECT r, s, 3 AS k, e FROM judged WHERE random UNION ALL SELECT r, s + x.a, 3, s + x.b FROM stretches WHERE x IS NOT NULL),
+fresh AS (SELECT * FROM more WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.r = more.r AND base.s <= more.s AND more.e <= base.e)),
+names AS (SELECT r, s, k, e, {json.dumps(list(S.KINDS)).replace('"', "'")}[k + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT) AS name FROM (SELECT * FROM base UNION ALL SELECT * FROM fresh)),
+joined AS (SELECT r, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS h, coalesce(string_agg(name, ',' ORDER BY s, k, e) FILTER (k < 3), '') AS base, string_agg(name, ',' ORDER BY s, k, e) AS spans FROM names GROUP BY r)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM texts LEFT JOIN joined USING (r)"""

@@ -1,5 +1,6 @@
 """Operators on Spark, against brute force and on odd tables."""
 
+import hashlib
 import math
 import random
 import re
@@ -101,10 +102,14 @@ def test_secrets_against_plain_python(spark, docs):
     df = spark.createDataFrame(hand, "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
     model = secrets.fit(secrets.samples())
     texts = hand + [(r.doc_id, r.text) for r in docs.collect()]
-    want = [(i, ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in plain.secret_spans(t, model)[1])) for i, t in texts]
-    got = sorted((r.doc_id, r.spans) for r in secrets.secret_spans(df).collect())
-    assert got == sorted(want)
-    assert "random" in dict(want)[90_004]
+    shown = lambda spans: ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in spans)
+    want = {}
+    for i, t in texts:
+        base, spans = plain.secret_spans(t, model)
+        want[i] = (*(sum(k == kind for _, k, _ in base) for kind in range(3)), hashlib.sha256(shown(base).encode()).hexdigest(), shown(spans))
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in secrets.secret_spans(df).collect()}
+    assert got == want and all(any(w[k] for w in want.values()) for k in range(3))
+    assert "random" in want[90_004][4]
     clean = {r.doc_id: r.text for r in secrets.redacted(spark, df, SF).where("doc_id > 90000").collect() if r.doc_id}
     assert "hunter2" not in str(clean.values()) and "zQ8vX2" not in str(clean.values())
 

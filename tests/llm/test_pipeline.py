@@ -1,4 +1,5 @@
 import plain
+import pytest
 from oracle import compare, connect
 from pyspark.sql import functions as F
 
@@ -35,7 +36,8 @@ def test_stages_against_plain_versions(spark):
     assert got == want and dirty
 
 
-def test_against_sql(spark):
-    con = connect(SF)
-    for name, sql in queries.SQL.items():
-        compare(spark, con, SF, queries.QUERIES[name], sql)
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_against_sql(spark, name, sf):
+    d = f"/root/testdata/{sf}"
+    compare(spark, connect(d), d, queries.QUERIES[name], queries.SQL[name])
