@@ -9,6 +9,15 @@ from pyspark.sql import functions as F
 from tessella.sources.utilities import declared
 
 
+#: Most declarations (some 100 bytes each) that are broadcast; with more, Spark shuffles and splits hot tokens.
+BROADCAST_ROWS = 200_000
+
+
+def _beside(decls: DataFrame) -> DataFrame:
+    """Declarations or roles as the smaller side of a join with tokens, broadcast if they are found to be few."""
+    return F.broadcast(decls) if decls.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else decls
+
+
 def winners(rules: DataFrame) -> DataFrame:
     """Of each token, condition and property the last declaration."""
     last = F.max_by(F.struct("value", "important"), F.col("seq"))
@@ -18,30 +27,30 @@ def winners(rules: DataFrame) -> DataFrame:
 def resolved(tokens: DataFrame, decls: DataFrame) -> DataFrame:
     """(key, cond, property, value, important) of tokens (key, set_id, token): the greatest rule order wins,
     whatever the order of the tokens."""
-    hit = tokens.join(decls, ["set_id", "token"])
+    hit = tokens.join(_beside(decls), ["set_id", "token"])
     return hit.groupBy("key", "cond", "property").agg(F.max_by(F.struct("value", "important"), "seq").alias("d")).select("key", "cond", "property", "d.value", "d.important")
 
 
 def unknown(tokens: DataFrame, decls: DataFrame) -> DataFrame:
     """Tokens without a rule of their own, those that only complex selectors name among them."""
-    return tokens.join(decls.select("set_id", "token").distinct(), ["set_id", "token"], "left_anti")
+    return tokens.join(_beside(decls.select("set_id", "token").distinct()), ["set_id", "token"], "left_anti")
 
 
 def coupled(tokens: DataFrame, usage: DataFrame, complex_: DataFrame) -> DataFrame:
     """Keys whose element a combinator or a structural selector reaches."""
     role = usage.where("ancestor or sibling or argument or structural").join(complex_.select("set_id").distinct(), "set_id", "left_semi")
-    return tokens.join(role, ["set_id", "token"], "left_semi").select("key").distinct()
+    return tokens.join(_beside(role.select("set_id", "token").distinct()), ["set_id", "token"], "left_semi").select("key").distinct()
 
 
 def droppable(tokens: DataFrame, usage: DataFrame) -> DataFrame:
-    return tokens.join(usage.where("droppable"), ["set_id", "token"], "left_semi")
+    return tokens.join(_beside(usage.where("droppable").select("set_id", "token")), ["set_id", "token"], "left_semi")
 
 
 def candidates(vocab: DataFrame, target: DataFrame) -> DataFrame:
     """(key, token): entries of a key's own vocabulary (set_id, token, declarations) all of whose declarations
     its target (key, set_id, declarations) holds: relational division."""
     size = vocab.groupBy("set_id", "token").agg(F.count(F.lit(1)).alias("size"))
-    hit = vocab.join(target, ["set_id", "cond", "property", "value", "important"]).groupBy("key", "set_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    hit = target.join(_beside(vocab), ["set_id", "cond", "property", "value", "important"]).groupBy("key", "set_id", "token").agg(F.count(F.lit(1)).alias("n"))
     return hit.join(size, ["set_id", "token"]).where("n = size").select("key", "token")
 
 
@@ -85,5 +94,5 @@ def utility_declarations(tokens: DataFrame) -> DataFrame:
 
 def utility_resolved(tokens: DataFrame, decls: DataFrame) -> DataFrame:
     """(key, cond, property, value, important) of tokens (key, pos, token): of a list the later one wins."""
-    hit = tokens.join(decls, "token")
+    hit = tokens.join(_beside(decls), "token")
     return hit.groupBy("key", "cond", "property").agg(F.max_by(F.struct("value", "important"), "pos").alias("d")).select("key", "cond", "property", "d.value", "d.important")
