@@ -20,7 +20,7 @@ def save(folder: str, name: str, array: np.ndarray) -> None:
 
 
 def load(folder: str, name: str) -> np.ndarray:
-    return np.load(f"{folder}/{name}.npy", mmap_mode="r")
+    return np.asarray(np.load(f"{folder}/{name}.npy", mmap_mode="r"))  # still mapped, as a plain array
 
 
 def _select(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -87,19 +87,31 @@ class EliasFano:
         high = j * 64 + _select(self.high[j], i - self.ones[j]) - i
         return (high.astype(_U) << _U(self.width)) | self._low(i)
 
-    def _before(self, h: np.ndarray) -> np.ndarray:
-        """How many values have high bits below h."""
-        out, k = np.zeros(len(h), np.int64), np.flatnonzero(h > 0)
+    def _zero(self, h: np.ndarray) -> np.ndarray:
+        """Place in the high bits of the zero before those values whose high bits are h (-1 for h = 0)."""
+        out, k = np.full(len(h), -1, np.int64), np.flatnonzero(h > 0)
         z = h[k] - 1
         j = np.searchsorted(self.zeros, z, side="right") - 1
-        out[k] = j * 64 + _select(~self.high[j], z - self.zeros[j]) - z
+        out[k] = j * 64 + _select(~self.high[j], z - self.zeros[j])
         return out
 
+    def _ones_from(self, at: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """How many ones stand from places ``at`` to the next zero, the one after high bits h."""
+        left = 64 - (at & 63)
+        rest = ~(self.high[at >> 6] >> (at & 63).astype(_U))
+        run = np.bitwise_count((rest & (~rest + _ONE)) - _ONE).astype(np.int64)
+        more = np.flatnonzero(run >= left)  # up to the word's end
+        if len(more):
+            run[more] = self._zero(h[more] + 1) - at[more]
+        return run
+
     def _search(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place of the first value not below v, the end of the values that share v's high bits, v's low bits."""
         v = v.astype(_U)
         high = (v >> _U(self.width)).astype(np.int64)
-        lo, end, low = self._before(high), self._before(high + 1), v & _U((1 << self.width) - 1)
+        at = self._zero(high) + 1
+        lo, low = at - high, v & _U((1 << self.width) - 1)
+        end = lo + self._ones_from(at, high)
         hi = end.copy()
         open_ = np.flatnonzero(lo < hi)
         while len(open_):
