@@ -240,7 +240,7 @@ def verdict(doc: Document, w: Node, child: Node, after: Style) -> str:
     return "safe"
 
 
-def flatten(doc: Document, ceiling: int = 2, patterns=PATTERNS, verdicts: list | None = None) -> None:
+def flatten(doc: Document, ceiling: int = 2, patterns=PATTERNS, verdicts: list | None = None, gate: str = "provably-safe") -> None:
     """Sweeps in document order until nothing changes or a tree comes again, SWEEPS at most; a refused
     wrapper is not tried again."""
     tags, seen = {t for p in patterns for t in p.tags}, set()
@@ -260,7 +260,7 @@ def flatten(doc: Document, ceiling: int = 2, patterns=PATTERNS, verdicts: list |
                     after.setdefault(k, (v, important))
             if p.gain and not child.opaque:
                 after |= {(BASE, name): (v, False) for name, v in p.gain}
-            why = verdict(doc, w, child, after)
+            why = "safe" if gate == "all" else verdict(doc, w, child, after)
             if why == "safe" and after != doc.style[child] and covers(doc.style[child], doc.sheet)[1] and not covers(after, doc.sheet)[1]:
                 why = "residual"
             if verdicts is not None:
@@ -471,9 +471,14 @@ class Options:
     convert: bool = True
     #: ``css``: classes mean what the stylesheet says; ``utility``: what the utility vocabulary says.
     provider: str = "css"
+    #: ``provably-safe``: only what the gate proves to change nothing that is seen; ``all``: whatever a pattern asks
+    #: for and classes can still say.
+    gate: str = "provably-safe"
 
     def __post_init__(self):
         unknown = set(self.patterns or ()) - {p.name for p in PATTERNS}
+        if self.gate not in ("provably-safe", "all"):
+            raise ValueError(f"no gate {self.gate!r}")
         if self.provider not in ("css", "utility"):
             raise ValueError(f"no provider {self.provider!r}")
         if unknown or not 0 <= self.ceiling <= 3:
@@ -487,7 +492,7 @@ def optimized(text: str, sheet: Sheet | Utilities, options: Options = Options(),
         return text, 0, 0, dict.fromkeys(("flatten", "compress", "convert", "sweeps", "refused"), 0)
     if options.patterns is None:
         unfragment(doc)
-    flatten(doc, options.ceiling, PATTERNS if options.patterns is None else [p for p in PATTERNS if p.name in options.patterns])
+    flatten(doc, options.ceiling, PATTERNS if options.patterns is None else [p for p in PATTERNS if p.name in options.patterns], gate=options.gate)
     if options.compress:
         compress(doc)
         compress_parts(doc)

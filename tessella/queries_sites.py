@@ -284,10 +284,29 @@ def _literal(text: str) -> str:
     return "concat(" + ", chr(10), ".join("'" + x.replace("'", "''") + "'" for x in text.split("\n")) + ")"
 
 
+_NESTED_CSS = "concat('.n', n_nationkey, '{top:', n_regionkey, 'px;&:hover{left:0}@media print{right:0;& .k{bottom:0}}.x', n_nationkey, '{z-index:1} margin-left:2px}')"
+
+
+def nested_rules(spark, d):
+    """Rules nested in rules, as they would stand outside."""
+    css = Q._table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("set_id"), F.expr(Q._spark(_NESTED_CSS)).alias("css"))
+    parsed = C.parsed_sheets(css)
+    own = R.winners(C.rules(parsed)).select("set_id", F.col("token").alias("name"), "cond", "property", "value")
+    return own.unionByName(C.complex_selectors(parsed).select("set_id", F.col("selector").alias("name"), F.lit("").alias("cond"), F.lit("").alias("property"), F.lit("").alias("value")))
+
+
+def closest_ancestors(spark, d):
+    """Of the innermost elements of the nested documents the nearest div around them, and how many elements are."""
+    around = M.ancestors(Q._orders(spark, d, Q._NESTED), "doc_id", "text")
+    last = around.groupBy("doc_id").agg(F.max("node_id").alias("node_id"))
+    near = M.closest(around, "div").join(last, ["doc_id", "node_id"]).select("doc_id", F.col("ancestor_id").cast("long").alias("div"))
+    return around.join(last, ["doc_id", "node_id"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("around")).join(near, "doc_id", "left")
+
+
 QUERIES = {f.__name__: f for f in (
     linked_stylesheets, linked_sheet_sets, outputs_written, inline_to_class, competing_declarations, op_counts, document_fingerprints, edit_groups,
     media_rules, selector_roles, complex_selectors, coupled_elements, emitted_css, style_names, flatten_patterns, declared_patterns, greedy_cover, stream_run_totals,
-    utility_compress, utility_resolve, templates_optimized,
+    utility_compress, utility_resolve, templates_optimized, nested_rules, closest_ancestors,
 )}
 
 _N = "(SELECT CAST(n_nationkey AS VARCHAR) AS k, CAST(n_regionkey AS VARCHAR) AS r FROM nation)"
@@ -321,4 +340,8 @@ SQL = {
       FROM (SELECT key, side, CASE WHEN side IN ('left', 'right') THEN b ELSE a END AS n FROM p, (VALUES ('top'), ('right'), ('bottom'), ('left')) v(side))
       UNION ALL SELECT key, '(min-width: 768px)||', 'margin-top', s || 'px', false FROM p""",
     "templates_optimized": f"SELECT p_partkey AS doc_id, replace([{', '.join(_literal(b or a) for _, a, b in _TEMPLATES)}][p_size % {len(_TEMPLATES)} + 1], '{{}}', p_name) AS text_after, p_size % {len(_TEMPLATES)} = {len(_TEMPLATES) - 1} AS failed FROM part",
+    "nested_rules": f"""SELECT k AS set_id, 'n' || k AS name, cond, property, CASE property WHEN 'top' THEN CASE r WHEN '0' THEN '0' ELSE r || 'px' END WHEN 'margin-left' THEN '2px' ELSE '0' END AS value
+      FROM {_N}, (VALUES ('||', 'top'), ('||', 'margin-left'), ('|:hover|', 'left'), ('print||', 'right')) v(cond, property)
+      UNION ALL SELECT k, '.n' || k || ' .k', '', '', '' FROM {_N} UNION ALL SELECT k, '.n' || k || ' .x' || k, '', '', '' FROM {_N}""",
+    "closest_ancestors": "SELECT o_orderkey AS doc_id, o_orderkey % 4 + 2 AS around, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 4 + 3 END AS div FROM orders",
 }

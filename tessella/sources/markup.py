@@ -344,3 +344,29 @@ def nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 14, types)], [x.split()[0] for x in _NODES.split(", ")])
 
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, _NODES)
+
+
+def ancestors(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, node_id, ancestor_id, distance, tag): of each element the elements around it, nearest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                number: dict[Node, int] = {}
+                for k, n in enumerate(parse(t).walk() if t is not None else ()):
+                    number[n] = k
+                    up, far = n.parent, 0
+                    while n.kind == "element" and up is not None and up.kind == "element":
+                        far += 1
+                        rows.append((i, k, number[up], far, up.tag))
+                        up = up.parent
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, types)], ["doc_id", "node_id", "ancestor_id", "distance", "tag"])
+
+    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, node_id int, ancestor_id int, distance int, tag string")
+
+
+def closest(around: DataFrame, tag: str) -> DataFrame:
+    """(doc_id, node_id, ancestor_id): of each element the nearest ancestor of a tag."""
+    return around.where(F.col("tag") == tag).groupBy("doc_id", "node_id").agg(F.min_by("ancestor_id", "distance").alias("ancestor_id"))

@@ -12,6 +12,8 @@ from tessella.functions.styles import expand
 from tessella.functions.tables import FUNCTIONAL, LEGACY_ELEMENTS, STRUCTURAL
 
 BASE = "||"
+#: How deep rules may stand in one another.
+NESTED = 16
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _IMPORTANT = re.compile(r"\s*!\s*important\s*\Z", re.I)
 _SIMPLE = re.compile(r"\.(?P<cls>(?:[\w-]|[^\x00-\x7f]|\\.)+)|#(?P<id>[\w-]+)|(?P<attr>\[[^\]]*\])|(?P<pseudo>::?[\w-]+)(?P<args>\()?|(?P<any>\*)|(?P<nest>&)|(?P<tag>[\w-]+)")
@@ -77,7 +79,7 @@ class Sheet:
 
 
 def _blocks(css: str):
-    """(prelude, body) of each rule; strings and nested braces are kept whole."""
+    """(prelude, body, place) of each rule; strings and nested braces are kept whole."""
     at, n = 0, len(css)
     start = 0
     while at < n:
@@ -101,7 +103,7 @@ def _blocks(css: str):
                     end = close
                 depth += (c == "{") - (c == "}")
                 end += 1
-            yield css[start:at].strip(), css[at + 1 : end - (depth == 0)]
+            yield css[start:at].strip(), css[at + 1 : end - (depth == 0)], (start, end)
             at = start = end
         else:
             at += 1
@@ -181,24 +183,55 @@ def _simple(compound: str):
     return classes, other, pseudos, tags, untold
 
 
+def _outside_of(text: str, places: list[tuple[int, int]]) -> str:
+    out, at = [], 0
+    for s, e in places:
+        out.append(text[at:s])
+        at = e
+    return ";".join([*out, text[at:]])
+
+
+def _within(parent: str, child: str) -> str:
+    """A nested rule's selector as it would stand outside."""
+    child = child.strip()
+    return child.replace("&", parent) if "&" in child else f"{parent} {child}"
+
+
+def utility_selector(selector: str) -> tuple[str, list[str], str] | None:
+    """(class, states, pseudo-element) of a selector that is one class with pseudo parts; None if it is any other."""
+    found = _compounds(selector)
+    classes, other, pseudos, _, _ = _simple(found[0][1]) if len(found) == 1 else ([], True, [], [], True)
+    elements = [p for p, _ in pseudos if p.startswith("::") or p in LEGACY_ELEMENTS]
+    if len(classes) != 1 or other or len(elements) > 1 or any(p in FUNCTIONAL for p, _ in pseudos):
+        return None
+    return classes[0], sorted(p for p, _ in pseudos if p not in elements), "::" + elements[0].lstrip(":") if elements else ""
+
+
 def parse(css: str) -> Sheet:
     """The facts of one stylesheet; what cannot be read contributes nothing."""
     sheet, order = Sheet(), 0
 
-    def walk(text: str, media: str):
+    def walk(text: str, media: str, depth: int = 0):
         nonlocal order
-        for prelude, body in _blocks(text):
+        for prelude, body, _ in _blocks(text) if depth <= NESTED else ():
             if prelude.startswith("@"):
                 name = re.match(r"@[\w-]*", prelude)[0].lower()
                 if "keyframes" in name or name in ("@font-face", "@page", "@property", "@counter-style"):
                     continue
                 query = " ".join(prelude[len(name):].split())
-                walk(body, (f"{media} and {query}" if media else query) if name == "@media" else media)
+                walk(body, (f"{media} and {query}" if media else query) if name == "@media" else media, depth + 1)
                 continue
-            decls = declarations(body)
-            for selector in split_outside(prelude, ","):
-                _selector(sheet, selector.strip(), media, decls, order)
+            nested = list(_blocks(body)) if "{" in body else []
+            decls = declarations(_outside_of(body, [place for *_, place in nested]))
+            selectors = [x.strip() for x in split_outside(prelude, ",")]
+            for selector in selectors:
+                _selector(sheet, selector, media, decls, order)
             order += 1
+            for inner, held, _ in nested:
+                if inner.startswith("@"):  # the rule's own selectors under a condition
+                    walk(f"{inner}{{{prelude}{{{held}}}}}", media, depth + 1)
+                else:
+                    walk(f"{','.join(_within(p, c) for p in selectors for c in split_outside(inner, ','))}{{{held}}}", media, depth + 1)
 
     walk(_COMMENT.sub("", css or ""), "")
     return sheet

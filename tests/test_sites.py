@@ -56,3 +56,23 @@ def test_pattern_subsets_and_ceiling():
     assert optimized(text, sheet)[0] == "<p>x</p><b>y</b><i>z</i>"
     assert optimized(text, sheet, Options(patterns=("redundant-inline",)))[0] == '<div class="c"><p>x</p></div><b>y</b><div><i>z</i></div>'
     assert optimized(text, sheet, Options(ceiling=1))[0] == '<div class="c"><p>x</p></div><span><b>y</b></span><i>z</i>'
+
+
+def test_gate_modes():
+    sheet = stylesheet.parse(".i{display:inline}")
+    text = '<div class="i"><p>x</p></div>'
+    assert optimized(text, sheet)[0] == text and optimized(text, sheet, Options(gate="all"))[0] == "<p>x</p>"
+
+
+@pytest.mark.parametrize("selector,want", [(".a:hover::before", ("a", [":hover"], "::before")), (".a:before", ("a", [], "::before")), (".md\\:p-4", ("md:p-4", [], "")), (".a.b", None), (".a > .b", None), ("div.a", None), (".a:not(.b)", None), ("#x", None)])
+def test_utility_selectors(selector, want):
+    assert stylesheet.utility_selector(selector) == want
+
+
+def test_deep_nesting_of_rules_ends():
+    import time
+
+    began = time.process_time()
+    for css in ("@media x{" * 20_000, ".a{" * 20_000, ".a{&,&{" * 10_000, "a{b{c:d}}" * 20_000):
+        stylesheet.parse(css)
+    assert time.process_time() - began < 30
