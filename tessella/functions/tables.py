@@ -32,11 +32,10 @@ PARTS = r"#[0-9A-Za-z_]+|[0-9A-Za-z_]+|\s+|[^\s0-9A-Za-z_]"
 
 # Properties that a React style takes as bare numbers.
 UNITLESS = """animation-iteration-count aspect-ratio border-image-outset border-image-slice border-image-width box-flex
-box-flex-group box-ordinal-group column-count columns flex flex-grow flex-positive flex-shrink flex-negative flex-order
-grid-area grid-row grid-row-end grid-row-span grid-row-start grid-column grid-column-end grid-column-span
-grid-column-start font-weight line-clamp line-height opacity order orphans scale tab-size widows z-index zoom
-fill-opacity flood-opacity stop-opacity stroke-dasharray stroke-dashoffset stroke-miterlimit stroke-opacity
-stroke-width""".split()
+box-flex-group box-ordinal-group column-count columns flex flex-grow flex-shrink font-weight grid-area grid-column
+grid-column-end grid-column-start grid-row grid-row-end grid-row-start line-clamp line-height opacity order orphans
+tab-size widows z-index zoom fill-opacity flood-opacity stop-opacity stroke-dasharray stroke-dashoffset
+stroke-miterlimit stroke-opacity stroke-width""".split()
 
 # Shorthands and their longhands.
 FOUR_SIDED = {

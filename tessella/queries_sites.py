@@ -328,7 +328,7 @@ SQL = {
     "complex_selectors": f"SELECT '.a' || k || '>.b' || k || ':first-child' AS selector FROM {_N} UNION ALL SELECT '.c' || k || '+.d' FROM {_N}",
     "coupled_elements": "SELECT c_custkey AS key FROM customer WHERE c_custkey % 4 < 3",
     "emitted_css": f"SELECT 'n' || k AS token, {_MEDIA} AS cond, 'top:' || CASE r WHEN '0' THEN '0' ELSE r || 'px' END AS block FROM {_N} UNION ALL SELECT 'n' || k, '||::before', 'bottom:0!important;top:1px' FROM {_N}",
-    "style_names": """SELECT p_partkey, name, CASE WHEN n = 0 OR name IN ('--x', 'z-index') THEN CAST(n AS VARCHAR) ELSE n || 'px' END AS value, '||~' || name || '~' || n || '~' || CASE n WHEN 1 THEN '!' ELSE '' END AS tuple, length(p_type) AS length
+    "style_names": """SELECT p_partkey, name, CASE WHEN n = 0 OR name = 'z-index' THEN CAST(n AS VARCHAR) ELSE n || 'px' END AS value, '||~' || name || '~' || n || '~' || CASE n WHEN 1 THEN '!' ELSE '' END AS tuple, length(p_type) AS length
       FROM (SELECT *, p_size % 3 AS n, ['margin-top', '-webkit-line-clamp', '--x', 'z-index'][p_size % 4 + 1] AS name FROM part)""",
     "flatten_patterns": f"SELECT p_partkey AS doc_id, {_SHAPE_OUT} AS text_after, CAST([{', '.join(str(r) for _, _, r in _SHAPES)}][p_size % {len(_SHAPES)} + 1] AS BIGINT) AS refused FROM part",
     "declared_patterns": f"SELECT p_partkey AS doc_id, ['contents', 'coloured', 'plain-span'][p_size % {len(_SHAPES)}] AS pattern, ['unwrap', 'classes', 'unwrap'][p_size % {len(_SHAPES)}] AS op FROM part WHERE p_size % {len(_SHAPES)} BETWEEN 1 AND 3",

@@ -22,7 +22,7 @@ _STRING = re.compile(r"""("(?:[^"\\\n])*"|'(?:[^'\\\n])*'|`(?:[^`\\$])*`)""")
 _ENTRY = re.compile(r"""\s*(?:([A-Za-z_$][\w$]*)|"([^"\\]*)"|'([^'\\]*)')\s*:\s*("[^"\\\n]*"|'[^'\\\n]*'|-?\d+(?:\.\d+)?)\s*(,|\Z)""")
 # Words after which an expression begins, functions that join class lists.
 _BEFORE = {"return", "default", "case", "yield", "await", "else", "do", "typeof", "in", "of", "void", "new", "delete"}
-JOINERS = ("clsx", "cn", "classnames", "classNames", "cx", "twMerge")
+JOINERS = ("cn", "clsx", "classNames", "classnames", "twMerge", "twJoin")
 
 
 class TemplateError(ValueError):
@@ -298,7 +298,7 @@ def style_entries(inner: str) -> list[tuple[str, tuple[tuple[str, str], ...], bo
         name = e[1] or e[2] or e[3]
         prop = name if name.startswith("--") else re.sub(r"([A-Z])", lambda c: "-" + c[0].lower(), name)
         raw = e[4]
-        value = raw[1:-1] if raw[0] in "\"'" else raw if float(raw) == 0 or prop in UNITLESS or prop.startswith("--") else raw + "px"
+        value = raw[1:-1] if raw[0] in "\"'" else raw if float(raw) == 0 or prop in UNITLESS else raw + "px"
         if "!" in value or not value.strip():
             return None
         out.append((body[e.start() : e.end(4)].strip(), expand(prop, value), False))
