@@ -400,7 +400,10 @@ def _places(seed: np.ndarray, bounds: list[np.ndarray]) -> np.ndarray:
 
 def shared_chunks(docs: DataFrame, path: str, scratch: Scratch) -> Shared | None:
     """The table of the chunks of ``docs`` (doc_id, text, seed) that stand at two places, each encoded once,
-    by the task that holds the least place; None if there are none.  No text is shuffled."""
+    by the task that holds the least place; None if there are none, or if the shared folder is no mounted file
+    system: then each task encodes all its chunks, with the same result.  No text is shuffled."""
+    if not scratch.mounted():
+        return None
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):

@@ -54,6 +54,10 @@ class Scratch:
         out._tessella_path = path
         return out
 
+    def mounted(self) -> bool:
+        """Whether the shared folder is a file system of the machines themselves."""
+        return self.root.startswith("file:") or "://" not in self.root
+
     def folder(self, name: str) -> str:
         """A folder for files that tasks write themselves, as a plain path of the shared file system."""
         path = f"{self.root}/{name}"
@@ -63,7 +67,7 @@ class Scratch:
         fs.mkdirs(p)
         if path.startswith("file:"):
             return path[len("file:"):].replace("//", "/")
-        if "://" in path:
+        if not self.mounted():
             raise ValueError(f"memory-mapped files need a mounted shared folder, not {path}")
         return path
 

@@ -9,6 +9,7 @@ import numpy as np
 
 _U = np.uint64
 _ONE = _U(1)
+HINT = 64
 
 
 def save(folder: str, name: str, array: np.ndarray) -> None:
@@ -38,11 +39,12 @@ def _select(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
 class EliasFano:
     """n sorted values below ``universe``: low bits packed, high bits in unary."""
 
-    NAMES = ("head", "low", "high", "ones", "zeros")
+    #: ``hint``: the word of each HINT-th zero of the high bits, from which the words of others are not far.
+    NAMES = ("head", "low", "high", "ones", "zeros", "hint")
 
-    def __init__(self, head, low, high, ones, zeros):
+    def __init__(self, head, low, high, ones, zeros, hint):
         self.n, self.universe, self.width = (int(x) for x in head)
-        self.low, self.high, self.ones, self.zeros = low, high, ones, zeros
+        self.low, self.high, self.ones, self.zeros, self.hint = low, high, ones, zeros, hint
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -61,11 +63,12 @@ class EliasFano:
             np.bitwise_or.at(packed, word, low << shift)
             over = (at & 63) + width > 64
             np.bitwise_or.at(packed, word[over] + 1, low[over] >> (_U(64) - shift[over]))
-        return cls((n, universe, width), packed, words, ones, zeros)
+        hint = np.searchsorted(zeros, np.arange(0, zeros[-1] + 1, HINT), side="right") - 1
+        return cls((n, universe, width), packed, words, ones, zeros, hint)
 
     def store(self, folder: str, name: str) -> None:
         head = np.array([self.n, self.universe, self.width], _U)
-        for part, array in zip(self.NAMES, (head, self.low, self.high, self.ones, self.zeros)):
+        for part, array in zip(self.NAMES, (head, self.low, self.high, self.ones, self.zeros, self.hint)):
             save(folder, f"{name}.{part}", array)
 
     @classmethod
@@ -91,10 +94,22 @@ class EliasFano:
         """Place in the high bits of the zero before those values whose high bits are h (-1 for h = 0)."""
         out, k = np.full(len(h), -1, np.int64), np.flatnonzero(h > 0)
         z = h[k] - 1
-        j = np.searchsorted(self.zeros, z, side="right") - 1
+        j = self._word_of_zero(z)
         out[k] = j * 64 + _select(~self.high[j], z - self.zeros[j])
         return out
 
+    def _word_of_zero(self, z: np.ndarray) -> np.ndarray:
+        """The word of each zero: a few steps from its hint, or a search where ones stand thick."""
+        j = self.hint[z // HINT]
+        for _ in range(6):
+            on = self.zeros[j + 1] <= z
+            if not on.any():
+                return j
+            j = j + on
+        far = np.flatnonzero(self.zeros[j + 1] <= z)
+        j[far] = np.searchsorted(self.zeros, z[far], side="right") - 1
+        return j
+
     def _ones_from(self, at: np.ndarray, h: np.ndarray) -> np.ndarray:
         """How many ones stand from places ``at`` to the next zero, the one after high bits h."""
         left = 64 - (at & 63)
