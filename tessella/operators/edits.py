@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.sources.markup import Node, parse
+from tessella.sources.partitions import dealt
 
 #: ``grp`` null: a group of its own.  ``safety`` above the target's floor (0 if opaque, else 3) is refused.
 EDIT = "struct<op:string,target:int,other:int,index:int,markup:string,grp:string,safety:int>"
@@ -206,4 +207,4 @@ def edit_documents(docs: DataFrame, key: str, text: str, edits: str) -> DataFram
             yield pa.RecordBatch.from_pylist(rows, row)
 
     own = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(edits).cast(f"array<{EDIT}>").alias("edits"))
-    return own.mapInArrow(run, _ROWS)
+    return dealt(own).mapInArrow(run, _ROWS)

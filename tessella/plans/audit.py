@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.scalars import byte_count, class_token_count
 from tessella.operators.optimize import Options, optimize_fragment, optimized
+from tessella.sources.partitions import dealt
 from tessella.sources.stylesheet import Sheet, parse
 from tessella.sources.utilities import Utilities
 
@@ -65,14 +66,21 @@ def fragment(text: Column) -> Column:
     return F.pandas_udf(_fragments, "string")(text)
 
 
+def optimize_fragments(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text_after) of fragments; a map without a shuffle."""
+    return dealt(docs.select(key, text)).select(key, fragment(F.col(text)).alias("text_after"))
+
+
 def optimize_documents(docs: DataFrame, key: str, text: str, css: str | Column | None = None, options: Options = Options(), kind: str | Column = "html") -> DataFrame:
-    """(key, text_before, text_after, nodes_before, nodes_removed, error, and op counts); a map without a shuffle.
+    """(key, text_before, text_after, nodes_before, nodes_removed, error, and op counts); a map without a shuffle (but that of an input
+    too small to keep all cores busy).
 
     ``kind``: html, jsx, tsx, vue or astro; of a text that cannot be read as that the error is noted, and it stays.
     """
     sheet = F.lit("") if css is None else F.col(css) if isinstance(css, str) else css
     run = F.pandas_udf(_runner(options), _RESULT)
-    got = docs.select(key, F.col(text).alias("text_before"), run(F.col(text), sheet, F.lit(kind) if isinstance(kind, str) else kind).alias("r"))
+    rows = dealt(docs.select(key, F.col(text).alias("text_before"), sheet.alias("css"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind")))
+    got = rows.select(key, "text_before", run("text_before", "css", "kind").alias("r"))
     return got.select(key, "text_before", F.col("r.text").alias("text_after"), F.col("r.nodes").alias("nodes_before"), F.col("r.removed").alias("nodes_removed"), F.col("r.error").alias("error"), *(F.col(f"r.{k}").alias(f"n_{k}") for k in _OPS))
 
 

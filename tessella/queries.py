@@ -182,7 +182,7 @@ def compress_classes(spark, d):
 
 def fragment_optimize(spark, d):
     text = "concat('<div>', case o_orderkey % 3 when 0 then '' when 1 then 'x' else '<!-- c -->' end, '<b>', o_orderpriority, '</b></div>')"
-    return _orders(spark, d, text).select("doc_id", A.fragment(F.col("text")).alias("text_after"))
+    return A.optimize_fragments(_orders(spark, d, text), "doc_id", "text")
 
 
 def _stats(spark, d):

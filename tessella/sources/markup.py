@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.tables import UNREAD, VOID
+from tessella.sources.partitions import dealt
 
 # Possessive throughout: a tag is read once, and only the end of the text can leave it unfinished.
 _START = re.compile(r"""<([a-zA-Z][^\s/>]*+)(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))?+)*+>""")
@@ -343,7 +344,7 @@ def nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
             types = (pa.int64(), *[pa.int32()] * 4, pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.map_(pa.string(), pa.string()), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 14, types)], [x.split()[0] for x in _NODES.split(", ")])
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, _NODES)
+    return dealt(docs.select(F.col(key).cast("long"), F.col(text))).mapInArrow(run, _NODES)
 
 
 def ancestors(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -364,7 +365,7 @@ def ancestors(docs: DataFrame, key: str, text: str) -> DataFrame:
             types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, types)], ["doc_id", "node_id", "ancestor_id", "distance", "tag"])
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, node_id int, ancestor_id int, distance int, tag string")
+    return dealt(docs.select(F.col(key).cast("long"), F.col(text))).mapInArrow(run, "doc_id long, node_id int, ancestor_id int, distance int, tag string")
 
 
 def closest(around: DataFrame, tag: str) -> DataFrame:
