@@ -54,22 +54,13 @@ class Scratch:
         out._tessella_path = path
         return out
 
-    def mounted(self) -> bool:
-        """Whether the shared folder is a file system of the machines themselves."""
-        return self.root.startswith("file:") or "://" not in self.root
-
     def folder(self, name: str) -> str:
-        """A folder for files that tasks write themselves, as a plain path of the shared file system."""
+        """A folder for files that tasks write themselves: a plain path where the shared folder is mounted, else a URI."""
         path = f"{self.root}/{name}"
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.mkdirs(p)
-        if path.startswith("file:"):
-            return path[len("file:"):].replace("//", "/")
-        if not self.mounted():
-            raise ValueError(f"memory-mapped files need a mounted shared folder, not {path}")
-        return path
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
+        return "/" + path[len("file:"):].lstrip("/") if path.startswith("file:") else path
 
     def release(self) -> None:
         """Lets Spark remove the shuffle files of frames that nothing refers to any more, such as those kept meanwhile."""

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
+import tempfile
 import uuid
 
 import numpy as np
+from pyarrow import fs
 
 _U = np.uint64
 _ONE = _U(1)
@@ -13,7 +17,17 @@ HINT = 64
 
 
 def save(folder: str, name: str, array: np.ndarray) -> None:
-    """Writes an array so that a task that is run again or twice leaves the same whole file."""
+    """Writes an array so that a task that is run again or twice leaves the same whole file.
+
+    ``folder`` is a path of a file system that all machines mount, or the URI of a store that Arrow reaches.
+    """
+    if "://" in folder:
+        store, path = fs.FileSystem.from_uri(folder)
+        held = io.BytesIO()
+        np.save(held, array)
+        with store.open_output_stream(f"{path}/{name}.npy") as f:  # a store shows a file once it is whole
+            f.write(held.getbuffer())
+        return
     part = f"{folder}/.{name}-{uuid.uuid4().hex}"
     with open(part, "wb") as f:
         np.save(f, array)
@@ -21,7 +35,29 @@ def save(folder: str, name: str, array: np.ndarray) -> None:
 
 
 def load(folder: str, name: str) -> np.ndarray:
-    return np.asarray(np.load(f"{folder}/{name}.npy", mmap_mode="r"))  # still mapped, as a plain array
+    """The array, memory-mapped; from a store by way of a copy of this machine's own, which any task may make anew."""
+    path = f"{folder}/{name}.npy" if "://" not in folder else _copied(folder, name)
+    return np.asarray(np.load(path, mmap_mode="r"))  # still mapped, as a plain array
+
+
+def exists(folder: str, name: str) -> bool:
+    if "://" not in folder:
+        return os.path.exists(f"{folder}/{name}.npy")
+    store, path = fs.FileSystem.from_uri(folder)
+    return store.get_file_info(f"{path}/{name}.npy").type == fs.FileType.File
+
+
+def _copied(folder: str, name: str) -> str:
+    own = f"{tempfile.gettempdir()}/tessella-{hashlib.sha256(folder.encode()).hexdigest()[:16]}"
+    if not os.path.exists(f"{own}/{name}.npy"):
+        os.makedirs(own, exist_ok=True)
+        store, path = fs.FileSystem.from_uri(folder)
+        part = f"{own}/.{name}-{uuid.uuid4().hex}"
+        with store.open_input_stream(f"{path}/{name}.npy") as f, open(part, "wb") as out:
+            while piece := f.read(8 << 20):
+                out.write(piece)
+        os.replace(part, f"{own}/{name}.npy")
+    return f"{own}/{name}.npy"
 
 
 def _select(words: np.ndarray, rank: np.ndarray) -> np.ndarray:

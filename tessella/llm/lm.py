@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import Scratch, documents, table
-from tessella.llm.elias_fano import EliasFano, load, save
+from tessella.llm.elias_fano import EliasFano, exists, load, save
 from tessella.llm.words import Words, slices, spans
 
 #: Discount of absolute discounting, at both levels.
@@ -120,19 +118,25 @@ class Trie:
         self.folder, self.bits, self.offsets, self.n, self.v = folder, bits, offsets, n, v
         self.sizes, self.successors = sizes, successors
         self.floor = np.log10(1.0 / (n + v + 1)) - 0.5
-        self.files: OrderedDict = OrderedDict()
+        self.files: dict = {}
+        self.absent: set[str] = set()
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "files"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("files", "absent")}
 
     def __setstate__(self, state):
-        self.__dict__.update(state, files=OrderedDict())
+        self.__dict__.update(state, files={}, absent=set())
 
     def file(self, name: str, ef: bool = False):
         if name not in self.files:
             self.files[name] = EliasFano.open(self.folder, name) if ef else load(self.folder, name)
         return self.files[name]
 
+    def holds(self, name: str) -> bool:
+        if name not in self.files and name not in self.absent and not exists(self.folder, name):
+            self.absent.add(name)
+        return name not in self.absent
+
     def code(self, log_p: np.ndarray) -> np.ndarray:
         return np.rint(np.clip(log_p / self.floor, 0, 1) * 255).astype(np.uint8)
 
@@ -214,7 +218,7 @@ class Trie:
         log_p, back = np.full(len(node), np.nan), np.zeros(len(node))
         for k, mine in _grouped(self.part_of(shard, node)):
             local = node[mine] % PART_NODES
-            if not os.path.exists(f"{self.folder}/three-b-{k}.npy"):
+            if not self.holds(f"three-b-{k}"):
                 continue
             back[mine] = self.value(self.file(f"three-b-{k}")[local])
             q = np.flatnonzero(asked[mine])

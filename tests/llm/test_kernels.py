@@ -8,7 +8,7 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 
-from tessella.llm import bpe, decontaminate, quality, secrets, simhash, warc
+from tessella.llm import bpe, decontaminate, elias_fano, quality, secrets, simhash, warc
 from tessella.llm.ann import KdTree, chi_square_quantile
 from tessella.llm.components import linked_in
 from tessella.llm.elias_fano import EliasFano
@@ -72,6 +72,17 @@ def test_elias_fano(tmp_path, n, universe):
     assert ((e.find(q) >= 0) == np.isin(q, v)).all()
 
 
+def test_arrays_of_a_store(tmp_path, monkeypatch):
+    monkeypatch.setattr(elias_fano.tempfile, "gettempdir", lambda: str(tmp_path / "own"))
+    store = f"file://{tmp_path}/store"
+    (tmp_path / "store").mkdir()
+    values = np.arange(0, 3000, 3, dtype=np.uint64)
+    EliasFano.build(values, 3000).store(store, "x")
+    assert elias_fano.exists(store, "x.head") and not elias_fano.exists(store, "y") and elias_fano.exists(f"{tmp_path}/store", "x.head")
+    assert (EliasFano.open(store, "x").successor(values) == np.arange(1000)).all() and (EliasFano.open(store, "x").get(np.arange(1000)) == values).all()
+    assert list((tmp_path / "own").iterdir())
+
+
 def test_fingerprint_by_counting():
     import xxhash
 
