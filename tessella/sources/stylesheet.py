@@ -331,9 +331,10 @@ def risks(parsed: DataFrame) -> DataFrame:
     return parsed.select("set_id", F.explode("facts.risks").alias("r")).select("set_id", "r.classes", "r.tags", "r.every", F.explode("r.properties").alias("property"))
 
 
-_STYLE = r"(?is)<style\b([^>]*)>(.*?)(?:</style\s*>|\Z)"
+# What the text ends in the middle of goes on to its end, so that every character is read once.
+_STYLE = r"(?is)<style\b([^>]*+)(?:>|\z)(.*?)(?:</style\s*+>|\z)"
 _TYPE = r"""(?i)\btype\s*=\s*["']?([^"'\s>]*)"""
-_LINK = r"(?is)<link\b[^>]*>"
+_LINK = r"(?is)<link\b[^>]*+(?:>|\z)"
 
 
 def own_css(text: Column) -> Column:

@@ -76,3 +76,14 @@ def test_deep_nesting_of_rules_ends():
     for css in ("@media x{" * 20_000, ".a{" * 20_000, ".a{&,&{" * 10_000, "a{b{c:d}}" * 20_000):
         stylesheet.parse(css)
     assert time.process_time() - began < 30
+
+
+def test_stylesheets_of_hostile_pages(spark):
+    import time
+
+    texts = [t * 40_000 for t in ("<style ", "<style>", "<link ", "<link rel=stylesheet href='", "</style ", "<style>x</style  ")]
+    pages = spark.createDataFrame(list(enumerate(texts)), "id long, html string")
+    began = time.time()
+    assert pages.select(F.length(stylesheet.own_css(F.col("html")))).count() == 6 and stylesheet.linked_sheets(pages, "id", "html").count() >= 0
+    pages.select(F.length(stylesheet.own_css(F.col("html"))).alias("n")).collect()
+    assert time.time() - began < 120
