@@ -20,7 +20,7 @@ from tessella.llm.elias_fano import load, save
 from tessella.llm.words import mix, powers, slices, spans
 
 #: Pre-tokens or chunks that a worker keeps; a bound on memory only, results are the same without.
-CACHED = 400_000
+CACHED = 150_000
 OVER = 2048
 
 # The split patterns that the two vocabulary files state.
